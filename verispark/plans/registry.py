@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None, ctes: str = "") -> Callable[[Query]
             items = [duckdb_cte(v) for v in VIEWS if v in text]
             if ctes:
                 items.append(ctes.strip().rstrip(","))
-            ORACLES[name] = ("WITH " + ",\n".join(items) + "\n" if items else "") + sql.strip()
+            ORACLES[name] = ("WITH RECURSIVE " + ",\n".join(items) + "\n" if items else "") + sql.strip()
         return fn
 
     return add

@@ -8,9 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verispark.sources.tables import spread
+
+
+# Tables of long texts: their work per byte is high, so a file read as one split is spread first.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 # name -> (base table, projection)
