@@ -59,7 +59,7 @@ def article_url(title: Column) -> Column:
     return F.concat(F.lit(WIKI_URL), F.replace(coded, F.lit("%7E"), F.lit("~")))
 
 
-def dedup_articles(articles: DataFrame, key: str, order: list[Column]) -> DataFrame:
+def dedup_articles(articles: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """First row per page, survivors numbered from 1 in `order`."""
     return with_ordinal(keep_first(articles, [key], order), order, name="id", start=1)
 

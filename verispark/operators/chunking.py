@@ -184,7 +184,7 @@ def chunk_id_collisions(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def mark_articles(articles: DataFrame, stored: DataFrame, order: list[Column]) -> DataFrame:
+def mark_articles(articles: DataFrame, stored: DataFrame, order: list[Column | str]) -> DataFrame:
     """First line of every page_id with its `status`: skipped (stored), blank or new."""
     first = keep_first(articles, ["page_id"], order)
     done = stored.select("page_id").distinct().withColumn("_done", F.lit(1))
@@ -199,7 +199,7 @@ def mark_articles(articles: DataFrame, stored: DataFrame, order: list[Column]) -
     )
 
 
-def pending_articles(articles: DataFrame, stored: DataFrame, order: list[Column], limit: int | None = None) -> DataFrame:
+def pending_articles(articles: DataFrame, stored: DataFrame, order: list[Column | str], limit: int | None = None) -> DataFrame:
     """Articles still to be chunked. `limit` counts new and skipped ones together, in `order`."""
     marked = mark_articles(articles, stored, order)
     if limit is not None:

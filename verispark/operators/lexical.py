@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from verispark.functions.text import index_words, stem_pl
+from verispark.session import cut_lineage
 
 K1 = 1.5
 B = 0.75
 SCORE_DIGITS = 6
+BROADCAST_ROWS = 1_000_000  # (query, term) rows sent to every executor at most
 
 
 def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,7 +49,8 @@ def term_idf(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame
     if only_terms is not None:
         wanted = only_terms.select("term").union(only_terms.sparkSession.sql("SELECT '' AS term")).distinct()
         rows = rows.join(wanted, "term", "left_semi")
-    counts = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_len").alias("_len"))
+    # Written once: both uses below would otherwise scan the texts again.
+    counts = cut_lineage(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_len").alias("_len")))
     corpus = counts.filter("term = ''").select(F.col("df").alias("n_docs"), F.col("_len").alias("total_len"))
     # `corpus` is exactly one row.
     joined = counts.filter("term <> ''").drop("_len").crossJoin(F.broadcast(corpus))
@@ -104,12 +107,16 @@ def bm25_search(
     the sums per (query, doc) need no further shuffle, and each partition hands on at most k rows
     per query.
     """
-    wanted = query_terms(queries, query_id, query_text)
+    wanted = cut_lineage(query_terms(queries, query_id, query_text))
+    small = wanted.count() <= BROADCAST_ROWS
     weights = term_idf(docs, doc_id, doc_text, only_terms=wanted)
     # One row per (term, query) with everything that does not depend on the text.
     scored_terms = wanted.join(weights, "term").select(
         "term", "query_id", "avgdl", (F.col("qtf") * F.col("idf") * (k1 + 1.0)).alias("weight")
     )
+    if small:
+        # Without this the planner may take the index side for the smaller one.
+        scored_terms = F.broadcast(scored_terms)
     words = _words(docs, doc_id, doc_text)
     hits = (
         words.select("doc_id", "doc_len", F.explode("words").alias("word"))

@@ -22,7 +22,7 @@ def _partitions(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def range_sorted(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Rows with `_bucket` (range partition) and `_local` (0-based place in it).
 
     The checkpoint fixes the partition bounds: both later uses see the same buckets.
@@ -39,13 +39,13 @@ def range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return cut_lineage(tagged)
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """First row per key. Spark cuts to one row per key before the shuffle, so a hot key is small."""
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def with_ordinal(df: DataFrame, order: Sequence[Column], name: str = "ordinal", start: int = 0) -> DataFrame:
+def with_ordinal(df: DataFrame, order: Sequence[Column | str], name: str = "ordinal", start: int = 0) -> DataFrame:
     """Consecutive numbers over the whole table in `order`."""
     placed = range_sorted(df, order)
     totals = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
@@ -60,7 +60,7 @@ def with_ordinal(df: DataFrame, order: Sequence[Column], name: str = "ordinal",
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column], pos: str = "pos"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column], pos: str = "pos"
 ) -> DataFrame:
     """Position (1-based) and running sums per key, in `order`."""
     lead = [F.col(k) for k in keys]
@@ -93,7 +93,7 @@ def running_sums(
 def rolling(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[Column | str],
     before: int,
     after: int,
     aggs: dict[str, Column],
