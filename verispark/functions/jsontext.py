@@ -42,11 +42,16 @@ def parse_json_list(c: Column) -> Column:
     clean = strip(F.btrim(F.regexp_replace(c, r"```(?:json)?\s*", ""), F.lit("`")))
 
     def items(x: Column) -> Column:
-        return F.when(is_json(x) & F.ltrim(x).startswith("["), F.from_json(x, "array<string>"))
+        return F.try_variant_get(F.try_parse_json(x), "$", "array<variant>")
 
-    found = F.coalesce(items(clean), items(F.regexp_extract(c, r"(?s)\[.*\]", 0)), F.array().cast("array<string>"))
-    falsy = ("", "0", "false", "null", "[]", "{}", "0.0")
-    return F.filter(found, lambda x: x.isNotNull() & ~x.isin(*falsy))
+    def text(v: Column) -> Column:
+        shown = F.to_json(v)
+        # Zero, false and empty containers are dropped like empty texts.
+        kept = F.when(shown == "true", F.lit("True")).otherwise(F.try_variant_get(v, "$", "string"))
+        return F.when(~shown.isin('""', "0", "0.0", "false", "null", "[]", "{}"), kept)
+
+    found = F.coalesce(items(clean), items(F.regexp_extract(c, r"(?s)\[.*\]", 0)))
+    return F.coalesce(F.array_compact(F.transform(found, text)), F.array().cast("array<string>"))
 
 
 def mined_label(raw: Column) -> Column:

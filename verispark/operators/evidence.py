@@ -91,7 +91,7 @@ def retrieve_two_stage(
 
 def with_payload(evidence: DataFrame, docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add columns of the document table to its few retrieved rows."""
-    return evidence.join(docs.select("doc_id", *columns), "doc_id")
+    return evidence.drop(*columns).join(docs.select("doc_id", *columns), "doc_id")
 
 
 def format_context(

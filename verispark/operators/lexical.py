@@ -131,6 +131,8 @@ def bm25_search(
     sums = (
         hits.join(scored_terms, "term")
         .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+        .agg(F.sum(part).alias("score"))
+        .withColumn("_by", F.round("score", SCORE_DIGITS))
     )
-    return top_k(sums, k, "score", "doc_id")
+    # Sums come in any order; ranking on rounded values keeps equal scores equal.
+    return top_k(sums, k, "_by", "doc_id").drop("_by")

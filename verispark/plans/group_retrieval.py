@@ -34,7 +34,7 @@ d_tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) A
 d_idf AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM d_tok) - count(*) + 0.5) / (count(*) + 0.5) + 1.0) AS idf FROM d_tf GROUP BY 1),
 d_avg AS (SELECT sum(dl) / count(*) AS avgdl FROM d_len),
 q_tf AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({sql_terms('text')}) AS term FROM benchmark) GROUP BY 1, 2),
-bm25_all AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+bm25_all AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS raw, round(raw, 6) AS score
   FROM q_tf JOIN d_tf USING (term) JOIN d_idf USING (term) JOIN d_len USING (doc_id) CROSS JOIN d_avg GROUP BY 1, 2),
 bm25_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM bm25_all)
 """
@@ -81,7 +81,7 @@ def _(spark, sf_dir):
 
 @query("bm25_search", "SELECT query_id, doc_id, score, CAST(rn AS INTEGER) AS rank FROM bm25_ranked WHERE rn <= 5", BM25_CTES)
 def _(spark, sf_dir):
-    return bm25_benchmark(spark, sf_dir)
+    return bm25_benchmark(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -189,7 +189,7 @@ def _(spark, sf_dir):
         evidence.retrieve("vector", 20, vectors=s["vectors"], query_vectors=s["query_vectors"]),
     ]
     fused = evidence.rrf_fuse(lists, payload=("bm25_score", "vector_score"))
-    return fused.withColumn("vector_score", F.round("vector_score", 6))
+    return fused.withColumn("vector_score", F.round("vector_score", 6)).withColumn("bm25_score", F.round("bm25_score", 6))
 
 
 @query("hybrid_search", "SELECT query_id, doc_id, rrf_score, CAST(hrank AS INTEGER) AS rank FROM hybrid WHERE hrank <= 5", hybrid_ctes(10))
@@ -231,7 +231,7 @@ def sql_context(ranked: str, budget: int, digits: int, with_id: bool) -> str:
       FROM ({ranked}) r JOIN documents d USING (doc_id)))) GROUP BY query_id"""
 
 
-_TOP = "SELECT query_id, doc_id, score, rn AS rk FROM bm25_ranked WHERE rn <= 5"
+_TOP = "SELECT query_id, doc_id, raw AS score, rn AS rk FROM bm25_ranked WHERE rn <= 5"
 
 
 @query(
@@ -297,4 +297,5 @@ def _(spark, sf_dir):
     found = evidence.retrieve_two_stage("bm25", docs=s["docs"], queries=s["queries"])
     good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("chunk_id"))
     pairs = found.select(F.col("query_id").alias("claim_id"), F.col("doc_id").alias("chunk_id"))
-    return evidence.claims_evidence(found, pairs.join(good, "chunk_id", "left_semi"))
+    known = pairs.join(good, "chunk_id", "left_semi")
+    return evidence.claims_evidence(found, known).withColumn("score", F.round("score", 6))

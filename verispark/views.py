@@ -62,13 +62,46 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
     "v_votes": (
         "labels",
-        """doc_id AS claim_id, style_no, CAST((doc_id * style_no + quality) % 3 AS STRING) AS label,
-  concat('wniosek ', CAST(doc_id AS STRING), ' toxic ', CAST(toxic AS STRING), CASE WHEN doc_id % style_no = 0 THEN ' doc matematyka' ELSE '' END) AS reasoning""",
+        """doc_id AS claim_id, style_no, CAST(CASE doc_id % 3 WHEN 0 THEN (doc_id + quality) % 3 WHEN 1 THEN (doc_id * style_no + quality) % 3 ELSE (doc_id + CASE WHEN style_no = 3 THEN 1 ELSE 0 END) % 3 END AS STRING) AS label,
+  concat('wniosek ', CAST(doc_id AS STRING), ' toxic ', CAST(toxic AS STRING), CASE WHEN (doc_id + 1) % style_no = 0 THEN ' doc matematyka' ELSE '' END) AS reasoning""",
+    ),
+    "v_answers": (
+        "conversations",
+        """conv_id, turn, role, CASE (conv_id + turn) % 12
+  WHEN 0 THEN concat(' ', CAST(turn % 6 AS STRING), ' ')
+  WHEN 1 THEN concat('Odpowiedź: ', CAST(turn % 4 AS STRING), ' bo nie 3')
+  WHEN 2 THEN concat('Wybieram 1 lub 2. ', text, ' 0')
+  WHEN 3 THEN concat('```json', chr(10), '["a ', CAST(conv_id AS STRING), '", "b", ""]', chr(10), '```')
+  WHEN 4 THEN concat('<think>', text, '{"label": "x"}</think> {"action": "final_answer", "action_input": {"label": "', CAST(turn AS STRING), '"}, "label": "PRAWDA"}')
+  WHEN 5 THEN concat('Lista: ["x ', CAST(turn AS STRING), '", "z"] koniec')
+  WHEN 6 THEN concat('To jest CZĘŚCIOWA_PRAWDA ', CAST(conv_id AS STRING))
+  WHEN 7 THEN concat('odpowiedz: FAŁSZ, ', text)
+  WHEN 8 THEN '{"label": "MANIPULACJA", "why": "x"}'
+  WHEN 9 THEN concat('<THINK>a', chr(10), 'b</THINK><scratchpad>c</scratchpad>{"action": "search", "q": ', CAST(turn AS STRING), '}')
+  WHEN 10 THEN concat(CAST(turn AS STRING), '.00')
+  ELSE text END AS raw, text, 100 + turn * 10 + 7 AS total_tokens, 100 + turn * 10 AS prompt_tokens, 7 AS completion_tokens""",
+    ),
+    "v_exam": (
+        "documents",
+        """doc_id, CASE WHEN doc_id % 9 = 4 THEN concat(' ', chr(10), ' ') ELSE text END AS question,
+  concat('[''A', CAST(doc_id AS STRING), ''', ''B'', ''C'', ''D'']') AS answers, CAST(doc_id % 4 AS STRING) AS correct_answer_index, source AS name,
+  CASE WHEN doc_id % 11 = 5 THEN NULL ELSE CAST(2005 + doc_id % 20 AS STRING) END AS year, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS type""",
+    ),
+    "v_statements": (
+        "documents",
+        """doc_id AS id, CASE WHEN doc_id % 9 = 4 THEN '' ELSE text END AS statement, source AS person_name, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('rola ', lang) END AS person_function,
+  CASE doc_id % 5 WHEN 0 THEN concat(CAST(doc_id % 28 + 1 AS STRING), '.02.2026 godz.16:28') WHEN 1 THEN '25.12.2025' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE 'wczoraj' END AS publication_date,
+  CASE doc_id % 9 WHEN 0 THEN 'Prawda' WHEN 1 THEN ' FAŁSZ ' WHEN 2 THEN 'Częściowa prawda' WHEN 3 THEN 'Częściowo prawda' WHEN 4 THEN 'Manipulacja' WHEN 5 THEN 'Nieweryfikowalne' WHEN 6 THEN 'brak danych' WHEN 7 THEN 'xyz' ELSE NULL END AS rating,
+  concat('https://example.org/', CAST(doc_id AS STRING)) AS detail_url, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat(lang, '|', source) END AS tag_text,
+  CASE WHEN doc_id % 2 = 0 THEN concat('kategoria "', lang, '"') ELSE '' END AS category, CASE WHEN doc_id % 3 = 1 THEN '9 min czytania' END AS reading_time""",
+    ),
+    "v_debate": (
+        "conversations",
+        """conv_id AS claim_id, CAST(floor(turn / 2) AS INT) AS round_no, CASE WHEN turn % 2 = 0 THEN 'proponent' ELSE 'opponent' END AS role,
+  CAST((conv_id + turn) % 3 AS STRING) AS label, text AS argument, (conv_id + turn) % 7 = 6 AS failed, 50 + turn AS total_tokens""",
     ),
 }
 
-STYLES = (1, 2, 3)
-
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, projection = VIEWS[name]
