@@ -90,6 +90,17 @@ def running_sums(
     return out.drop("_bucket", "_local", "_off", *[f"_o_{s}" for s in sums])
 
 
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: Sequence[str]) -> DataFrame:
+    """Add `prev`: a struct of `columns` of the row before, NULL on the first row of a key."""
+    placed = range_sorted(df, [*keys, *order])
+    row = F.struct(*columns)
+    last = placed.groupBy("_bucket", *keys).agg(F.max_by(row, "_local").alias("_last"))
+    before = last.select("_bucket", *keys, F.lag("_last").over(W.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
+    inside = W.partitionBy("_bucket", *keys).orderBy("_local")
+    out = placed.withColumn("prev", F.lag(row).over(inside)).join(before, ["_bucket", *keys])
+    return out.withColumn("prev", F.coalesce("prev", "_carry")).drop("_bucket", "_local", "_carry")
+
+
 def rolling(
     df: DataFrame,
     keys: Sequence[str],

@@ -104,13 +104,23 @@ VIEWS: dict[str, tuple[str, str]] = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    base, projection = VIEWS[name]
-    df = table(spark, sf_dir, base)
+    return project(table(spark, sf_dir, VIEWS[name][0]), name)
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def project(df: DataFrame, name: str) -> DataFrame:
+    """The projection of a view over its base table, batch or stream."""
+    projection = VIEWS[name][1]
     if name == "v_votes":
         df = df.selectExpr("*", "explode(array(1, 2, 3)) AS style_no")
     # A Spark SQL string literal reads \\" as ", so the backslash is doubled for it.
     df.createOrReplaceTempView("_verispark_base")
-    return spark.sql(f"SELECT {projection.replace(chr(92), chr(92) * 2)} FROM _verispark_base")
+    return df.sparkSession.sql(f"SELECT {projection.replace(chr(92), chr(92) * 2)} FROM _verispark_base")
 
 
 def duckdb_cte(name: str) -> str:
