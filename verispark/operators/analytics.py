@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verispark.functions.labels import UAM_LABELS
-from verispark.operators.ordered import exact_quantiles, rolling, running_sums
+from verispark.operators.ordered import exact_quantiles, join_small, rolling, running_sums
 
 # Short display name and cost tier per base agent.
 AGENT_META = {
@@ -79,7 +79,7 @@ def stabilization_point(df: DataFrame, order: Sequence[Column | str], threshold:
     cum = cumulative_accuracy(df, order)
     final = df.groupBy("model").agg((F.avg("is_correct") * 100).alias("_f"), F.count("*").alias("n"))
     over = F.round(F.abs(F.col("cum_acc") - F.col("_f")), 9) > threshold
-    last = cum.join(final, "model").groupBy("model", "n", "_f").agg(
+    last = join_small(cum, final, ["model"]).groupBy("model", "n", "_f").agg(
         F.coalesce(F.max(F.when(over, F.col("pos"))), F.lit(0)).alias("_last"))
     return last.select(
         "model", "n", F.round("_f", 6).alias("final_acc"),
@@ -108,7 +108,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     x = F.col(value)
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
     ends = (
-        df.join(box, list(keys)).groupBy(*keys)
+        join_small(df, box, keys).groupBy(*keys)
         .agg(F.min(F.when(inside, x)).cast("double").alias("whisker_low"),
              F.max(F.when(inside, x)).cast("double").alias("whisker_high"))
     )
@@ -134,7 +134,7 @@ def histogram_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int = 2
     # Equal values are counted first: far fewer rows reach the join.
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     place = F.least(F.floor((x - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    filled = counted.join(ends, list(keys)).groupBy(*keys, place.cast("int").alias("bin")).agg(F.sum("_c").alias("_n"))
+    filled = join_small(counted, ends, keys).groupBy(*keys, place.cast("int").alias("bin")).agg(F.sum("_c").alias("_n"))
     domain = ends.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
     return domain.join(filled, [*keys, "bin"], "left").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verispark.functions.text import count_tokens, section_slug, split_sentences, strip
+from verispark.functions.text import compute_once, count_tokens, section_slug, split_sentences, strip
 from verispark.operators.ordered import keep_first
 
 INTRO = "Wprowadzenie"  # fixed value: title of the text before the first heading
@@ -67,15 +67,6 @@ def article_sentences(articles: DataFrame) -> DataFrame:
     )
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed once per row.
-
-    A plain column is merged into its users, and inside a lambda it would be computed again for
-    every element; a generator is never merged.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _window_sums(counts: Column, i: Column, max_sent: int) -> list[Column]:
     """Tokens of the first 1, 2, .. max_sent sentences from `i`; NULL past the end."""
     sums = [F.get(counts, i)]
@@ -137,10 +128,10 @@ def build_chunks(
     window that only repeats the end of the one before it.
     """
     paras = split_paragraphs(articles)
-    cut = _once(paras, "sentences", split_sentences(F.col("paragraph"))).drop("paragraph")
-    sized = _once(cut, "counts", F.transform("sentences", count_tokens))
-    sized = _once(sized, "sizes", window_sizes(F.col("counts"), max_sent, max_tokens))
-    started = _once(sized, "starts", window_starts(F.col("sizes"), overlap))
+    cut = compute_once(paras, "sentences", split_sentences(F.col("paragraph"))).drop("paragraph")
+    sized = compute_once(cut, "counts", F.transform("sentences", count_tokens))
+    sized = compute_once(sized, "sizes", window_sizes(F.col("counts"), max_sent, max_tokens))
+    started = compute_once(sized, "starts", window_starts(F.col("sizes"), overlap))
     if drop_tail:
         started = started.withColumn(
             "starts", F.filter("starts", lambda i: (i == 0) | (i + max(overlap, 0) < F.size("sizes")))
@@ -159,7 +150,7 @@ def build_chunks(
 
     # The text is put together before the rows are split, so no row carries the whole paragraph.
     rows = (
-        _once(started, "wins", F.transform("starts", window))
+        compute_once(started, "wins", F.transform("starts", window))
         .select("page_id", "title", "section_index", "section_title", "paragraph_index",
                 F.posexplode("wins").alias("chunk_index", "w"))
         .withColumn("slug", section_slug(F.col("section_title")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from verispark.operators.lexical import bm25_search
+from verispark.operators.ordered import join_small
 from verispark.operators.vectors import knn_search, vector_score
 
 K_RRF = 60
@@ -90,8 +91,12 @@ def retrieve_two_stage(
 
 
 def with_payload(evidence: DataFrame, docs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add columns of the document table to its few retrieved rows."""
-    return evidence.drop(*columns).join(docs.select("doc_id", *columns), "doc_id")
+    """Add columns of the document table to its few retrieved rows.
+
+    The rows are written and counted; when they are few they go to the scan of the documents,
+    whose texts are then not shuffled.
+    """
+    return join_small(docs.select("doc_id", *columns), evidence.drop(*columns), ["doc_id"])
 
 
 def format_context(

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from verispark.functions.text import index_words, stem_pl
+from verispark.operators.ordered import BROADCAST_ROWS, join_small
 from verispark.session import cut_lineage
 
 K1 = 1.5
 B = 0.75
 SCORE_DIGITS = 6
-BROADCAST_ROWS = 1_000_000  # (query, term) rows sent to every executor at most
 
 
 def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,11 +44,11 @@ def term_idf(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame
     counts the texts and adds up the lengths, and no second scan is needed.
     """
     words = _words(docs, id_col, text_col)
-    terms = F.array_distinct(F.transform("words", stem_pl))
+    terms = F.array_distinct(F.transform(F.array_distinct("words"), stem_pl))
     rows = words.select("doc_len", F.explode(F.array_append(terms, F.lit(""))).alias("term"))
     if only_terms is not None:
         wanted = only_terms.select("term").union(only_terms.sparkSession.sql("SELECT '' AS term")).distinct()
-        rows = rows.join(wanted, "term", "left_semi")
+        rows = join_small(rows, wanted, ["term"], "left_semi")
     # Written once: both uses below would otherwise scan the texts again.
     counts = cut_lineage(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_len").alias("_len")))
     corpus = counts.filter("term = ''").select(F.col("df").alias("n_docs"), F.col("_len").alias("total_len"))
@@ -117,11 +117,12 @@ def bm25_search(
     if small:
         # Without this the planner may take the index side for the smaller one.
         scored_terms = F.broadcast(scored_terms)
+    terms = wanted.select("term").distinct()
     words = _words(docs, doc_id, doc_text)
     hits = (
         words.select("doc_id", "doc_len", F.explode("words").alias("word"))
         .select("doc_id", "doc_len", stem_pl(F.col("word")).alias("term"))
-        .join(wanted.select("term").distinct(), "term", "left_semi")
+        .join(F.broadcast(terms) if small else terms, "term", "left_semi")
         .repartition("doc_id")
         .groupBy("doc_id", "doc_len", "term")
         .agg(F.count("*").alias("tf"))

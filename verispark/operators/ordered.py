@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from verispark.session import cut_lineage
 
+BROADCAST_ROWS = 1_000_000  # rows of a checked table sent to every executor at most
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
@@ -45,6 +46,18 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table of one row per key that is usually short.
+
+    It is written and counted first. A short one is sent to every task, so a key with very many
+    rows stays spread over its tasks; a long one is joined by shuffle with skew splitting.
+    """
+    small = cut_lineage(small)
+    if small.count() <= BROADCAST_ROWS:
+        small = F.broadcast(small)
+    return big.join(small, list(on), how)
+
+
 def with_ordinal(df: DataFrame, order: Sequence[Column | str], name: str = "ordinal", start: int = 0) -> DataFrame:
     """Consecutive numbers over the whole table in `order`."""
     placed = range_sorted(df, order)
@@ -136,7 +149,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     ranked = running_sums(counted, keys, [F.col(value)], {"_upto": F.col("_c")}, pos="_p")
     sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    joined = ranked.join(sizes, list(keys)) if keys else ranked.crossJoin(sizes)  # one row of sizes
+    joined = join_small(ranked, sizes, keys) if keys else ranked.crossJoin(sizes)  # one row of sizes
     picks = []
     for i, p in enumerate(ps.values()):
         at = (F.col("_n") - 1) * F.lit(float(p))

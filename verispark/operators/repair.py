@@ -17,7 +17,7 @@ from verispark.functions.labels import (
     is_standard,
     valid_for_agent,
 )
-from verispark.functions.text import strip
+from verispark.functions.text import compute_once, strip
 
 
 def classify_labels(results: DataFrame) -> DataFrame:
@@ -62,9 +62,8 @@ def mine_trajectory_label(results: DataFrame) -> DataFrame:
 
 
 def recovery_estimate(results: DataFrame) -> DataFrame:
-    stuck = results.filter(F.col("model_label") == ERROR_MAX_STEPS)
-    mined = mined_label(F.col("raw_output"))
-    good = F.coalesce(valid_for_agent(mined, F.col("agent_name")), F.lit(False))
+    stuck = compute_once(results.filter(F.col("model_label") == ERROR_MAX_STEPS), "_found", mined_label(F.col("raw_output")))
+    good = F.coalesce(valid_for_agent(F.col("_found"), F.col("agent_name")), F.lit(False))
     return stuck.agg(
         F.count("*").alias("n_max_steps"),
         F.count(F.when(good, 1)).alias("n_recoverable"),
@@ -79,7 +78,7 @@ def error_samples(results: DataFrame) -> DataFrame:
 
 
 def _with_new_label(df: DataFrame, new) -> DataFrame:
-    df = df.withColumn("_new", new)
+    df = compute_once(df, "_new", new)
     return (
         df.withColumn("is_correct", F.when(F.col("_new").isNull(), F.col("is_correct")).otherwise(
             (F.col("_new") == strip(F.col("original_label"))).cast("int")))
@@ -100,9 +99,10 @@ def fix_labels(results: DataFrame, strict: bool = False) -> DataFrame:
 
 def recover_max_steps(results: DataFrame) -> DataFrame:
     """Pass 2: a valid label from the trajectory of a run that reached its last step."""
-    mined = mined_label(F.col("raw_output"))
-    new = F.when((F.col("model_label") == ERROR_MAX_STEPS) & valid_for_agent(mined, F.col("agent_name")), mined)
-    return _with_new_label(results, new)
+    found = F.when(F.col("model_label") == ERROR_MAX_STEPS, mined_label(F.col("raw_output")))
+    work = compute_once(results, "_found", found)
+    new = F.when(valid_for_agent(F.col("_found"), F.col("agent_name")), F.col("_found"))
+    return _with_new_label(work, new).drop("_found")
 
 
 def is_unfixable(label):
@@ -127,12 +127,10 @@ def repair_plan(results: DataFrame, skip_mining: bool = False, strict: bool = Fa
     """
     label, agent = F.col("model_label"), F.col("agent_name")
     fixed = F.when(_odd(label), fix_label(label, agent, strict))
-    work = results.withColumn("_fix", fixed)
-    if skip_mining:
-        work = work.withColumn("_mined", F.lit(None).cast("string"))
-    else:
-        mined = mined_label(F.col("raw_output"))
-        work = work.withColumn("_mined", F.when((label == ERROR_MAX_STEPS) & valid_for_agent(mined, agent), mined))
+    work = compute_once(results, "_fix", fixed)
+    mined = F.lit(None).cast("string") if skip_mining else F.when(label == ERROR_MAX_STEPS, mined_label(F.col("raw_output")))
+    work = compute_once(work, "_found", mined)
+    work = work.withColumn("_mined", F.when(valid_for_agent(F.col("_found"), agent), F.col("_found")))
     new = F.coalesce("_fix", "_mined")
     pass_no = (
         F.when(F.col("_fix").isNotNull(), 1)

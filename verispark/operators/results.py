@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verispark.functions.labels import ERROR
-from verispark.operators.ordered import keep_first, running_sums
+from verispark.operators.ordered import join_small, keep_first, running_sums
 
 KEY = ["agent_name", "claim_id", "benchmark_name", "model_name"]
 SCOPE = ["agent_name", "benchmark_name", "model_name"]
@@ -70,15 +70,20 @@ def tier_limited_claims(
 
     The first n come from a distributed top-n on id, not from numbering the whole table.
     """
+    # The roster is short: its names become a literal list per tier, and no join puts a tier in one task.
+    roster: dict[int, list[str]] = {}
+    for row in agents.select("agent_name", "tier").distinct().collect():
+        roster.setdefault(row.tier, []).append(row.agent_name)
     parts = []
-    for tier, cap in tier_limits.items():
-        caps = [c for c in (cap, limit) if c is not None]
+    for tier, names in sorted(roster.items()):
+        caps = [c for c in (tier_limits.get(tier), limit) if c is not None]
         rows = claims.orderBy("id").limit(min(caps)) if caps else claims
-        parts.append(rows.withColumn("tier", F.lit(tier)))
+        listed = F.array(*[F.lit(n) for n in sorted(names)])
+        parts.append(rows.select("*", F.lit(tier).alias("tier"), F.explode(listed).alias("agent_name")))
     pool = parts[0]
     for p in parts[1:]:
         pool = pool.unionByName(p)
-    return agents.select("agent_name", "tier").join(pool, "tier")
+    return pool
 
 
 def in_scope(results: DataFrame, scope: DataFrame) -> DataFrame:
@@ -195,7 +200,7 @@ def accuracy_snapshots(running: DataFrame, every: int = 50) -> DataFrame:
     """Every 50th row and the last one; here errors leave the denominator."""
     sizes = running.groupBy("agent_name").agg(F.max("pos").alias("_n"))
     at = (F.col("pos") % every == 0) | (F.col("pos") == F.col("_n"))
-    return running.join(sizes, "agent_name").filter(at).select(
+    return join_small(running, sizes, ["agent_name"]).filter(at).select(
         "agent_name", "pos", "correct", "errors",
         F.round(F.col("correct") / F.greatest(F.col("pos") - F.col("errors"), F.lit(1)) * 100, 6).alias("accuracy_pct"),
     )
