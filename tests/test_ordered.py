@@ -47,6 +47,13 @@ def test_rolling_matches_centred_windows(spark, skewed, window, least, block):
     np.testing.assert_allclose(got, want.to_numpy(), equal_nan=True)
 
 
+@pytest.mark.parametrize("block", [20_000, 64])
+def test_rolling_median(spark, skewed, block):
+    out = od.rolling_median(spark.createDataFrame(skewed), ["k"], ["id"], "x", 300, 20, "m", block=block).toPandas().sort_values(["k", "id"])
+    want = skewed.sort_values(["k", "id"]).groupby("k").x.rolling(300, center=True, min_periods=20).median()
+    np.testing.assert_allclose(out.m.to_numpy(dtype=float), want.to_numpy(), equal_nan=True)
+
+
 def test_exact_quantiles(spark, skewed):
     ps = {"q1": 0.25, "med": 0.5, "p99": 0.99, "lo": 0.0, "hi": 1.0}
     got = od.exact_quantiles(spark.createDataFrame(skewed), ["k"], "x", ps).toPandas().set_index("k").sort_index()

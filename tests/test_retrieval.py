@@ -65,6 +65,28 @@ def test_empty_documents_keep_length_zero(spark, docs):
     assert lx.index_stats(docs, "doc_id", "text").first().corpus_size == 5
 
 
+def test_stored_index_gives_the_same_ranks(spark, docs, tmp_path):
+    q = spark.createDataFrame([(0, "stolica Polski"), (1, "morze Bałtyk"), (2, "zzz")], "query_id long, text string")
+    lx.write_index(docs, "doc_id", "text", str(tmp_path / "index"), shards=4)
+    got = {(r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in lx.search_index(spark, str(tmp_path / "index"), q).collect()}
+    assert got == {(r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in lx.bm25_search(docs, q).collect()}
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_both_join_ways_give_the_same_ranks(spark, docs, limit, monkeypatch):
+    want = search(spark, docs, "stolica Polski", "morze")
+    monkeypatch.setattr(lx, "BROADCAST_ROWS", limit)
+    assert search(spark, docs, "stolica Polski", "morze") == want
+
+
+def test_sums_per_query_and_text_are_not_shuffled(spark, docs):
+    q = spark.createDataFrame([(0, "stolica")], "query_id long, text string")
+    plan = lx.bm25_search(docs, q)._jdf.queryExecution().executedPlan().toString()
+    head = plan[: plan.index("REPARTITION_BY_COL")]
+    assert head.count("Exchange hashpartitioning") == 2  # the ranks, and the texts' words by doc_id
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_rrf(spark):
     a = spark.createDataFrame([(0, "a", 1), (0, "b", 2)], "query_id long, doc_id string, rank int")
     b = spark.createDataFrame([(0, "b", 1), (0, "c", 2)], "query_id long, doc_id string, rank int")

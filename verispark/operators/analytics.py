@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verispark.functions.labels import UAM_LABELS
-from verispark.operators.ordered import exact_quantiles, join_small, rolling, running_sums
+from verispark.operators.ordered import exact_quantiles, join_small, rolling, rolling_median, running_sums
 
 # Short display name and cost tier per base agent.
 AGENT_META = {
@@ -95,10 +95,7 @@ def rolling_accuracy(df: DataFrame, order: Sequence[Column | str], window: int =
 
 
 def rolling_median_time(df: DataFrame, order: Sequence[Column | str], window: int = 300, least: int = 20) -> DataFrame:
-    half = window // 2
-    out = rolling(df, ["model"], order, half, window - half - 1,
-                  {"_n": F.count("time_thought"), "_m": F.percentile("time_thought", 0.5)})
-    return out.withColumn("rolling_median", F.when(F.col("_n") >= least, F.col("_m"))).drop("_n", "_m")
+    return rolling_median(df, ["model"], order, "time_thought", window, least, "rolling_median")
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from verispark.functions.text import index_words, stem_pl
+from verispark.functions.text import compute_once, index_words, stem_pl
 from verispark.operators.ordered import BROADCAST_ROWS, join_small
 from verispark.session import cut_lineage
 
@@ -16,9 +16,9 @@ SCORE_DIGITS = 6
 
 
 def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), index_words(F.col(text_col)).alias("words")).withColumn(
-        "doc_len", F.size("words").cast("bigint")
-    )
+    # Cut once: a filter on the words would otherwise cut the text again below the shuffle.
+    cut = compute_once(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "words", index_words(F.col("_text")))
+    return cut.select("doc_id", "words", F.size("words").cast("bigint").alias("doc_len"))
 
 
 def term_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,8 +37,13 @@ def doc_lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _words(docs, id_col, text_col).select("doc_id", "doc_len")
 
 
-def term_idf(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame | None = None) -> DataFrame:
-    """(term, df, n_docs, total_len, idf, avgdl) in one pass over the texts.
+def term_idf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(term, df, n_docs, total_len, idf, avgdl) in one pass over the texts."""
+    return _term_stats(docs, id_col, text_col, None).filter("term <> ''")
+
+
+def _term_stats(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame | None) -> DataFrame:
+    """Statistics per term, with one more row for the empty term.
 
     Each text sends its distinct terms and one row with the empty term; the empty term therefore
     counts the texts and adds up the lengths, and no second scan is needed.
@@ -51,12 +56,16 @@ def term_idf(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame
         rows = join_small(rows, wanted, ["term"], "left_semi")
     # Written once: both uses below would otherwise scan the texts again.
     counts = cut_lineage(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_len").alias("_len")))
-    corpus = counts.filter("term = ''").select(F.col("df").alias("n_docs"), F.col("_len").alias("total_len"))
-    # `corpus` is exactly one row.
-    joined = counts.filter("term <> ''").drop("_len").crossJoin(F.broadcast(corpus))
-    n, df = F.col("n_docs"), F.col("df")
-    return joined.withColumn("idf", F.log((n - df + 0.5) / (df + 0.5) + 1.0)).withColumn(
-        "avgdl", F.col("total_len") / n
+    corpus = counts.filter("term = ''").first()
+    n = F.lit(corpus.df if corpus else 0)
+    df = F.col("df")
+    return counts.select(
+        "term",
+        "df",
+        n.cast("bigint").alias("n_docs"),
+        F.lit(corpus._len if corpus else 0).cast("bigint").alias("total_len"),
+        F.log((n - df + 0.5) / (df + 0.5) + 1.0).alias("idf"),
+        F.lit(corpus._len / corpus.df if corpus else 1.0).alias("avgdl"),
     )
 
 
@@ -89,6 +98,63 @@ def top_k(df: DataFrame, k: int, score: str, id_col: str, ascending: bool = Fals
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+SHARDS = 256
+
+
+def write_index(docs: DataFrame, id_col: str, text_col: str, path: str, shards: int = SHARDS) -> None:
+    """Write the index once for many searches: `path/postings` and `path/terms`.
+
+    Postings lie in folders by a hash of the term, in term order inside. A term held by very many
+    texts is spread over several files.
+    """
+    rows = term_postings(docs, id_col, text_col).withColumn("shard", _shard(F.col("term"), shards))
+    by = ("shard", "term", "doc_id")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, *by).sortWithinPartitions(*by).write.partitionBy("shard").parquet(f"{path}/postings", mode="overwrite")
+    # Texts without terms count for the averages, so the statistics come from the texts.
+    terms = term_idf(docs, id_col, text_col)
+    terms.withColumn("shard", _shard(F.col("term"), shards)).write.parquet(f"{path}/terms", mode="overwrite")
+
+
+def _shard(term: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
+
+
+def _score(hits: DataFrame, scored_terms: DataFrame, on: list[str], k: int, k1: float, b: float) -> DataFrame:
+    """Best k texts per query from hits (doc_id, doc_len, term, tf) and weighted query terms."""
+    tf = F.col("tf")
+    part = F.col("weight") * tf / (tf + k1 * (1.0 - b + b * F.col("doc_len") / F.col("avgdl")))
+    sums = (
+        hits.join(scored_terms, on)
+        .groupBy("query_id", "doc_id")
+        .agg(F.sum(part).alias("score"))
+        .withColumn("_by", F.round("score", SCORE_DIGITS))
+    )
+    # Sums come in any order; ranking on rounded values keeps equal scores equal.
+    return top_k(sums, k, "_by", "doc_id").drop("_by")
+
+
+def _weighted(wanted: DataFrame, stats: DataFrame, k1: float) -> DataFrame:
+    """One row per (term, query) with everything that does not depend on the text."""
+    return wanted.join(stats, "term").select(
+        "term", "query_id", *[c for c in ("shard",) if c in stats.columns], "avgdl",
+        (F.col("qtf") * F.col("idf") * (k1 + 1.0)).alias("weight"))
+
+
+def search_index(
+    spark: SparkSession, path: str, queries: DataFrame, *, query_id: str = "query_id", query_text: str = "text",
+    k: int = 5, k1: float = K1, b: float = B,
+) -> DataFrame:
+    """`bm25_search` over an index made by `write_index`: only folders of query terms are read."""
+    wanted = cut_lineage(query_terms(queries, query_id, query_text))
+    small = wanted.count() <= BROADCAST_ROWS
+    scored = _weighted(wanted, spark.read.parquet(f"{path}/terms"), k1)
+    terms = scored.select("shard", "term").distinct()
+    postings = spark.read.parquet(f"{path}/postings")
+    hits = postings.join(F.broadcast(terms) if small else terms, ["shard", "term"], "left_semi").repartition("doc_id")
+    return _score(hits, F.broadcast(scored.drop("shard")) if small else scored.drop("shard"), ["term"], k, k1, b)
+
+
 def bm25_search(
     docs: DataFrame,
     queries: DataFrame,
@@ -109,31 +175,18 @@ def bm25_search(
     """
     wanted = cut_lineage(query_terms(queries, query_id, query_text))
     small = wanted.count() <= BROADCAST_ROWS
-    weights = term_idf(docs, doc_id, doc_text, only_terms=wanted)
-    # One row per (term, query) with everything that does not depend on the text.
-    scored_terms = wanted.join(weights, "term").select(
-        "term", "query_id", "avgdl", (F.col("qtf") * F.col("idf") * (k1 + 1.0)).alias("weight")
-    )
+    scored_terms = _weighted(wanted, _term_stats(docs, doc_id, doc_text, wanted), k1)
+    terms = wanted.select("term").distinct()
     if small:
         # Without this the planner may take the index side for the smaller one.
-        scored_terms = F.broadcast(scored_terms)
-    terms = wanted.select("term").distinct()
+        scored_terms, terms = F.broadcast(scored_terms), F.broadcast(terms)
     words = _words(docs, doc_id, doc_text)
     hits = (
         words.select("doc_id", "doc_len", F.explode("words").alias("word"))
         .select("doc_id", "doc_len", stem_pl(F.col("word")).alias("term"))
-        .join(F.broadcast(terms) if small else terms, "term", "left_semi")
+        .join(terms, "term", "left_semi")
         .repartition("doc_id")
         .groupBy("doc_id", "doc_len", "term")
         .agg(F.count("*").alias("tf"))
     )
-    tf = F.col("tf")
-    part = F.col("weight") * tf / (tf + k1 * (1.0 - b + b * F.col("doc_len") / F.col("avgdl")))
-    sums = (
-        hits.join(scored_terms, "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(part).alias("score"))
-        .withColumn("_by", F.round("score", SCORE_DIGITS))
-    )
-    # Sums come in any order; ranking on rounded values keeps equal scores equal.
-    return top_k(sums, k, "_by", "doc_id").drop("_by")
+    return _score(hits, scored_terms, ["term"], k, k1, b)

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from verispark.session import cut_lineage
@@ -123,16 +125,8 @@ def rolling(
     aggs: dict[str, Column],
     block: int = 20_000,
 ) -> DataFrame:
-    """Aggregates over rows pos-before .. pos+after per key.
-
-    Rows go to blocks of consecutive positions; those near an edge are copied to the neighbour,
-    so a frame never needs a row of another block.
-    """
-    placed = running_sums(df, keys, order, {})
-    home = F.floor((F.col("pos") - 1) / block)
-    lo = F.floor((F.col("pos") - 1 - after) / block)
-    hi = F.floor((F.col("pos") - 1 + before) / block)
-    spread = placed.withColumn("_home", home).withColumn("_block", F.explode(F.sequence(lo, hi)))
+    """Aggregates over rows pos-before .. pos+after per key."""
+    spread = _blocks(df, keys, order, before, after, block)
     frame = W.partitionBy(*keys, "_block").orderBy("pos").rowsBetween(-before, after)
     out = spread
     for name, agg in aggs.items():
@@ -140,6 +134,44 @@ def rolling(
     return out.filter("_block = _home").drop("_home", "_block")
 
 
+def _blocks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], before: int, after: int, block: int
+) -> DataFrame:
+    """Rows by blocks of consecutive positions per key.
+
+    Rows near an edge are copied to the neighbour, so a frame never needs a row of another block.
+    """
+    placed = running_sums(df, keys, order, {})
+    lo = F.floor((F.col("pos") - 1 - after) / block)
+    hi = F.floor((F.col("pos") - 1 + before) / block)
+    return placed.withColumn("_home", F.floor((F.col("pos") - 1) / block)).withColumn(
+        "_block", F.explode(F.sequence(lo, hi)))
+
+
+def rolling_median(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, window: int, least: int, name: str,
+    block: int = 20_000,
+) -> DataFrame:
+    """Median over a centred frame of `window` rows per key; NULL below `least` values.
+
+    A frame aggregate would sort each frame anew; pandas moves one sorted frame along the block.
+    """
+    half = window // 2
+    spread = _blocks(df, keys, order, half, window - half - 1, block)
+    schema = T.StructType([f for f in spread.schema.fields if f.name not in ("_home", "_block")])
+    schema = schema.add(name, T.DoubleType())
+    columns = schema.fieldNames()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        rows[name] = rows[value].astype("float64").rolling(window, center=True, min_periods=least).median()
+        # A float column would show a missing median as NaN.
+        rows[name] = rows[name].astype(object).where(rows[name].notna(), None)
+        return rows.loc[rows["_block"] == rows["_home"], columns]
+
+    return spread.groupBy(*keys, "_block").applyInPandas(run, schema)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation per key, one column per name in `ps`.
 

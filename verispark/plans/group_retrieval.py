@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verispark.functions.text import STOPWORDS, SUFFIXES, split_sentences, stem_pl, tokenize_pl
 from verispark.operators import embedding, evidence, lexical, vectors
 from verispark.plans.registry import query
-from verispark.session import cut_lineage
+from verispark.session import cut_lineage, fresh_path
 from verispark.views import table, view
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
@@ -84,6 +84,15 @@ def _(spark, sf_dir):
     return bm25_benchmark(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
+@query("search_index", "SELECT query_id, doc_id, round(raw, 6) AS score, CAST(rn AS INTEGER) AS rank FROM bm25_ranked WHERE rn <= 5", BM25_CTES)
+def _(spark, sf_dir):
+    """The index is written first; the search reads it."""
+    path = fresh_path(spark, "index")
+    lexical.write_index(table(spark, sf_dir, "documents"), "doc_id", "text", path, shards=16)
+    found = lexical.search_index(spark, path, table(spark, sf_dir, "benchmark"), query_id="item_id")
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "index_stats",
     """SELECT (SELECT count(*) FROM d_tok) AS corpus_size, (SELECT count(*) FROM d_idf) AS unique_terms,
