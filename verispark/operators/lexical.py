@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from verispark.functions.text import compute_once, index_words, stem_pl
-from verispark.operators.ordered import BROADCAST_ROWS, join_small
+from verispark.operators.ordered import BROADCAST_ROWS
 from verispark.session import cut_lineage
 
 K1 = 1.5
@@ -42,7 +42,9 @@ def term_idf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _term_stats(docs, id_col, text_col, None).filter("term <> ''")
 
 
-def _term_stats(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame | None) -> DataFrame:
+def _term_stats(
+    docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame | None, small: bool = False
+) -> DataFrame:
     """Statistics per term, with one more row for the empty term.
 
     Each text sends its distinct terms and one row with the empty term; the empty term therefore
@@ -53,7 +55,7 @@ def _term_stats(docs: DataFrame, id_col: str, text_col: str, only_terms: DataFra
     rows = words.select("doc_len", F.explode(F.array_append(terms, F.lit(""))).alias("term"))
     if only_terms is not None:
         wanted = only_terms.select("term").union(only_terms.sparkSession.sql("SELECT '' AS term")).distinct()
-        rows = join_small(rows, wanted, ["term"], "left_semi")
+        rows = rows.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
     # Written once: both uses below would otherwise scan the texts again.
     counts = cut_lineage(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_len").alias("_len")))
     corpus = counts.filter("term = ''").first()
@@ -109,8 +111,7 @@ def write_index(docs: DataFrame, id_col: str, text_col: str, path: str, shards:
     """
     rows = term_postings(docs, id_col, text_col).withColumn("shard", _shard(F.col("term"), shards))
     by = ("shard", "term", "doc_id")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, *by).sortWithinPartitions(*by).write.partitionBy("shard").parquet(f"{path}/postings", mode="overwrite")
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("shard").parquet(f"{path}/postings", mode="overwrite")
     # Texts without terms count for the averages, so the statistics come from the texts.
     terms = term_idf(docs, id_col, text_col)
     terms.withColumn("shard", _shard(F.col("term"), shards)).write.parquet(f"{path}/terms", mode="overwrite")
@@ -175,7 +176,7 @@ def bm25_search(
     """
     wanted = cut_lineage(query_terms(queries, query_id, query_text))
     small = wanted.count() <= BROADCAST_ROWS
-    scored_terms = _weighted(wanted, _term_stats(docs, doc_id, doc_text, wanted), k1)
+    scored_terms = _weighted(wanted, _term_stats(docs, doc_id, doc_text, wanted, small), k1)
     terms = wanted.select("term").distinct()
     if small:
         # Without this the planner may take the index side for the smaller one.

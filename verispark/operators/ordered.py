@@ -21,18 +21,15 @@ BROADCAST_ROWS = 1_000_000  # rows of a checked table sent to every executor at
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
-def _partitions(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def range_sorted(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Rows with `_bucket` (range partition) and `_local` (0-based place in it).
 
-    The checkpoint fixes the partition bounds: both later uses see the same buckets.
+    The number of partitions follows the data (adaptive execution joins small neighbours). The
+    checkpoint fixes the bounds: both later uses see the same buckets.
     """
     mid = F.monotonically_increasing_id()
     tagged = (
-        df.repartitionByRange(_partitions(df), *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_mid", mid)
         .withColumn("_bucket", F.shiftright("_mid", _LOCAL_BITS))

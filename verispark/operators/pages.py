@@ -122,6 +122,7 @@ LISTING_SELECTORS = {
 }
 MENU_SELECTORS = {**LISTING_SELECTORS, "items": ("nav li",), "link": ("a",)}
 
+# Selectors of a detail page.
 DETAIL_TEXTS = {
     "title": (".dg-post-content__title--desktop h2", ".dg-post-content__title h2"),
     "category": (".dg-post-content__category span",),

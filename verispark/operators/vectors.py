@@ -159,7 +159,7 @@ def _pivot_join(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int) -
 
 
 def _named(df: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
-    return df.select(F.col(id_col).alias(name), F.col(vec_col).alias("vec"))
+    return df.select(F.col(id_col).alias(name), F.col(vec_col).alias("vec")).filter(F.col("vec").isNotNull())
 
 
 def knn_search(

@@ -129,6 +129,23 @@ def _(spark, sf_dir):
     return out.react_outcome(steps(spark, sf_dir))
 
 
+@query(
+    "react_outcome_web",
+    """SELECT 'uam_web' AS agent_name, claim_id, coalesce(max(lab), 'ERROR_MAX_STEPS') AS model_label, CAST(count(*) AS INTEGER) AS n_steps, CAST(sum(length(content)) AS BIGINT) AS total_tokens,
+  CAST(sum(turn) AS BIGINT) AS prompt_tokens, CAST(sum(length(content) - turn) AS BIGINT) AS completion_tokens
+FROM (SELECT *, min(CASE WHEN lab IS NOT NULL THEN turn END) OVER (PARTITION BY claim_id) AS stop FROM (
+  SELECT *, CASE WHEN content LIKE '<think>%' THEN CAST(claim_id % 5 AS VARCHAR) END AS lab FROM v_turns WHERE role = 'assistant' AND turn < 8))
+WHERE stop IS NULL OR turn <= stop GROUP BY claim_id""",
+)
+def _(spark, sf_dir):
+    turns = view(spark, sf_dir, "v_turns").filter("role = 'assistant'")
+    n = F.length("content")
+    rows = turns.select(
+        F.lit("uam_web").alias("agent_name"), "claim_id", F.col("turn").alias("step"), "content", n.alias("total_tokens"),
+        F.col("turn").alias("prompt_tokens"), (n - F.col("turn")).alias("completion_tokens"))
+    return out.react_outcome(rows, out.WEB_MAX_STEPS, normalize=True)
+
+
 @query(
     "score_predictions",
     f"""SELECT conv_id, turn, CASE WHEN {_T} = CAST(turn % 6 AS VARCHAR) THEN 1 ELSE 0 END AS exact, CASE WHEN upper(raw) = upper(text) THEN 1 ELSE 0 END AS any_case FROM v_answers""",
