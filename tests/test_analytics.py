@@ -21,10 +21,11 @@ def data():
 def test_stabilization(spark, data):
     got = {r.model: r.stable_from for r in an.stabilization_point(spark.createDataFrame(data), ["created_at"]).collect()}
     for model, grp in data.sort_values("created_at").groupby("model"):
-        cum = grp.is_correct.expanding().mean() * 100
-        over = np.flatnonzero((cum - grp.is_correct.mean() * 100).abs().to_numpy() > 1.0)
-        conv = int(over[-1] + 1) if over.size else 0
-        assert got[model] == (conv + 1 if conv < len(grp) else None)
+        right = grp.is_correct.to_numpy()
+        running = right.cumsum() / np.arange(1, len(right) + 1)
+        outside = [place for place, share in enumerate(running, 1) if abs(share - right.mean()) > 0.01]
+        first = max(outside, default=0) + 1
+        assert got[model] == (first if first <= len(right) else None)
 
 
 def test_rolling_accuracy(spark, data):

@@ -9,15 +9,13 @@ from verispark.operators import chunking as ch
 
 
 def model(counts: list[int], max_sent: int, max_tokens: int, overlap: int) -> list[tuple[int, int]]:
-    """The window rule in plain words: fill, emit, step back by the overlap."""
-    out, i = [], 0
-    while i < len(counts):
-        j, total = i, 0
-        while j < len(counts) and j - i < max_sent and (j == i or total + counts[j] <= max_tokens):
-            total += counts[j]
-            j += 1
-        out.append((i, j - i))
-        i = max(j - overlap, i + 1) if overlap > 0 else j
+    """Each window is the longest one allowed; the next begins `overlap` before its end, or one further."""
+    at, out = 0, []
+    while at < len(counts):
+        allowed = [n for n in range(2, max_sent + 1) if at + n <= len(counts) and sum(counts[at : at + n]) <= max_tokens]
+        size = max(allowed, default=1)
+        out.append((at, size))
+        at += max(size - overlap, 1)
     return out
 
 

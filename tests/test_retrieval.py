@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -160,15 +161,12 @@ def test_embedding_model_factory(spark):
 
 
 def context(entries: list[str], budget: int) -> str:
-    parts, used = [], 0
-    for e in entries:
-        if used + len(e) > budget:
-            if budget - used > 50:
-                parts.append(e[: budget - used] + "…")
-            break
-        parts.append(e)
-        used += len(e)
-    return "\n".join(parts)
+    """Whole entries while they fit; then the start of the next, if enough of it fits."""
+    ends = list(accumulate(map(len, entries)))
+    whole = sum(end <= budget for end in ends)
+    room = budget - (ends[whole - 1] if whole else 0)
+    cut = [e[:room] + "…" for e in entries[whole : whole + 1] if room > 50]
+    return "\n".join(entries[:whole] + cut)
 
 
 @pytest.mark.parametrize("budget", [10, 60, 100, 139, 140, 170, 260, 5000])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verispark.operators import analytics as an
 from verispark.operators.subset import sample_subset
-from verispark.plans.registry import query
+from verispark.plans.registry import plain_names, query
 from verispark.views import view
 
 RULES = [("bielik", "Bielik-11B")]
@@ -218,22 +218,22 @@ def _(spark, sf_dir):
 
 @query(
     "accuracy_by_family",
-    """SELECT topic_family, round(avg(is_correct) FILTER (model = 'Bielik-11B') * 100, 6) AS "Bielik-11B", round(avg(is_correct) FILTER (model = 'llama3.1:8b') * 100, 6) AS "llama3.1:8b",
+    """SELECT topic_family, round(avg(is_correct) FILTER (model = 'Bielik-11B') * 100, 6) AS Bielik_11B, round(avg(is_correct) FILTER (model = 'llama3.1:8b') * 100, 6) AS llama3_1_8b,
   count(DISTINCT claim_id) FILTER (model = 'Bielik-11B') AS n FROM j WHERE topic_family IS NOT NULL GROUP BY topic_family ORDER BY n DESC, topic_family LIMIT 15""",
     JOIN_CTES,
 )
 def _(spark, sf_dir):
-    return an.accuracy_by_family(joined(spark, sf_dir), SHORT, "Bielik-11B")
+    return plain_names(an.accuracy_by_family(joined(spark, sf_dir), SHORT, "Bielik-11B"))
 
 
 @query(
     "accuracy_by_year",
-    """SELECT year, round(avg(is_correct) FILTER (model = 'Bielik-11B') * 100, 6) AS "Bielik-11B", round(avg(is_correct) FILTER (model = 'llama3.1:8b') * 100, 6) AS "llama3.1:8b"
+    """SELECT year, round(avg(is_correct) FILTER (model = 'Bielik-11B') * 100, 6) AS Bielik_11B, round(avg(is_correct) FILTER (model = 'llama3.1:8b') * 100, 6) AS llama3_1_8b
 FROM j WHERE year IS NOT NULL AND base_agent = 'uam_ga1' GROUP BY year""",
     JOIN_CTES,
 )
 def _(spark, sf_dir):
-    return an.accuracy_by_year(joined(spark, sf_dir).filter("base_agent = 'uam_ga1'"), SHORT)
+    return plain_names(an.accuracy_by_year(joined(spark, sf_dir).filter("base_agent = 'uam_ga1'"), SHORT))
 
 
 @query(

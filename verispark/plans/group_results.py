@@ -8,7 +8,7 @@ from verispark.functions.labels import LABEL_CLASSES, UNFIXABLE, VERBAL_EXTENDED
 from verispark.operators import repair as rp
 from verispark.operators import results as rs
 from verispark.operators import subset as sb
-from verispark.plans.registry import query
+from verispark.plans.registry import plain_names, query
 from verispark.views import table, view
 
 BASES = [f"uam_ga{i}" for i in range(1, 7)]
@@ -492,11 +492,11 @@ def _(spark, sf_dir):
 
 @query(
     "coverage_matrix",
-    """SELECT string_split(agent_name, '__')[1] AS base_agent, count(DISTINCT claim_id) FILTER (model_name = 'bielik-11b') AS "bielik-11b",
-  count(DISTINCT claim_id) FILTER (model_name = 'llama3.1-8b') AS "llama3.1-8b" FROM v_results WHERE model_label <> 'ERROR' GROUP BY 1""",
+    """SELECT string_split(agent_name, '__')[1] AS base_agent, count(DISTINCT claim_id) FILTER (model_name = 'bielik-11b') AS bielik_11b,
+  count(DISTINCT claim_id) FILTER (model_name = 'llama3.1-8b') AS llama3_1_8b FROM v_results WHERE model_label <> 'ERROR' GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    return sb.coverage_matrix(_good(spark, sf_dir), MODELS)
+    return plain_names(sb.coverage_matrix(_good(spark, sf_dir), MODELS))
 
 
 SUBSET_CTES = """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """Pivot columns named after models, with `_` for every other sign."""
+    return df.toDF(*[re.sub("[^A-Za-z0-9_]", "_", c) for c in df.columns])
+
+
 def query(name: str, sql: str | None = None, ctes: str = "") -> Callable[[Query], Query]:
     """Register a query; `ctes` are shared WITH items, views are added where named."""
 
