@@ -121,6 +121,15 @@ def test_merge_keeps_every_key_once(spark, t, s1, s2):
     assert all(r.inserted + r.skipped == r.n_rows for r in counts)
 
 
+def test_merge_reads_the_target_once(spark, sf):
+    res = view(spark, sf, "v_results")
+    target = rs.keep_first(res.filter("event_type = 'view'"), rs.KEY, ["id"])
+    sources = [res.filter(F.col("event_type") == t) for t in ("click", "error", "purchase")]
+    plan = rs.merge_results(target, sources, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 + len(sources)
+    assert plan.count("row_number(), 1, Partial") == 2
+
+
 def test_old_tables_without_model_name(spark):
     old = frame(spark, result(1)).drop("model_name")
     assert rs.align_result_schema(old).first().model_name == ""

@@ -186,7 +186,7 @@ def claim_dims(claims: DataFrame) -> DataFrame:
 
 
 def join_claim_dims(results: DataFrame, claims: DataFrame) -> DataFrame:
-    return results.join(claim_dims(claims), "claim_id", "left")
+    return join_small(results, claim_dims(claims), ["claim_id"], "left")
 
 
 def accuracy_by_family(joined: DataFrame, models: Sequence[str], count_model: str, top: int = 15) -> DataFrame:

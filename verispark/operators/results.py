@@ -124,11 +124,12 @@ def insert_results(target: DataFrame, incoming: DataFrame, order: Sequence[Colum
 def merge_results(target: DataFrame, sources: Sequence[DataFrame], order: Sequence[Column | str]) -> DataFrame:
     """Rows of the sources that the target lacks, earlier sources first; `source_no` tells whose.
 
-    One pass: each key keeps its first row over all sources.
+    Each key keeps its first row over all sources before the target is looked at: repeated keys
+    are cut ahead of the shuffle, and the target is read once whatever the number of sources.
     """
     pool = union_results([s.withColumn("source_no", F.lit(i)) for i, s in enumerate(sources, 1)])
-    fresh = pool.join(align_result_schema(target).select(*KEY), KEY, "left_anti")
-    return keep_first(fresh, KEY, [F.col("source_no"), *order])
+    first = keep_first(pool, KEY, [F.col("source_no"), *order])
+    return first.join(align_result_schema(target).select(*KEY), KEY, "left_anti")
 
 
 def merge_counts(merged: DataFrame, sources: Sequence[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verispark.operators.ordered import keep_first
+from verispark.operators.ordered import join_small, keep_first
 from verispark.operators.results import KEY, base_agent
 
 
@@ -57,7 +57,8 @@ def restrict_results(
 ) -> DataFrame:
     """Rows of one benchmark, of the known models and common claims; the first per key."""
     kept = results.filter((F.col("benchmark_name") == benchmark) & F.col("model_name").isin(*models))
-    return keep_first(kept.join(common, "claim_id", "left_semi"), KEY, order)
+    # Repeated keys are cut before the shuffle; the claims are then few enough to be sent around.
+    return join_small(keep_first(kept, KEY, order), common, ["claim_id"], "left_semi")
 
 
 def enrich_claims(claims: DataFrame, common: DataFrame) -> DataFrame:
