@@ -30,7 +30,7 @@ class Texts:
         return len(self.offsets) - 1
 
 
-def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Texts]:
+def slices(column: pa.Array, max_bytes: int = SLICE_BYTES, max_docs: int = 1 << 20) -> Iterator[Texts]:
     """The texts of a column, a null as an empty text, in slices of whole documents."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -46,7 +46,7 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Texts]:
     at = 0
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + max_bytes, side="right")) - 1
-        end = min(n, max(end, at + 1))
+        end = min(n, max(end, at + 1), at + max_docs)
         yield Texts(at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
         at = end
 
