@@ -3,7 +3,7 @@
 Each filter is a table of 256 values for each of WIDTH byte positions, so a convolution is WIDTH look-ups. A
 document is covered by overlapping chunks (CHUNK bytes, each half shared with the next) from its first to its
 last byte; every filter is max-pooled over each chunk, and the mean and the maximum of the pooled values over all
-chunks give one probability. Filters and output weights are learned together by gradient descent on a bounded
+chunks, with two inputs for the text's size, give one probability. Filters and output weights are learned together by gradient descent on a bounded
 sample of labelled documents.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from verispark.llm.sampling import class_sample, remainder
 from verispark.llm.textbytes import slices
 
-WIDTH, FILTERS, STEP = 6, 20, 2
+WIDTH, FILTERS, STEP = 6, 24, 2
 CHUNK = 512
 TRAIN_PER_CLASS = 500
 TRAIN_MAX_BYTES = 20_000  # longer documents are not sampled for training; scoring has no such bound
@@ -37,11 +37,12 @@ class ByteNet:
         self.bias = np.zeros(FILTERS, np.float32)
         self.mean_w = rng.normal(0, 0.1, FILTERS).astype(np.float32)
         self.max_w = rng.normal(0, 0.1, FILTERS).astype(np.float32)
+        self.size_w = np.zeros(2, np.float32)
         self.last = np.zeros(1, np.float32)
 
     @property
     def parameters(self) -> list[np.ndarray]:
-        return [self.tables, self.bias, self.mean_w, self.max_w, self.last]
+        return [self.tables, self.bias, self.mean_w, self.max_w, self.size_w, self.last]
 
     def responses(self, data: np.ndarray) -> np.ndarray:
         """Filter responses at every STEP-th byte, where WIDTH bytes follow (padded with zero bytes)."""
@@ -70,16 +71,21 @@ class ByteNet:
             return np.maximum(halves, 0), out
         return np.maximum(np.maximum(halves[:-1], halves[1:]), 0), out
 
-    def logit(self, chunks: np.ndarray) -> float:
-        return float(chunks.mean(axis=0) @ self.mean_w + chunks.max(axis=0) @ self.max_w + self.last[0])
+    @staticmethod
+    def size(n_bytes: int) -> np.ndarray:
+        """A short text reaches lower maxima than a long one of the same kind; these two inputs make up for it."""
+        return np.array([32 / (32 + n_bytes), 256 / (256 + n_bytes)], np.float32)
+
+    def logit(self, chunks: np.ndarray, n_bytes: int) -> float:
+        return float(chunks.mean(axis=0) @ self.mean_w + chunks.max(axis=0) @ self.max_w + self.size(n_bytes) @ self.size_w + self.last[0])
 
     def score(self, data: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(self.pooled(data)[0]), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.logit(self.pooled(data)[0], len(data)), -30, 30))))
 
     def gradients(self, data: np.ndarray, target: float) -> list[np.ndarray]:
         """Of the log loss of one document; through a maximum only its own position learns."""
         chunks, out = self.pooled(data)
-        error = 1 / (1 + np.exp(-np.clip(self.logit(chunks), -30, 30))) - target
+        error = 1 / (1 + np.exp(-np.clip(self.logit(chunks, len(data)), -30, 30))) - target
         d_mean, d_max = chunks.mean(axis=0) * error, chunks.max(axis=0) * error
         d_chunks = np.repeat(self.mean_w[None] * error / len(chunks), len(chunks), axis=0)
         d_chunks[chunks.argmax(axis=0), np.arange(FILTERS)] += self.max_w * error
@@ -93,7 +99,7 @@ class ByteNet:
             at = out[c * half : (c + 2) * half].argmax(axis=0) + c * half
             for w in range(WIDTH):
                 d_tables[w, padded[at * STEP + w], columns] += d_chunks[c]
-        return [d_tables, d_bias, d_mean, d_max, np.array([error], np.float32)]
+        return [d_tables, d_bias, d_mean, d_max, self.size(len(data)) * np.float32(error), np.array([error], np.float32)]
 
     def fit(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, batch: int = 16, rate: float = 0.02) -> None:
         """Adam on shuffled batches."""
@@ -137,10 +143,26 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
         net.mean_w[:] = net.max_w[:] = 0
         net.last[:] = 3.0 if y[0] else -3.0
         return net
-    net.fit([r["text"].encode() for r in rows], y, np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())))
+    texts = [r["text"].encode() for r in rows]
+    # Few sampled documents are short. A run of words of a good text is good too, so each gives one short excerpt;
+    # a run of a bad text need not be bad.
+    good = [t for t, label in zip(texts, y) if label == 1]
+    texts, y = texts + _excerpts(good), np.concatenate([y, np.ones(len(good), np.float32)])
+    net.fit(texts, y, np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())))
     return net
 
 
+def _excerpts(texts: list[bytes]) -> list[bytes]:
+    """One run of whole words of each text, 1 to 40 words long."""
+    rng, out = np.random.default_rng(7), []
+    for text in texts:
+        words = text.split(b" ")
+        n = int(np.exp(rng.uniform(0, np.log(40))))
+        at = int(rng.integers(0, max(1, len(words) - n + 1)))
+        out.append(b" ".join(words[at : at + n]))
+    return out
+
+
 def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """Adds score and predicted to (..., text), whose text goes."""
     names = [c for c in docs.columns if c != "text"]
