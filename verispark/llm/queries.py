@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verispark.llm import langid, packing, quality
+from verispark.llm import langid, packing, quality, url_filter
 from verispark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,44 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# The rules of the query.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: URLs whose own canonical form more than one page has (mirrors of one page)."""
+    pages = table(spark, sf_dir, "pages")
+    key = url_filter.canonical(F.col("url"))
+    mirrored = pages.filter("url IS NOT NULL").groupBy(key.alias("_k")).agg(F.count_distinct("url").alias("_n"), F.min("url").alias("url")).filter("_n > 1")
+    return url_filter.filter_urls(pages, mirrored, URL_RULES)
+
+
+ORACLES["op5_url_filter"] = r"""
+WITH parts AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+    list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+      lambda k: k <> '' AND NOT regexp_matches(k, '^(utm_[a-z]+|ref|fbclid|gclid|session|sid)=')) AS keys
+  FROM pages),
+named AS (
+  SELECT page_id, url, host, path, CASE WHEN host <> '' THEN
+    concat(regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', ''), regexp_replace(path, '(/index)?\.html?$|/+$', ''),
+      CASE WHEN len(keys) > 0 THEN concat('?', array_to_string(list_sort(keys), '&')) ELSE '' END) END AS canonical
+  FROM parts),
+listed AS (SELECT canonical FROM named WHERE canonical IS NOT NULL GROUP BY canonical HAVING count(DISTINCT url) > 1),
+judged AS (
+  SELECT page_id, host, path, canonical, canonical IN (SELECT canonical FROM listed) AS listed,
+    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM named)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict,
+  canonical, coalesce(listed, false) AS listed
+FROM judged
+"""
