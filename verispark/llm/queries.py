@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispark.llm import langid, packing, quality, url_filter
+from verispark.llm import chat, langid, packing, quality, url_filter
 from verispark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,43 @@ SELECT page_id, host, path, rule,
   canonical, coalesce(listed, false) AS listed
 FROM judged
 """
+
+
+@query
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.chat_digest(chat.format_chats(rows.unionByName(extra)))
+
+
+ORACLES["op4_chat_windows"] = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos,
+    len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]')) + 4 AS n,
+    length('<turn><turn-text></turn>') + 1 + length(role) + length(text) + length(role) - length(replace(role, '\', ''))
+      + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(role, '</?turn')) + len(regexp_extract_all(text, '</?turn')) AS chars
+  FROM rows_),
+lead_ AS (SELECT conv_id, n AS sys_n, chars AS sys_chars FROM numbered WHERE pos = 0 AND role = 'system'),
+summed AS (
+  SELECT t.*, sys_n, sys_chars, pos = 0 AND sys_n IS NOT NULL AS is_lead, CASE WHEN pos = 0 AND sys_n IS NOT NULL THEN 0 ELSE n END AS tok,
+    sum(CASE WHEN pos = 0 AND sys_n IS NOT NULL THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY pos) AS e,
+    greatest(2048 - 512 - coalesce(sys_n, 0), 512) AS room
+  FROM numbered t LEFT JOIN lead_ USING (conv_id)),
+placed AS (SELECT *, e - tok AS s, floor((e - tok) / room) AS a, floor(greatest(e - 1, e - tok) / room) AS b FROM summed),
+windows AS (SELECT conv_id, a, b, min(s) AS s0, min(pos) AS p0, max(sys_chars) AS sys_chars FROM placed GROUP BY ALL),
+repeated AS (
+  SELECT conv_id, sys_chars AS chars FROM windows WHERE p0 > 0 AND sys_chars IS NOT NULL
+  UNION ALL
+  SELECT w.conv_id, t.chars FROM windows w JOIN placed t ON t.conv_id = w.conv_id AND NOT t.is_lead AND t.pos < w.p0 AND t.s >= w.s0 - 512 AND t.tok <= 512
+  UNION ALL SELECT conv_id, chars FROM placed),
+chars AS (SELECT conv_id, sum(chars) AS formatted_chars FROM repeated GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY pos)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY pos)) AS loss_sha256,
+  CAST(any_value(formatted_chars) AS BIGINT) AS formatted_chars
+FROM numbered JOIN chars USING (conv_id) GROUP BY conv_id
+"""
