@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispark.llm import chat, langid, packing, quality, url_filter
+from verispark.llm import chat, langid, licences, packing, quality, url_filter
 from verispark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), tex
   CAST(any_value(formatted_chars) AS BIGINT) AS formatted_chars
 FROM numbered JOIN chars USING (conv_id) GROUP BY conv_id
 """
+
+
+@query
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+_ITEMS = ", ".join(f"('{licence}', '{rule}', {n}, {k}, '{s}')" for licence, rule, n, k, s in licences.rule_items(licences.LICENCES))
+ORACLES["op3_licence_scan"] = r"""
+WITH items(licence, rule, n, k, sentence) AS (VALUES """ + _ITEMS + r"""),
+forms AS (
+  SELECT doc_id, 'line' AS form, string_split(regexp_replace(regexp_replace(text, '([.!?;:])[ \t\r\n]+', concat('\1', chr(1)), 'g'), '\n+', chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, 'wrapped', string_split(regexp_replace(regexp_replace(text, '([.!?;:])[ \t\r\n]+', concat('\1', chr(1)), 'g'), '\n[ \t\r]*\n+', chr(1), 'g'), chr(1)) FROM documents WHERE text IS NOT NULL),
+units AS (SELECT doc_id, form, unnest(range(len(parts))) AS pos, unnest(parts) AS raw FROM forms),
+found AS (
+  SELECT doc_id, form, pos, licence, rule, n, k FROM units JOIN items
+  ON trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) = sentence),
+per_rule AS (
+  SELECT doc_id, form, licence, rule, min(pos) AS first_pos, max(pos) AS last_pos,
+    list_reduce(list_prepend({'k': 0, 'n': 0}, list({'k': k, 'n': n} ORDER BY pos, k DESC)),
+      lambda state, x: {'k': CASE WHEN x.k <> state.k % 1000 + 1 THEN state.k WHEN x.k = x.n THEN state.k - state.k % 1000 + 1000 ELSE state.k + 1 END, 'n': 0}).k // 1000 AS n_passages
+  FROM found GROUP BY ALL),
+per_form AS (SELECT doc_id, form, licence, sum(n_passages) AS n, min(first_pos) AS f, max(last_pos) AS l FROM per_rule WHERE n_passages > 0 GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, licence ORDER BY n DESC, form = 'line' DESC, f DESC, l DESC) AS rn FROM per_form)
+SELECT doc_id, licence, CAST(n AS BIGINT) AS n_matches, CAST(f AS INTEGER) AS first_sentence, CAST(l AS INTEGER) AS last_sentence FROM best WHERE rn = 1
+"""
