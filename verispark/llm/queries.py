@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispark.llm import chat, langid, licences, packing, quality, url_filter
+from verispark.llm import chat, decontam, langid, licences, packing, quality, url_filter
 from verispark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ per_form AS (SELECT doc_id, form, licence, sum(n_passages) AS n, min(first_pos)
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, licence ORDER BY n DESC, form = 'line' DESC, f DESC, l DESC) AS rn FROM per_form)
 SELECT doc_id, licence, CAST(n AS BIGINT) AS n_matches, CAST(f AS INTEGER) AS first_sentence, CAST(l AS INTEGER) AS last_sentence FROM best WHERE rn = 1
 """
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
