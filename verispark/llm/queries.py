@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispark.llm import chat, decontam, langid, licences, packing, quality, url_filter
+from verispark.llm import chat, decontam, langid, licences, packing, quality, token_counts, url_filter
 from verispark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,10 @@ SELECT doc_id, licence, CAST(n AS BIGINT) AS n_matches, CAST(f AS INTEGER) AS fi
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = docs.withColumn("edits", token_counts.scrub_edits(F.col("text"), F.col("doc_id")))
+    return token_counts.edited_token_counts(edited, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
