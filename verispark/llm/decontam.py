@@ -59,8 +59,8 @@ class Templates:
     def __init__(self, texts: Texts) -> None:
         raw = texts.data
         data = lower_ascii(raw)
+        after_c3 = np.zeros(len(raw), bool)
         if len(raw):
-            after_c3 = np.zeros(len(raw), bool)
             after_c3[1:] = raw[:-1] == 0xC3
             capital_latin = after_c3 & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
             data = np.where(capital_latin, data + np.uint8(32), data)  # É is É's small letter 32 further
@@ -86,6 +86,9 @@ class Templates:
         first = raw[starts] if len(starts) else np.zeros(0, np.uint8)
         second = raw[np.minimum(starts + 1, len(raw) - 1)] if len(starts) else first
         capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
+        # A word all in capitals is no name: such texts write every word so.
+        small = np.concatenate([[0], np.cumsum(((raw >= 97) & (raw <= 122)) | (after_c3 & (raw >= 0xA0)))]) if len(raw) else np.zeros(1, np.int64)
+        capital &= small[ends] > small[starts]
         found = np.searchsorted(_UNIT_HASHES, self.value)
         unit = _UNIT_HASHES[np.minimum(found, len(_UNIT_HASHES) - 1)] == self.value
         self.type = np.select([digits[ends] > digits[starts], unit, capital & ~opens], [NUMBER, UNIT, NAME], LITERAL).astype(np.int8)
