@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verispark.llm.tables import without_ids
 from verispark.llm.textbytes import Texts, lower_ascii, mix, sequence_hashes, slices, span_hashes, word_spans
 
 WIDTH = 8  # words of a window; a shorter item is one window of its own length
@@ -190,6 +191,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MI
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that hold no benchmark item; all their columns are kept."""
-    bad = contaminated(docs, benchmark, min_coverage, id_col).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of `docs` that hold no benchmark item; all their columns are kept, and so are rows with a null id."""
+    return without_ids(docs, contaminated(docs, benchmark, min_coverage, id_col).select("doc_id"), id_col)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verispark.llm.components import connected
-from verispark.llm.tables import store
+from verispark.llm.tables import store, without_ids
 from verispark.llm.textbytes import Texts, lower_ascii, mix, sequence_hashes, slices, span_hashes, word_spans
 
 SHINGLE = 5
@@ -255,3 +255,20 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, max_cost: int
     own = own.select(F.col("doc").alias("_doc"), F.coalesce("comp", "rep").alias("_comp"))
     out = signed.select("doc", "n").join(own, F.col("doc") == F.col("_doc"), "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("_comp", "doc").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `docs` without near duplicates: of each class the row with the smallest id; all columns stay.
+
+    Rows that repeat an id are cut to one as well, the one with the least text; rows with a null id all stay.
+    """
+    found = near_duplicates(docs, similarity, id_col=id_col)
+    per_id = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("comp"), F.count("*").alias("k"))
+    per_id = store(per_id.filter("doc_id <> comp OR k > 1"), "doubles")
+    kept = without_ids(docs, per_id.select("doc_id"), id_col)
+    repeated = per_id.filter("doc_id = comp").select(F.col("doc_id").alias("_doc"))
+    if not repeated.limit(1).count():
+        return kept
+    rows = docs.join(repeated, F.col(id_col) == F.col("_doc"), "left_semi")
+    first = rows.groupBy(id_col).agg(F.min(F.struct(F.col("text"), *[c for c in docs.columns if c not in (id_col, "text")])).alias("_r"))
+    return kept.unionByName(first.select(id_col, "_r.*").select(*docs.columns))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from verispark.llm.tables import store
 from verispark.llm.wordids import word_ids
@@ -156,7 +157,7 @@ def place(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_rank", F.row_number().over(within)).join(base, ["length", "_salt"])
     ranked = ranked.select(*cut.columns, (F.col("_rank") + F.col("_base") - 1).cast("long").alias("_rank"))
-    schema = cut.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType(list(cut.schema.fields)).add("sequence_id", "long").add("offset", "long")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

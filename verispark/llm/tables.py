@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verispark.session import fresh_path
 
@@ -32,3 +33,29 @@ def release(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+BITMAP_BITS = 1 << 23
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id is not in `ids` (its first column); all columns stay. Null ids stay.
+
+    A bitmap of fixed size (at most BITMAP_BITS / 64 rows, so its broadcast has a proven bound) clears most rows at once
+    where they are; only rows whose bit is set are moved to the exact join.
+    """
+    named = ids.select(F.col(ids.columns[0]).alias("_id")).filter("_id IS NOT NULL").distinct()
+
+    def slot(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(BITMAP_BITS))
+
+    def bit(name: str) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), slot(name).bitwiseAND(F.lit(63)).cast("int"))
+
+    words = named.groupBy(F.shiftright(slot("_id"), 6).alias("_word")).agg(F.bit_or(bit("_id")).alias("_bits"))
+    marked = docs.withColumn("_word", F.shiftright(slot(id_col), 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.col(id_col).isNotNull() & (F.col("_bits").bitwiseAND(bit(id_col)) != 0), F.lit(False))
+    sure = marked.filter(~hit).select(*docs.columns)
+    asked = marked.filter(hit).select(*docs.columns)
+    left = asked.join(named, F.col(id_col) == F.col("_id"), "left_anti")
+    return sure.unionByName(left)
