@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from verispark.llm.sampling import class_sample, remainder
+from verispark.llm.tables import text_batches
 from verispark.llm.textbytes import Texts, lower_ascii, slices
 
 BINS = 4096
@@ -140,11 +142,16 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Hierarchy | None:
     return Hierarchy(x, np.array([r["lang"] for r in got], object))
 
 
-def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
-    """Adds lang_pred and score to (doc_id, text, ...): `und` with score 0 for a text that is null or has no letter."""
+def predict(docs: DataFrame, model: Hierarchy | None, keep_text: bool = False) -> DataFrame:
+    """Adds lang_pred and score to (doc_id, text, ...): `und` with score 0 for a text that is null or has no letter.
+
+    The text goes unless `keep_text`; it is then the last column but two.
+    """
+    text_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "text"]
     marked = docs.select(*names, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"), "text")
-    schema = docs.drop("text").schema.add("lang_pred", "string").add("score", "double")
+    fields = [docs.schema[c] for c in (*names, *(["text"] if keep_text else []))]
+    schema = StructType(fields).add("lang_pred", "string").add("score", "double")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +162,8 @@ def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
                 if model is not None:
                     pred, score = model.predict(features(texts))
                     pred[~letters[part]], score[~letters[part]] = UNKNOWN, 0.0
-                kept = [batch.column(k).slice(texts.first, len(texts)) for k in range(len(names))]
+                shown = [*range(len(names)), *([len(names) + 1] if keep_text else [])]
+                kept = [batch.column(k).slice(texts.first, len(texts)) for k in shown]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score)], schema.names)
 
     return marked.mapInArrow(label, schema)

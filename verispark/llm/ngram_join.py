@@ -14,8 +14,8 @@ ones, for any l: the l-match prefix. A longer prefix costs more to look up and d
    verification.
 4. Costlier documents get the longest prefix: the whole set, counted anew among them and in order of frequency, where
    one of the rarest m + 1 shingles must be common. Frequent groups are near copies of each other, so in each shingle's
-   group all are first verified against one leader; what links is one class and needs no pairs. Only documents whose
-   class differs from another class of their group are then verified against that class's members.
+   group all are first verified against one leader; what links is one class and needs no pairs. Only documents outside
+   their group's largest class are then compared with the others, block by block.
 5. Pairs are verified with exact set sizes; connected components of the links give the classes.
 """
 
@@ -25,19 +25,21 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verispark.llm.components import connected
-from verispark.llm.tables import store, without_ids
+from verispark.llm.tables import store, text_batches, without_ids
 from verispark.llm.textbytes import Texts, lower_ascii, mix, sequence_hashes, slices, span_hashes, word_spans
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
 SHORT = 20  # one more match for each SHORT shingles
 MAX_COST = 64
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+BLOCK = 512  # sets of a block in the exact comparison of what leaders left
 BITMAP_BITS = 1 << 23
 
 
@@ -126,6 +128,11 @@ def _compatible(a: Column, b: Column, similarity: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * similarity
 
 
+def _enough_in_common(a_n: Column, a_c: Column, b_n: Column, b_c: Column, similarity: int) -> Column:
+    """No more can be common than either set has repeated shingles (a_c, b_c); the similarity asks for a share of both sizes."""
+    return F.least(a_c, b_c) * (100 + similarity) >= (a_n + b_n) * similarity
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
     left = sets.select(F.col("doc").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
@@ -177,7 +184,8 @@ def _long_prefixes(sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFra
     rows = store(rows.filter(F.size("r") * 100 >= F.col("n") * similarity), "long-prefixes")
     # The shingles of one document alone come first in the order, so they take up places.
     kept = F.size("r") - F.ceil(F.col("n") * similarity / 100).cast("int") + 1
-    long = rows.select("doc", "n", F.explode(F.slice("r", 1, F.greatest(kept, F.lit(1)))).alias("k")).select("doc", "n", F.col("k.token").alias("token"))
+    long = rows.select("doc", "n", F.size("r").alias("c"), F.explode(F.slice("r", 1, F.greatest(kept, F.lit(1)))).alias("k"))
+    long = long.select("doc", "n", "c", F.col("k.token").alias("token"))
     return long, rows.select("doc", "n", F.col("r.token").alias("tokens"))
 
 
@@ -194,22 +202,103 @@ def _leader_pairs(posts: DataFrame, turn: int, similarity: int) -> DataFrame:
     """
     step = math.log(100 / similarity)
     sized = posts.withColumn("size", F.floor(F.log("n") / (2 * step) + F.lit(turn / LEADER_ROUNDS)))
-    leaders = sized.groupBy("token", "size").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "comp")).alias("l"))
+    leaders = sized.groupBy("token", "size").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "c", "comp")).alias("l"))
     met = sized.join(leaders, ["token", "size"])
-    met = met.filter((F.col("comp") != F.col("l.comp")) & _compatible(F.col("n"), F.col("l.n"), similarity))
+    met = met.filter((F.col("comp") != F.col("l.comp")) & _enough_in_common(F.col("n"), F.col("c"), F.col("l.n"), F.col("l.c"), similarity))
     return met.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b")).distinct()
 
 
-def _rest_pairs(posts: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """All candidates left: documents outside their group's largest class, against the other classes of the group."""
+def _size_class(n: Column, similarity: int) -> Column:
+    """Classes of half the largest compatible ratio: sets that can link are at most two apart (three with rounding)."""
+    return F.floor(F.log(n) * (2 / math.log(100 / similarity))).cast("int")
+
+
+def block_links(ask: pd.DataFrame, have: pd.DataFrame, similarity: int) -> pd.DataFrame:
+    """Links between two blocks of sets: for each asking set one partner in each other class.
+
+    Shingles that many sets of both blocks hold are counted by a matrix product, the others by their few pairs.
+    """
+    sizes = [np.array([len(t) for t in x["tokens"]], np.int64) for x in (ask, have)]
+    tokens = [np.concatenate([np.asarray(t, np.int64) for t in x["tokens"]]) for x in (ask, have)]
+    rows = [np.repeat(np.arange(len(s)), s) for s in sizes]
+    both = np.intersect1d(tokens[0], tokens[1])
+    found = []
+    for t, r in zip(tokens, rows):
+        at = np.minimum(np.searchsorted(both, t), max(len(both) - 1, 0))
+        keep = both[at] == t if len(both) else np.zeros(len(t), bool)
+        order = np.lexsort((r[keep], at[keep]))
+        found.append((at[keep][order], r[keep][order]))
+    (a_token, a_row), (b_token, b_row) = found
+    a_df, b_df = np.bincount(a_token, minlength=len(both)), np.bincount(b_token, minlength=len(both))
+    common = np.zeros((len(ask), len(have)), np.float32)
+    dense = np.flatnonzero(a_df * b_df >= 1024)
+    for at in range(0, len(dense), 2048):
+        part = dense[at : at + 2048]
+        sides = []
+        for token, row, n in ((a_token, a_row, len(ask)), (b_token, b_row, len(have))):
+            place = np.minimum(np.searchsorted(part, token), len(part) - 1)
+            mine = part[place] == token
+            side = np.zeros((n, len(part)), np.float32)
+            side[row[mine], place[mine]] = 1
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    a_first, b_first = np.cumsum(a_df) - a_df, np.cumsum(b_df) - b_df
+    sparse = np.setdiff1d(np.arange(len(both)), dense)
+    for at in range(0, len(sparse), 4096):
+        part = sparse[at : at + 4096]
+        pairs = a_df[part] * b_df[part]
+        token = np.repeat(part, pairs)
+        k = np.arange(len(token)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        np.add.at(common, (a_row[a_first[token] + k // b_df[token]], b_row[b_first[token] + k % b_df[token]]), 1)
+    a_n, b_n = ask["n"].to_numpy()[:, None], have["n"].to_numpy()[None, :]
+    link = (common * 100 >= (a_n + b_n - common) * similarity) & (ask["comp"].to_numpy()[:, None] != have["comp"].to_numpy()[None, :])
+    i, j = np.nonzero(link)
+    out = pd.DataFrame({"a": ask["doc"].to_numpy()[i], "b": have["doc"].to_numpy()[j], "comp": have["comp"].to_numpy()[j]})
+    return out.drop_duplicates(["a", "comp"])[["a", "b"]]
+
+
+def _rest_links(posts: DataFrame, sets: DataFrame, similarity: int, block: int = BLOCK) -> DataFrame:
+    """The links that leaders did not show: documents outside their group's largest class against all of their cluster.
+
+    A cluster holds what shares prefix shingles, directly or through others. It is cut into blocks of bounded size by
+    size class and hash; asking blocks meet the blocks of compatible classes, each pair of blocks in one task, and only
+    links come back. A document whose repeated shingles leave no room for any partner of its cluster asks nothing.
+    """
     per_class = posts.groupBy("token", "comp").agg(F.count("*").alias("k"))
     groups = per_class.groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("k", "comp")).alias("big")).filter("classes > 1")
-    outside = posts.join(groups, "token").filter(F.col("comp") != F.col("big.comp")).select("token", "doc", "n", "comp")
-    others = per_class.join(groups.select("token"), "token").select("token", F.col("comp").alias("other"))
-    asked = outside.join(others, "token").filter(F.col("comp") != F.col("other")).select("doc", "n", "other").distinct()
-    members = posts.select(F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("comp").alias("other")).distinct()
-    pairs = asked.join(members, "other").filter(_compatible(F.col("n"), F.col("b_n"), similarity))
-    return pairs.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
+    mixed = posts.join(groups.select("token", F.col("big.comp").alias("big")), "token")
+    heads = mixed.groupBy("token").agg(F.min("doc").alias("head"))
+    clusters = connected(mixed.join(heads, "token").select(F.col("doc").alias("a"), F.col("head").alias("b")))
+    asks = mixed.groupBy("doc", "n", "c", "comp").agg(F.max((F.col("comp") != F.col("big")).cast("int")).alias("outside"))
+    docs = asks.join(clusters.withColumnRenamed("comp", "cluster"), "doc").withColumn("size", _size_class(F.col("n"), similarity))
+    docs = store(docs, "rest")
+    # A partner of a set with c repeated shingles has at most c * (100 + s) / s - n shingles, and no fewer than the least of its cluster.
+    least = docs.groupBy("cluster").agg(F.min("n").alias("least_n"))
+    room = F.col("c") * (100 + similarity) >= (F.col("n") + F.greatest(F.col("least_n"), F.ceil(F.col("n") * similarity / 100))) * similarity
+    asking = docs.filter("outside = 1").join(least, "cluster").filter(room).drop("least_n")
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("cluster", "size").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+    ask_blocks, have_blocks = blocks(asking, "a_blocks"), blocks(docs, "b_blocks")
+    near = F.explode(F.sequence(F.col("size") - 3, F.col("size") + 3))
+    a = asking.join(ask_blocks, ["cluster", "size"]).select("cluster", F.col("size").alias("a_size"), F.pmod(F.xxhash64("doc"), "a_blocks").cast("int").alias("a_no"), near.alias("b_size"), "doc", "n", "comp")
+    a = a.join(have_blocks.withColumnRenamed("size", "b_size"), ["cluster", "b_size"]).withColumn("b_no", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
+    b = docs.join(have_blocks, ["cluster", "size"]).select("cluster", F.col("size").alias("b_size"), F.pmod(F.xxhash64("doc"), "b_blocks").cast("int").alias("b_no"), near.alias("a_size"), "doc", "n", "comp")
+    b = b.join(ask_blocks.withColumnRenamed("size", "a_size"), ["cluster", "a_size"]).withColumn("a_no", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1)))
+    keys = ["cluster", "a_size", "a_no", "b_size", "b_no"]
+    tokens = sets.select("doc", "tokens")
+    left = a.select(*keys, "doc", "n", "comp").join(tokens, "doc")
+    right = b.select(*keys, "doc", "n", "comp").join(tokens, "doc")
+    right = right.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "doc", "n", "comp", "tokens")])
+
+    def meet(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        if ask.empty or have.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        return block_links(ask, have.rename(columns=lambda c: c.removeprefix("_")), similarity)
+
+    tiles = left.groupBy(*keys).cogroup(right.groupBy(*[f"_{k}" for k in keys]))
+    return tiles.applyInPandas(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, max_cost: int = MAX_COST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,6 +307,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, max_cost: int
     A null or empty text has no shingles and links with nothing; a row with a null id has a null component; rows with
     one id are one node; an empty table gives no rows; other columns are ignored.
     """
+    text_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     signed = store(signatures(texts, similarity), "signatures")
     known = signed.filter("n > 0 AND doc IS NOT NULL")
@@ -241,8 +331,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, max_cost: int
             more = store(verified(_leader_pairs(_with_classes(posts, classes), turn, similarity), cut, similarity), "links")
             inner = more if inner is None else inner.unionByName(more)
             classes = connected(inner)
-        rest = verified(_rest_pairs(store(_with_classes(posts, classes), "posts"), cut, similarity), cut, similarity)
-        links += [inner, rest]
+        links += [inner, _rest_links(store(_with_classes(posts, classes), "posts"), cut, similarity)]
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)

@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from verispark.llm.sampling import class_sample, remainder
+from verispark.llm.tables import text_batches
 from verispark.llm.textbytes import slices
 
 WIDTH, FILTERS, STEP = 6, 24, 2
@@ -163,10 +165,12 @@ def _excerpts(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """Adds score and predicted to (..., text), whose text goes."""
+def predict(docs: DataFrame, net: ByteNet | None, keep_text: bool = False) -> DataFrame:
+    """Adds score and predicted to (..., text), whose text goes unless `keep_text`; it is then the last column but two."""
+    text_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "text"]
-    schema = docs.drop("text").schema.add("score", "double").add("predicted", "integer")
+    fields = [docs.schema[c] for c in (*names, *(["text"] if keep_text else []))]
+    schema = StructType(fields).add("score", "double").add("predicted", "integer")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +179,7 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                     score = np.full(len(texts), 0.5)
                 else:
                     score = np.array([net.score(texts.data[a:b]) for a, b in zip(texts.offsets[:-1], texts.offsets[1:])])
-                kept = [batch.column(k).slice(texts.first, len(texts)) for k in range(len(names))]
+                kept = [batch.column(k).slice(texts.first, len(texts)) for k in range(len(names) + keep_text)]
                 flags = pa.array((score >= THRESHOLD).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(score), flags], schema.names)
 

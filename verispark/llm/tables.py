@@ -31,6 +31,16 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+TEXT_BATCH = 2000  # rows of whole texts that a Python worker holds at once
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for columns of whole texts, unless the session names a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, TEXT_BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
