@@ -232,3 +232,14 @@ def test_subset(spark):
 def test_validate_lists_missing_fields(spark):
     df = frame(spark, result(1)).drop("raw_output").withColumn("model_label", F.lit(None).cast("string"))
     assert rs.validate_results(df).first().missing == ["model_label", "raw_output"]
+
+
+def test_null_labels_are_kept_and_counted(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 1, "b", "m", None, "0", 0, ""), (2, "a", 2, "b", "m", "ERROR", "0", 0, ""), (3, "a", 3, "b", "m", "1", "1", 1, "")],
+        "id int, agent_name string, claim_id int, benchmark_name string, model_name string, model_label string, original_label string, is_correct int, raw_output string")
+    assert [r.id for r in rs.purge_errors(rows, rows).orderBy("id").collect()] == [1, 3]
+    plan = {r.id: r.action for r in rp.repair_plan(rows).collect()}
+    assert plan == {1: "delete", 2: "delete"}
+    assert {r.model_label: r.n for r in rp.unfixable_counts(rows).collect()} == {None: 1, "ERROR": 1}
+    assert [r.id for r in rp.drop_unfixable(rows).collect()] == [3] and rp.repair_summary(rows).first().deleted == 2

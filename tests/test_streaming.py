@@ -38,6 +38,11 @@ def test_restart_adds_no_duplicates(spark, tmp_path):
     batch = build_chunks(spark.createDataFrame([(3, "T3", art(3)["text"])], "page_id long, title string, text string"))
     want = {(r.chunk_id, r.text) for r in batch.collect()}
     assert {(r.chunk_id, r.text) for r in second.filter("page_id = 3").collect()} == want
+    # The first line of a page counts: not the second one of page 1, and a blank one ends its page.
+    assert not any("Inny" in r.text or "Nowy" in r.text for r in second.collect())
+    write_lines(src, "c.jsonl", art(4, "Za późno."), art(5, "  "), art(5, "Za późno."), art(6, "Zebra pierwsza."), art(6, "Abc druga."))
+    third = {r.page_id: r.text for r in run().filter("page_id > 3").collect()}
+    assert third == {6: "Zebra pierwsza."}
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
@@ -124,3 +129,15 @@ def test_failures(spark):
     rows = [("c", 1, "t1", "old", "x"), ("c", 2, "t2", "m" * 400, "\n".join(["a", "", *"bcdefg"]))]
     row = pg.failure_digest(spark.createDataFrame(rows, "context string, id long, at string, message string, traceback string")).first()
     assert (row.n, len(row.message), len(row.headline), row.traceback) == (2, 300, 80, "c\nd\ne\nf\ng")
+
+
+def test_table_stream_reads_folders_of_part_files(spark, sf, tmp_path):
+    from verispark.views import table_stream
+
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for place in (sf, str(tmp_path)):
+        name = f"seen_{abs(hash(place))}"
+        query = table_stream(spark, place, "events", 1).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table(name).count() == rows.count()

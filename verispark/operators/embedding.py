@@ -58,7 +58,11 @@ def embed_chunks(
 
 def embed_distinct(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """Embed each distinct text once and give the vector to every row that has the text."""
-    once = embed_chunks(df.select(text_col).distinct(), text_col, **options)
-    return df.join(once, text_col, "left")
+    out = options.get("out_col", "embedding")
+    keyed = df.withColumn("_text", F.sha2(text_col, 256))
+    # One row per text is kept before the shuffle; only digest and vector meet the rows again, so no text is moved twice.
+    first = keyed.filter(F.col(text_col).isNotNull()).groupBy("_text").agg(F.any_value(text_col).alias(text_col))
+    once = embed_chunks(first, text_col, **options).select("_text", out)
+    return keyed.join(once, "_text", "left").drop("_text")
 
 

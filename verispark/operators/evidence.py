@@ -45,9 +45,11 @@ def _vector(vectors: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
     return near.withColumn("vector_score", vector_score(F.col("distance")))
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Lexical and vector lists of min(2k, 50) each, fused, cut to k."""
-    fetch = min(2 * k, 50)
+def hybrid_search(
+    docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 5, fetch: int | None = None,
+) -> DataFrame:
+    """Lexical and vector lists of `fetch` rows each (2k, or 50 where that is less but still at least k), fused, cut to k."""
+    fetch = fetch or max(k, min(2 * k, 50))
     lists = [_lexical(docs, queries, fetch), _vector(vectors, query_vectors, fetch)]
     fused = rrf_fuse(lists, payload=("bm25_score", "vector_score"))
     return fused.filter(F.col("rank") <= k)

@@ -50,6 +50,11 @@ ROUNDS = ("Opening", "Rebuttal", "Closing")  # fixed values
 FALLBACK_LABEL = "NIEWERYFIKOWALNE"  # fixed value: label of a debater that failed
 
 
+# The consolidator's prompt and its part per expert.
+CONSOLIDATOR = "Oryginalne pytanie:\n{q}\n\nAnalizy ekspertów:\n\n{b}\nOceń argumenty i jakość grounding'u, podaj finalną odpowiedź."
+EXPERT_BLOCK = "=== Ekspert {i} ({s}, temp={t}, top_p={p}) ===\nOdpowiedź: {l}\nRozumowanie:\n{r}\n"
+
+
 def fill(template: str, **parts: Column) -> Column:
     """Put columns into the named places of a text."""
     pieces: list[Column] = []
@@ -92,13 +97,9 @@ def consolidator_prompt(votes: DataFrame, questions: DataFrame) -> DataFrame:
     """(claim_id, prompt) from votes (style_no, style, temperature, top_p, label, reasoning)."""
     one = F.struct("style_no", "style", "temperature", "top_p", "label", "reasoning")
     rows = votes.groupBy("claim_id").agg(F.array_sort(F.collect_list(one)).alias("v")).join(questions, "claim_id")
-    blocks = F.array_join(F.transform("v", lambda v, i: F.concat(
-        F.lit("=== Ekspert "), (i + 1).cast("string"), F.lit(" ("), v["style"], F.lit(", temp="), v["temperature"].cast("string"),
-        F.lit(", top_p="), v["top_p"].cast("string"), F.lit(") ===\nOdpowiedź: "), v["label"],
-        F.lit("\nRozumowanie:\n"), v["reasoning"], F.lit("\n"))), "")
-    text = fill(
-        "Oryginalne pytanie:\n{q}\n\nAnalizy ekspertów:\n\n{b}\nOceń argumenty i jakość grounding'u, podaj finalną odpowiedź.",
-        q=F.col("question"), b=blocks)
+    blocks = F.array_join(F.transform("v", lambda v, i: fill(
+        EXPERT_BLOCK, i=i + 1, s=v["style"], t=v["temperature"], p=v["top_p"], l=v["label"], r=v["reasoning"])), "")
+    text = fill(CONSOLIDATOR, q=F.col("question"), b=blocks)
     return rows.select("claim_id", text.alias("prompt"))
 
 

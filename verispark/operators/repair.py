@@ -88,7 +88,8 @@ def _with_new_label(df: DataFrame, new) -> DataFrame:
 
 
 def _odd(label):
-    return ~is_standard(label) & ~label.isin(ERROR, ERROR_MAX_STEPS)
+    """Neither a label nor one of the error marks; a NULL label is odd."""
+    return F.coalesce(~is_standard(label) & ~label.isin(ERROR, ERROR_MAX_STEPS), F.lit(True))
 
 
 def fix_labels(results: DataFrame, strict: bool = False) -> DataFrame:
@@ -106,7 +107,8 @@ def recover_max_steps(results: DataFrame) -> DataFrame:
 
 
 def is_unfixable(label):
-    return label.isin(*UNFIXABLE) | _odd(label)
+    """To be run again; a NULL label is one of these and counted under NULL."""
+    return F.coalesce(label.isin(*UNFIXABLE), F.lit(False)) | _odd(label)
 
 
 def drop_unfixable(results: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def in_scope(results: DataFrame, scope: DataFrame) -> DataFrame:
 
 def purge_errors(results: DataFrame, scope: DataFrame) -> DataFrame:
     """Drop ERROR rows of the agents in `scope`, so that they are tried again."""
-    return in_scope(results, scope).filter(~(F.col("_in") & (F.col("model_label") == ERROR))).drop("_in")
+    return in_scope(results, scope).filter(~(F.col("_in") & F.col("model_label").eqNullSafe(ERROR))).drop("_in")
 
 
 def clear_scope(results: DataFrame, scope: DataFrame) -> DataFrame:
@@ -168,8 +168,8 @@ def select_agents(agents: DataFrame, names: Sequence[str] | None, completed: Dat
 
 
 def agent_summary(results: DataFrame) -> DataFrame:
-    """Totals per agent; ERROR rows count as claims but add no tokens, time or correct answers."""
-    ok = F.col("model_label") != ERROR
+    """Totals per agent; ERROR rows count as claims but add no tokens, time or correct answers. A NULL label is no ERROR."""
+    ok = ~F.col("model_label").eqNullSafe(ERROR)
 
     def total(c: str) -> Column:
         return F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0))
@@ -189,7 +189,7 @@ def agent_summary(results: DataFrame) -> DataFrame:
 
 def running_accuracy(results: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Accuracy after each row per agent, in `order`."""
-    ok = F.col("model_label") != ERROR
+    ok = ~F.col("model_label").eqNullSafe(ERROR)
     run = running_sums(
         results.select("agent_name", "id", "model_label", "is_correct", "created_at"), ["agent_name"], order,
         {"correct": F.when(ok, F.col("is_correct")).otherwise(0), "errors": (~ok).cast("int")},

@@ -196,14 +196,21 @@ def knn_search_lsh(
     query_id: str = "query_id",
     vec: str = "embedding",
     tables: int = 8,
-    bits: int = 4,
+    bits: int | None = None,
     seed: int = 7,
+    bucket_rows: int = 128,
 ) -> DataFrame:
-    """Approximate neighbours: only rows that share a random-projection bucket in some table meet."""
+    """Approximate neighbours: only rows that share a random-projection bucket in some table meet.
+
+    Without `bits` there are enough of them for about `bucket_rows` rows in a bucket, whatever the corpus' size.
+    A query may get fewer than k rows; `recall` measures what is found.
+    """
     c, q = _named(corpus, corpus_id, vec, "doc_id"), _named(queries, query_id, vec, "query_id")
     head = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     if head.n == 0:
         return top_k(c.sparkSession.createDataFrame([], _out_schema(q, c)), k, "distance", "doc_id", ascending=True)
+    if bits is None:
+        bits = max(1, min(20, (max(1, c.count()) // bucket_rows).bit_length()))
     planes = np.random.default_rng(seed).standard_normal((tables * bits, head.d))
 
     def buckets(df: DataFrame) -> DataFrame:

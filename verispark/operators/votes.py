@@ -14,6 +14,13 @@ GROUNDING_RATIO = 1.3  # fixed value: how much better a minority must be grounde
 MIN_TERM = 3  # fixed value: terms are longer than this
 
 
+# Lines of the report for the consolidator.
+REPORT_TITLE = "Wstępna analiza grounding'u (automatyczna):"
+EXPERT_LINE = "  - Ekspert %s: %s odwołań do artykułów z kontekstu, odpowiedź: %s"
+MAJORITY_LINE = "  Większość (%s/3) wybrała: %s."
+MINORITY_LINE = "  ⚠ Ekspert %s (mniejszość) ma wyższy grounding (%s) niż średnia większości (%s). Rozważ jakość argumentów."
+
+
 def vote_summary(votes: DataFrame) -> DataFrame:
     """Labels in style order, number of votes, majority label (ties: the one seen first) and its count."""
     per = votes.groupBy("claim_id", "label").agg(
@@ -96,17 +103,13 @@ def grounding_report(grounded: DataFrame) -> DataFrame:
     def name(v: Column) -> Column:
         return v["style_no"].cast("string")
 
-    lines = F.transform("votes", lambda v: F.concat(
-        F.lit("  - Ekspert "), name(v), F.lit(": "), v["score"].cast("string"),
-        F.lit(" odwołań do artykułów z kontekstu, odpowiedź: "), v["label"]))
-    majority = F.when(F.col("majority_count") >= 2, F.array(F.concat(
-        F.lit("  Większość ("), F.col("majority_count").cast("string"), F.lit("/3) wybrała: "), F.col("majority_label"), F.lit("."))))
-    alerts = F.transform(F.filter("votes", _better_grounded), lambda v: F.concat(
-        F.lit("  ⚠ Ekspert "), name(v), F.lit(" (mniejszość) ma wyższy grounding ("), v["score"].cast("string"),
-        F.lit(") niż średnia większości ("), F.bround("majority_score", 0).cast("int").cast("string"),
-        F.lit("). Rozważ jakość argumentów.")))
+    mean = F.bround("majority_score", 0).cast("int").cast("string")
+    lines = F.transform("votes", lambda v: F.format_string(EXPERT_LINE, name(v), v["score"].cast("string"), F.coalesce(v["label"], F.lit(""))))
+    majority = F.when(F.col("majority_count") >= 2, F.array(
+        F.format_string(MAJORITY_LINE, F.col("majority_count").cast("string"), F.col("majority_label"))))
+    alerts = F.transform(F.filter("votes", _better_grounded), lambda v: F.format_string(MINORITY_LINE, name(v), v["score"].cast("string"), mean))
     none = F.array().cast("array<string>")
-    body = F.concat(F.array(F.lit("Wstępna analiza grounding'u (automatyczna):")), lines, F.coalesce(majority, none), alerts)
+    body = F.concat(F.array(F.lit(REPORT_TITLE)), lines, F.coalesce(majority, none), alerts)
     differ = (F.col("majority_count") < F.size("votes")) & (F.col("n_terms") > 0)
     return panel.select("claim_id", F.when(differ, F.array_join(body, "\n")).otherwise("").alias("report"))
 

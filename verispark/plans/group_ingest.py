@@ -31,12 +31,12 @@ def _statements(spark, sf_dir):
 # ---- readers and writers -------------------------------------------------------------------
 
 
-@query("read_claims_csv", "SELECT question, answers, correct_answer_index, name, year, nullif(type, '') AS type FROM v_exam")
+@query("read_claims_csv", "SELECT question, answers, correct_answer_index, name, year, type FROM v_exam")
 def _(spark, sf_dir):
     path = fresh_path(spark, "exam-csv")
     rows = view(spark, sf_dir, "v_exam").select(*rd.CLAIM_CSV)
     rows.write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return rd.read_claims_csv(spark, path).withColumn("type", F.nullif("type", F.lit("")))
+    return rd.read_claims_csv(spark, path)
 
 
 @query(
@@ -109,10 +109,10 @@ def _(spark, sf_dir):
     return rd.read_chunks_jsonl(spark, path).select(*_CHUNK_COLS)
 
 
-@query("jsonl_to_csv", """SELECT CAST(page_id AS VARCHAR) AS pageid, title, text, concat('["', lang, '","', source, '"]') AS categories FROM v_articles WHERE text <> ''""")
+@query("jsonl_to_csv", """SELECT CAST(page_id AS VARCHAR) AS pageid, title, text, concat('["', lang, '","', source, '"]') AS categories FROM v_articles""")
 def _(spark, sf_dir):
     source, target = fresh_path(spark, "articles"), fresh_path(spark, "articles-csv")
-    arts = view(spark, sf_dir, "v_articles").filter("text <> ''")
+    arts = view(spark, sf_dir, "v_articles")
     arts.select(F.col("page_id").alias("pageid"), "title", "text", F.array("lang", "source").alias("categories")).write.json(source)
     wr.jsonl_to_csv(spark, source, target, rd.ARTICLE)
     got = rd.read_claims_csv(spark, target, tuple(f.name for f in rd.ARTICLE.fields))
@@ -135,19 +135,19 @@ def _(spark, sf_dir):
     return scan_preset(spark, "wiki_chunks", paths={"wiki_chunks": path})
 
 
-# Stored chunks: pages in English and German. The batch: new versions of German and French pages.
+# Stored chunks: all pages but the French ones. The batch: new versions of German and Spanish pages, and the French ones.
 _LAYERS = """
 lay AS (SELECT c.*, a.lang FROM chunks c JOIN v_articles a ON a.page_id = c.page_id),
-pool AS (SELECT chunk_id, num_tokens, title, section_index, 0 AS layer, lang FROM lay WHERE lang IN ('en', 'de')
-  UNION ALL SELECT chunk_id, num_tokens, concat(title, ' v2'), section_index, 1, lang FROM lay WHERE lang IN ('de', 'fr')),
+pool AS (SELECT chunk_id, num_tokens, title, section_index, 0 AS layer, lang FROM lay WHERE lang <> 'fr'
+  UNION ALL SELECT chunk_id, num_tokens, concat(title, ' v2'), section_index, 1, lang FROM lay WHERE lang <> 'en'),
 """
 
 
 def _layers(spark, sf_dir):
     langs = view(spark, sf_dir, "v_articles").select("page_id", "lang")
     rows = cut_lineage(_chunks(spark, sf_dir).join(langs, "page_id").select("chunk_id", "num_tokens", "title", "section_index", "lang"))
-    target = rows.filter("lang IN ('en', 'de')")
-    batch = rows.filter("lang IN ('de', 'fr')").withColumn("title", F.concat("title", F.lit(" v2")))
+    target = rows.filter("lang <> 'fr'")
+    batch = rows.filter("lang <> 'en'").withColumn("title", F.concat("title", F.lit(" v2")))
     return target, batch
 
 
@@ -158,6 +158,7 @@ def _layers(spark, sf_dir):
 )
 def _(spark, sf_dir):
     target, batch = _layers(spark, sf_dir)
+    target = keep_first(target, ["chunk_id"], [F.col("section_index").desc()])  # a stored table has one row per id
     return wr.upsert_chunks(target, batch, ["section_index"]).select("chunk_id", "num_tokens", "title", "section_index")
 
 
@@ -177,7 +178,7 @@ def _(spark, sf_dir):
     path = fresh_path(spark, "results-csv")
     cols = ("id", "agent_name", "claim_id", "model_label", "raw_output")
     wr.export_results_csv(view(spark, sf_dir, "v_results").select(*cols), path)
-    return rd.read_claims_csv(spark, path, cols).withColumn("model_label", F.coalesce("model_label", F.lit("")))
+    return rd.read_claims_csv(spark, path, cols)
 
 
 @query("replace_by_source", "SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'again' ELSE 'first' END AS load, source FROM documents WHERE NOT (source = 'src2' AND lang = 'en')")

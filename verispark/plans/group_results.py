@@ -224,17 +224,18 @@ def _(spark, sf_dir):
     return rs.accuracy_snapshots(rs.running_accuracy(results(spark, sf_dir), _ORD))
 
 
-_COMPLETED = f"""SELECT string_split(agent_name, '__')[1] AS base_agent, model_name, count(*) AS n_rows FROM v_results WHERE event_type <> 'view'
-GROUP BY agent_name, model_name HAVING count(*) >= (SELECT count(*) FROM (SELECT id FROM v_claims UNION ALL SELECT doc_id FROM labels))"""
+_COMPLETED = f"""SELECT string_split(agent_name, '__')[1] AS base_agent, model_name, count(*) AS n_rows FROM v_results
+GROUP BY agent_name, model_name HAVING count(*) >= (SELECT count(*) FROM (SELECT id FROM v_claims UNION ALL SELECT doc_id FROM labels UNION ALL SELECT -1 - doc_id FROM labels))"""
 
 
 def _claims_universe(spark, sf_dir):
-    return view(spark, sf_dir, "v_claims").select("id").unionByName(
-        table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+    """The claims and two more per labelled document, one on its quality and one on its tone."""
+    labelled = table(spark, sf_dir, "labels").select(F.explode(F.array(F.col("doc_id"), -1 - F.col("doc_id"))).alias("id"))
+    return view(spark, sf_dir, "v_claims").select("id").unionByName(labelled)
 
 
 def _completed(spark, sf_dir):
-    return rs.completed_pairs(results(spark, sf_dir).filter("event_type <> 'view'"), _claims_universe(spark, sf_dir), BENCH)
+    return rs.completed_pairs(results(spark, sf_dir), _claims_universe(spark, sf_dir), BENCH)
 
 
 @query("completed_pairs", _COMPLETED)
@@ -246,14 +247,10 @@ def _(spark, sf_dir):
     "select_agents",
     f"""SELECT agent_name, model_name FROM (SELECT DISTINCT agent_name, model_name FROM v_results) a
 WHERE string_split(agent_name, '__')[1] IN ('uam_ga1', 'uam_ga2', 'uam_ga3') AND NOT EXISTS (
-  SELECT 1 FROM (SELECT agent_name AS an, model_name AS mn FROM v_results WHERE event_type = 'click' GROUP BY 1, 2 HAVING count(*) >= 170) d WHERE d.an = a.agent_name AND d.mn = a.model_name)""",
+  SELECT 1 FROM ({_COMPLETED}) d WHERE d.base_agent = string_split(a.agent_name, '__')[1] AND d.model_name = a.model_name)""",
 )
 def _(spark, sf_dir):
-    res = results(spark, sf_dir)
-    done = (
-        res.filter("event_type = 'click'").groupBy("agent_name", "model_name").count().filter("count >= 170")
-        .select(rs.base_agent(F.col("agent_name")).alias("base_agent"), "model_name")
-    )
+    done = _completed(spark, sf_dir)
     names = [n for n, _ in AGENTS if n.split("__")[0] in ("uam_ga1", "uam_ga2", "uam_ga3")]
     return rs.select_agents(agents_of(spark, sf_dir), names, done).select("agent_name", "model_name")
 
@@ -528,13 +525,12 @@ def _(spark, sf_dir):
     "coverage_check",
     """SELECT 'outside_subset' AS problem, '' AS pair, count(*) AS n FROM common WHERE claim_id NOT IN (SELECT id FROM v_claims) HAVING count(*) > 0
 UNION ALL SELECT 'pair_missing', concat(p.base, '/', p.model_name), count(*) FROM common c CROSS JOIN (SELECT DISTINCT string_split(agent_name, '__')[1] AS base, model_name FROM v_results) p
-WHERE NOT EXISTS (SELECT 1 FROM v_results r WHERE r.event_type = 'view' AND r.claim_id = c.claim_id AND string_split(r.agent_name, '__')[1] = p.base AND r.model_name = p.model_name) GROUP BY 2
+WHERE NOT EXISTS (SELECT 1 FROM v_results r WHERE r.claim_id = c.claim_id AND string_split(r.agent_name, '__')[1] = p.base AND r.model_name = p.model_name) GROUP BY 2
 UNION ALL SELECT 'no_common', '', 0 FROM (SELECT count(*) AS c FROM common) WHERE c = 0""",
     SUBSET_CTES,
 )
 def _(spark, sf_dir):
-    part = results(spark, sf_dir).filter("event_type = 'view'")
-    return sb.coverage_check(_common(spark, sf_dir), view(spark, sf_dir, "v_claims").select("id"), part, BASES, MODELS)
+    return sb.coverage_check(_common(spark, sf_dir), view(spark, sf_dir, "v_claims").select("id"), results(spark, sf_dir), BASES, MODELS)
 
 
 @query("restrict_results", "SELECT id, agent_name, claim_id, model_name FROM restricted", SUBSET_CTES)

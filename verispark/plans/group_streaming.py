@@ -17,17 +17,22 @@ from verispark.views import project, table, table_stream, view
 # ---- articles ------------------------------------------------------------------------------
 
 
-@query("stream_ingest_articles", "SELECT chunk_id, page_id, num_tokens, text FROM chunks WHERE page_id IN (SELECT page_id FROM v_articles WHERE source <> 'src3')", WINDOW_CTES)
+@query("stream_ingest_articles", "SELECT chunk_id, page_id, num_tokens, text FROM chunks WHERE page_id IN (SELECT page_id FROM v_articles WHERE source NOT IN ('src3', 'src5'))", WINDOW_CTES)
 def _(spark, sf_dir):
-    """Article files arrive in two rounds; the second repeats pages of the first and has bad lines."""
+    """Article files arrive in two rounds; the second repeats pages of the first and has bad lines.
+
+    Each line is followed by one with another text for its page. Pages of one source have a blank first line: they are done with it.
+    """
     base = fresh_path(spark, "ingest")
     paths = {n: f"{base}/{n}" for n in ("lines", "chunks", "pages", "checkpoint")}
     arts = view(spark, sf_dir, "v_articles")
     good = arts.filter("source <> 'src3'")
     line = F.to_json(F.struct(F.col("page_id").alias("pageid"), "title", "text"))
+    first = F.when(F.col("source") == "src5", F.lit(" ")).otherwise(F.col("text"))
+    twice = F.array(*[F.to_json(F.struct(F.col("page_id").alias("pageid"), "title", t.alias("text"))) for t in (first, F.concat(F.lit("Abc. "), "text"))])
     rounds = [
-        good.filter("lang = 'en'").select(line.alias("value")),
-        good.select(line.alias("value")).union(arts.filter("source = 'src3'").select(F.substring(line, 1, 15).alias("value"))),
+        good.filter("lang = 'en'").select(F.explode(twice).alias("value")),
+        good.select(F.explode(twice).alias("value")).union(arts.filter("source = 'src3'").select(F.substring(line, 1, 15).alias("value"))),
     ]
     for rows in rounds:
         rows.write.mode("append").text(paths["lines"])

@@ -34,11 +34,14 @@ CHUNK = T.StructType([
 
 CORRUPT = "_corrupt"
 
+# A quoted empty field is an empty text, a bare one is NULL; writers and readers must agree.
+CSV_BLANKS = {"emptyValue": "", "nullValue": "\u0000"}
+
 
 def read_claims_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = CLAIM_CSV) -> DataFrame:
     """CSV with a header, quoted fields over several lines, every column as text."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', **CSV_BLANKS)
 
 
 def read_claims_json(spark: SparkSession, path: str, schema: T.StructType = CLAIM_JSON) -> DataFrame:
@@ -46,16 +49,16 @@ def read_claims_json(spark: SparkSession, path: str, schema: T.StructType = CLAI
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def parse_articles(lines: DataFrame, schema: T.StructType = ARTICLE) -> DataFrame:
+def parse_articles(lines: DataFrame, schema: T.StructType = ARTICLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Lines (column `value`) to article columns plus `_corrupt`: the line when it is bad JSON.
 
-    A byte order mark is cut and blank lines are left out. Works on batch and stream alike.
+    A byte order mark is cut and blank lines are left out; columns in `keep` stay. Works on batch and stream alike.
     """
     text = F.regexp_replace("value", r"^\x{FEFF}", "")
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json("_line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    kept = lines.select(text.alias("_line")).filter(F.trim("_line") != "")
-    return kept.select(parsed.alias("_a")).select("_a.*")
+    kept = lines.select(text.alias("_line"), *keep).filter(F.trim("_line") != "")
+    return kept.select(parsed.alias("_a"), *keep).select("_a.*", *keep)
 
 
 def read_articles_jsonl(spark: SparkSession, path: str, schema: T.StructType = ARTICLE) -> DataFrame:

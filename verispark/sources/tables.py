@@ -1,19 +1,10 @@
-"""Table scans: spreading of short scans and the named presets."""
+"""Table scans: the named presets."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a scan that has fewer splits than the cluster has cores.
-
-    A large table has more splits than cores and passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # Table, text column and columns of each preset.
 PRESETS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "wiki_chunks": (

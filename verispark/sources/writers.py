@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verispark.operators.ordered import keep_first
+from verispark.operators.ordered import keep_first, without_ids
 
 
 def _csv(df: DataFrame, path: str) -> None:
@@ -46,12 +46,14 @@ def replace_by_source(rows: DataFrame, path: str) -> None:
 
 
 def upsert_chunks(target: DataFrame, batch: DataFrame, order: Sequence[str] = ("_seq",)) -> DataFrame:
-    """Target with the batch put over it: the last row per chunk_id wins. Write it to a new folder."""
+    """Target with the batch put over it: the last row per chunk_id wins. The target has one row per id already.
+
+    A bitmap of the batch's ids, of fixed size, is looked up where the target's rows are. Only target rows that may be
+    replaced meet the batch in a join, so texts and vectors of the others are not moved.
+    """
     seq = [F.col(c).desc() for c in order if c in batch.columns]
-    old = target.withColumn("_layer", F.lit(0))
-    new = batch.withColumn("_layer", F.lit(1))
-    pool = old.unionByName(new, allowMissingColumns=True)
-    return keep_first(pool, ["chunk_id"], [F.col("_layer").desc(), *seq]).drop("_layer")
+    last = keep_first(batch, ["chunk_id"], seq) if seq else batch.dropDuplicates(["chunk_id"])
+    return without_ids(target, last.select("chunk_id"), "chunk_id").unionByName(last, allowMissingColumns=True)
 
 
 def append_new_chunks(target: DataFrame, batch: DataFrame, order: Sequence[str]) -> DataFrame:

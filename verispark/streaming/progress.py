@@ -19,7 +19,7 @@ def progress(results: DataFrame, totals: DataFrame) -> DataFrame:
 
     `totals` holds (benchmark_name, total). `eta_s` is NULL when nothing is left or nothing moves.
     """
-    ok = F.col("model_label") != ERROR
+    ok = ~F.col("model_label").eqNullSafe(ERROR)
     sums = results.groupBy("agent_name", "benchmark_name").agg(
         F.count("*").alias("done"),
         F.sum(F.when(ok, F.col("is_correct")).otherwise(0)).cast("bigint").alias("correct"),
@@ -98,7 +98,8 @@ class PhaseTracker(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         name, no = self._now.get() if self._now.exists() else (None, 0)
-        # A batch holds a bounded number of updates per job; order is restored inside it.
+        # The shuffle keeps no order, so a job's updates of one batch are sorted here. The source bounds a batch
+        # (maxFilesPerTrigger of `table_stream`); a job's own updates of one batch must fit into a task.
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["at_s", "seq"], kind="stable")
         starts = (batch["phase"] != batch["phase"].shift(fill_value=name)) | (batch["done"] == 0)
         numbers = no + starts.cumsum()
@@ -117,10 +118,10 @@ PHASE_ROW = T.StructType([
 
 
 def stream_phase_segments(updates: DataFrame) -> DataFrame:
-    """Stream form of `phase_segments` for updates (job, seq, at_s, phase, done) that arrive in order."""
-    updates.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Stream form of `phase_segments` for updates (job, seq, at_s, phase, done) whose batches come in order.
+
+    The session's state store must be RocksDB, as `build_session` sets it.
+    """
     return updates.select("job", "seq", "at_s", "phase", "done").groupBy("job").transformWithStateInPandas(
         PhaseTracker(), outputStructType=PHASE_ROW, outputMode="Append", timeMode="None")
 

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verispark.sources.tables import spread
 
-
-# Tables of long texts: their work per byte is high, so a file read as one split is spread first.
+# Tables of long texts: their work per byte is high.
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
+# A file of one row group is one task. Whoever runs such small files on many cores (the bench does) can name a number of
+# partitions; nothing is dealt anew unless this is set, whatever the size.
+SCAN_PARTITIONS = "spark.verispark.scanPartitions"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    wanted = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted and name in TEXT_TABLES else df
 
 
 # name -> (base table, projection)
@@ -107,10 +110,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return project(table(spark, sf_dir, VIEWS[name][0]), name)
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 64) -> DataFrame:
+    """The same table as a stream of files, whether it is one file or a folder of part files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    is_file = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    reader = spark.readStream.schema(spark.read.parquet(str(path.toString())).schema).option("maxFilesPerTrigger", files_per_batch)
+    # A stream source is a folder, so a table of one file is picked out of its own.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if is_file else reader.parquet(path.toString())
 
 
 def project(df: DataFrame, name: str) -> DataFrame:
@@ -119,8 +125,8 @@ def project(df: DataFrame, name: str) -> DataFrame:
     if name == "v_votes":
         df = df.selectExpr("*", "explode(array(1, 2, 3)) AS style_no")
     # A Spark SQL string literal reads \\" as ", so the backslash is doubled for it.
-    df.createOrReplaceTempView("_verispark_base")
-    return df.sparkSession.sql(f"SELECT {projection.replace(chr(92), chr(92) * 2)} FROM _verispark_base")
+    text = projection.replace(chr(92), chr(92) * 2).replace("{", "{{").replace("}", "}}")
+    return df.sparkSession.sql(f"SELECT {text} FROM {{base}}", base=df)
 
 
 def duckdb_cte(name: str) -> str:
