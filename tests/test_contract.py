@@ -5,7 +5,7 @@ import re
 import __spark_entry__ as entry
 
 # Queries that SQL cannot express or that give other rows by design.
-WITHOUT_SQL = {"embed_chunks", "embed_distinct_queries", "knn_search_lsh", "extract_detail"}
+WITHOUT_SQL: set[str] = set()
 
 
 def own_names(names) -> set[str]:
@@ -24,11 +24,6 @@ def test_entry(spark):
     assert df.columns == ["query_id", "doc_id", "score", "rank"] and df.count() > 0
 
 
-def test_rows_only_queries(spark, sf):
-    for name in WITHOUT_SQL:
-        assert entry.queries()[name](spark, sf).count() > 0
-
-
 def test_no_query_takes_a_part_of_a_table():
     banned = ("LIMIT 1000", "TABLESAMPLE", "USING SAMPLE")
     for name, text in entry.oracle_sql().items():

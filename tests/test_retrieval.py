@@ -203,3 +203,43 @@ def test_scan_search_does_not_shuffle_the_corpus(spark, clustered):
     df, _ = clustered
     plan = vc.knn_search(df, df.withColumnRenamed("chunk_id", "query_id"), 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in plan
+
+
+def test_other_tokenizer_splitter_counter_and_mode(spark):
+    from pyspark.sql import functions as F
+
+    from verispark.operators import chunking, embedding, evidence, lexical
+
+    docs = spark.createDataFrame([(1, "w i z", "t", "s"), (2, "miasto i rzeka", "t", "s"), (3, "morze", "t", "s")], "doc_id long, text string, title string, section string")
+    asked = spark.createDataFrame([(7, "i z")], "query_id long, text string")
+    assert lexical.bm25_search(docs, asked).count() == 0  # function words are no terms
+    found = lexical.bm25_search(docs, asked, tokenize=lambda c: F.split(c, " ")).orderBy("rank").collect()
+    assert [r.doc_id for r in found] == [1, 2]
+    article = spark.createDataFrame([(1, "T", "a b c\nd e\nf")], "page_id long, title string, text string")
+    cut = chunking.build_chunks(article, overlap=0, max_tokens=4, splitter=lambda c: F.split(c, "\n"), counter=F.length).orderBy("chunk_index").collect()
+    assert [(r.text, r.num_tokens) for r in cut] == [("a b c", 5), ("d e f", 4)]
+    vectors = embedding.embed_chunks(docs).select("doc_id", "embedding")
+    subs = spark.createDataFrame([(1, 0, "morze"), (1, 1, "rzeka miasto")], "claim_id long, pos int, sub_claim string")
+    for mode in ("vector", "hybrid"):
+        rows, contexts = evidence.retrieve_subclaims(subs, docs, mode=mode, vectors=vectors, embed=embedding.embed_chunks, k_final=1)
+        assert {r.query_id: r.doc_id for r in rows.collect()} == {"1#0": 3, "1#1": 2}, mode
+        assert contexts.filter("num_results = 1").count() == 2
+
+
+def test_hybrid_gives_k_rows(spark):
+    from verispark.operators import embedding, evidence
+
+    docs = spark.createDataFrame([(i, f"morze słowo{i}") for i in range(80)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "morze")], "query_id long, text string")
+    vectors = embedding.embed_chunks(docs).select("doc_id", "embedding")
+    got = evidence.hybrid_search(docs, asked, vectors, embedding.embed_chunks(asked).select("query_id", "embedding"), k=60)
+    assert got.count() == 60
+
+
+def test_corpus_is_scanned_once(spark, sf):
+    from verispark.operators import lexical
+
+    docs, asked = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    plan = lexical._hits(docs, "doc_id", "text", lexical.query_terms(asked, "item_id", "text").select("term").distinct(), True)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("documents.parquet") == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +91,7 @@ def window_starts(sizes: Column, overlap: int) -> Column:
     """Starts reached from sentence 0: each window begins `overlap` before the end of the last.
 
     A fold that carries only the next start. It runs in blocks, so that growing the result
-    stays cheap on a paragraph with very many sentences.
+    costs a copy of the kept starts per block only.
     """
 
     def state(nxt: Column, kept: Column) -> Column:
@@ -121,15 +123,18 @@ def build_chunks(
     max_tokens: int = MAX_TOKENS,
     overlap: int = OVERLAP,
     drop_tail: bool = False,
+    splitter: Callable[[Column], Column] = split_sentences,
+    counter: Callable[[Column], Column] = count_tokens,
 ) -> DataFrame:
     """Chunk table of a table of articles (page_id, title, text).
 
     All work on an article stays in its row, so nothing is shuffled. `drop_tail` leaves out a
-    window that only repeats the end of the one before it.
+    window that only repeats the end of the one before it. `splitter` cuts a paragraph into sentences
+    (an array), `counter` counts a sentence's tokens, for limits of another model.
     """
     paras = split_paragraphs(articles)
-    cut = compute_once(paras, "sentences", split_sentences(F.col("paragraph"))).drop("paragraph")
-    sized = compute_once(cut, "counts", F.transform("sentences", count_tokens))
+    cut = compute_once(paras, "sentences", splitter(F.col("paragraph"))).drop("paragraph")
+    sized = compute_once(cut, "counts", F.transform("sentences", lambda s: counter(s).cast("int")))
     sized = compute_once(sized, "sizes", window_sizes(F.col("counts"), max_sent, max_tokens))
     started = compute_once(sized, "starts", window_starts(F.col("sizes"), overlap))
     if drop_tail:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,12 +139,17 @@ def format_context(
 def retrieve_subclaims(
     subclaims: DataFrame, docs: DataFrame, *, k_initial: int = 20, k_final: int = 5,
     score_threshold: float | None = None, max_chars: int = 2000, title: str = "title", section: str = "section",
+    mode: str = "bm25", vectors: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Evidence rows and one context per (claim_id, pos, sub_claim). Every sub-claim is searched once."""
+    """Evidence rows and one context per (claim_id, pos, sub_claim). Every sub-claim is searched once.
+
+    For the modes `vector` and `hybrid`, `vectors` are the documents' and `embed` adds `embedding` to (query_id, text).
+    """
     keyed = subclaims.withColumn("query_id", F.concat_ws("#", F.col("claim_id").cast("string"), F.col("pos").cast("string")))
+    asked = keyed.select("query_id", F.col("sub_claim").alias("text"))
     found = retrieve_two_stage(
-        "bm25", k_initial=k_initial, k_final=k_final, score_threshold=score_threshold, docs=docs,
-        queries=keyed.select("query_id", F.col("sub_claim").alias("text")))
+        mode, k_initial=k_initial, k_final=k_final, score_threshold=score_threshold, docs=docs, queries=asked,
+        vectors=vectors, query_vectors=None if mode == "bm25" else embed(asked).select("query_id", "embedding"))
     evidence = with_payload(found, docs, [title, section, "text"])
     contexts = format_context(evidence, max_chars, with_id=True, title=title, section=section)
     full = keyed.join(contexts, "query_id", "left").select(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from verispark.functions.text import compute_once, index_words, stem_pl
+from verispark.functions.text import compute_once, index_words, is_index_word, split_words, stem_pl
 from verispark.operators.ordered import BROADCAST_ROWS
 from verispark.session import cut_lineage
 
@@ -14,6 +16,8 @@ K1 = 1.5
 B = 0.75
 SCORE_DIGITS = 6
 
+Tokenizer = Callable[[Column], Column]  # text to an array of terms, never NULL
+
 
 def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Cut once: a filter on the words would otherwise cut the text again below the shuffle.
@@ -38,14 +42,7 @@ def doc_lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def term_idf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, df, n_docs, total_len, idf, avgdl) in one pass over the texts."""
-    return _term_stats(docs, id_col, text_col, None).filter("term <> ''")
-
-
-def _term_stats(
-    docs: DataFrame, id_col: str, text_col: str, only_terms: DataFrame | None, small: bool = False
-) -> DataFrame:
-    """Statistics per term, with one more row for the empty term.
+    """(term, df, n_docs, total_len, idf, avgdl) in one pass over the texts.
 
     Each text sends its distinct terms and one row with the empty term; the empty term therefore
     counts the texts and adds up the lengths, and no second scan is needed.
@@ -53,15 +50,12 @@ def _term_stats(
     words = _words(docs, id_col, text_col)
     terms = F.array_distinct(F.transform(F.array_distinct("words"), stem_pl))
     rows = words.select("doc_len", F.explode(F.array_append(terms, F.lit(""))).alias("term"))
-    if only_terms is not None:
-        wanted = only_terms.select("term").union(only_terms.sparkSession.sql("SELECT '' AS term")).distinct()
-        rows = rows.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
     # Written once: both uses below would otherwise scan the texts again.
     counts = cut_lineage(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("doc_len").alias("_len")))
     corpus = counts.filter("term = ''").first()
     n = F.lit(corpus.df if corpus else 0)
     df = F.col("df")
-    return counts.select(
+    return counts.filter("term <> ''").select(
         "term",
         "df",
         n.cast("bigint").alias("n_docs"),
@@ -83,8 +77,11 @@ def index_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def query_terms(queries: DataFrame, id_col: str, text_col: str, tokenize: Tokenizer | None = None) -> DataFrame:
     """(query_id, term, qtf): a repeated query word counts as often as it is written."""
+    if tokenize is not None:
+        terms = queries.select(F.col(id_col).alias("query_id"), F.explode(tokenize(F.col(text_col))).alias("term"))
+        return terms.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     words = queries.select(F.col(id_col).alias("query_id"), F.explode(index_words(F.col(text_col))).alias("word"))
     return (
         words.select("query_id", stem_pl(F.col("word")).alias("term"))
@@ -146,12 +143,17 @@ def search_index(
     spark: SparkSession, path: str, queries: DataFrame, *, query_id: str = "query_id", query_text: str = "text",
     k: int = 5, k1: float = K1, b: float = B,
 ) -> DataFrame:
-    """`bm25_search` over an index made by `write_index`: only folders of query terms are read."""
+    """`bm25_search` over an index made by `write_index`.
+
+    Only the folders that hold terms of the queries are read: their numbers, at most the index's, go into the scan's filter.
+    Many queries have terms in all folders, and all are then read.
+    """
     wanted = cut_lineage(query_terms(queries, query_id, query_text))
     small = wanted.count() <= BROADCAST_ROWS
-    scored = _weighted(wanted, spark.read.parquet(f"{path}/terms"), k1)
+    scored = cut_lineage(_weighted(wanted, spark.read.parquet(f"{path}/terms"), k1))
+    folders = [r["shard"] for r in scored.select("shard").distinct().collect()]
     terms = scored.select("shard", "term").distinct()
-    postings = spark.read.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings").filter(F.col("shard").isin(*folders))
     hits = postings.join(F.broadcast(terms) if small else terms, ["shard", "term"], "left_semi").repartition("doc_id")
     return _score(hits, F.broadcast(scored.drop("shard")) if small else scored.drop("shard"), ["term"], k, k1, b)
 
@@ -167,27 +169,47 @@ def bm25_search(
     k: int = 5,
     k1: float = K1,
     b: float = B,
+    tokenize: Tokenizer | None = None,
 ) -> DataFrame:
     """(query_id, doc_id, score, rank): best k texts per query, ties by doc_id.
 
-    Only words of the queries leave the scan. They are partitioned by doc_id, so term counts and
-    the sums per (query, doc) need no further shuffle, and each partition hands on at most k rows
-    per query.
+    The texts are read and cut once. Words that no query has are counted per text before the shuffle, so only words of
+    the queries and one count per text leave the scan. They are written once; corpus size, lengths and document
+    frequencies come from that small table. `tokenize` gives the terms of a text in place of Polish words.
     """
-    wanted = cut_lineage(query_terms(queries, query_id, query_text))
+    wanted = cut_lineage(query_terms(queries, query_id, query_text, tokenize))
     small = wanted.count() <= BROADCAST_ROWS
-    scored_terms = _weighted(wanted, _term_stats(docs, doc_id, doc_text, wanted, small), k1)
-    terms = wanted.select("term").distinct()
-    if small:
-        # Without this the planner may take the index side for the smaller one.
-        scored_terms, terms = F.broadcast(scored_terms), F.broadcast(terms)
-    words = _words(docs, doc_id, doc_text)
-    hits = (
-        words.select("doc_id", "doc_len", F.explode("words").alias("word"))
-        .select("doc_id", "doc_len", stem_pl(F.col("word")).alias("term"))
-        .join(terms, "term", "left_semi")
-        .repartition("doc_id")
-        .groupBy("doc_id", "doc_len", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    return _score(hits, scored_terms, ["term"], k, k1, b)
+    found = cut_lineage(_hits(docs, doc_id, doc_text, wanted.select("term").distinct(), small, tokenize))
+    hits = found.filter(F.col("term") != _TEXT)
+    corpus = found.filter(F.col("term") == _TEXT).agg(F.count("*").alias("n"), F.sum("doc_len").alias("len")).first()
+    n = F.lit(corpus.n)
+    stats = hits.groupBy("term").agg(F.count("*").alias("df")).select(
+        "term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"),
+        F.lit((corpus.len or 0) / corpus.n if corpus.n else 1.0).alias("avgdl"))
+    scored = _weighted(wanted, stats, k1)
+    # Dealt by text once more, so the sums per (query, text), of which there are far more, need no shuffle.
+    return _score(hits.repartition("doc_id"), F.broadcast(scored) if small else scored, ["term"], k, k1, b)
+
+
+_TEXT = "\x01"  # stands for the text itself among its terms; no word holds this sign
+
+
+def _hits(
+    docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, small: bool, tokenize: Tokenizer | None = None,
+) -> DataFrame:
+    """(doc_id, term, tf, doc_len) for the given terms, and one row per text with the term `_TEXT`.
+
+    Cutting, filtering and stemming are row operations that Spark compiles.
+    """
+    cut = split_words(F.col(text_col)) if tokenize is None else tokenize(F.col(text_col))
+    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_append(cut, F.lit(_TEXT))).alias("word"))
+    if tokenize is None:
+        words = words.filter(is_index_word(F.col("word")) | (F.col("word") == _TEXT))
+    stem = F.col("word") if tokenize is not None else F.when(F.col("word") == _TEXT, _TEXT).otherwise(stem_pl(F.col("word")))
+    stems = words.select("doc_id", stem.alias("stem"))
+    known = terms.select(F.col("term").alias("stem"), F.lit(True).alias("_known"))
+    met = stems.join(F.broadcast(known) if small else known, "stem", "left")
+    term = F.when(F.col("_known") | (F.col("stem") == _TEXT), F.col("stem")).otherwise("")
+    counts = met.groupBy("doc_id", term.alias("term")).agg(F.count("*").alias("tf"))
+    length = F.coalesce(F.sum(F.when(F.col("term") != _TEXT, F.col("tf"))).over(W.partitionBy("doc_id")), F.lit(0))
+    return counts.withColumn("doc_len", length).filter(F.col("term") != "")

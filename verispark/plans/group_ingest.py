@@ -322,9 +322,22 @@ def _(spark, sf_dir):
     return _listing(spark, sf_dir).select("page_id", "pos", "url", "title")
 
 
-@query("extract_detail")
+# Entities of the pages back to their signs, `&` last.
+_UNESCAPED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+_TITLE = "trim(" + _UNESCAPED.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + ")"
+_MENU = _UNESCAPED.format("array_to_string(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>', 0), '<a href=\"[^\"]*\">([^<]*)</a>', 1), ', ')")
+
+
+@query(
+    "extract_detail",
+    f"""SELECT page_id, url AS detail_url, {_TITLE} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, {_MENU} AS tags,
+  true AS has_text, true AS no_person FROM pages""",
+)
 def _(spark, sf_dir):
-    return pg.extract_detail(table(spark, sf_dir, "pages")).withColumn("tags", F.array_join("tags", ", "))
+    rows = pg.extract_detail(table(spark, sf_dir, "pages"))
+    return rows.select(
+        "page_id", "detail_url", "title", "lang", F.array_join("tags", ", ").alias("tags"),
+        (F.col("summary").isNotNull() & F.col("full_analysis").isNotNull()).alias("has_text"), F.col("person_name").isNull().alias("no_person"))
 
 
 # Listed: every menu link and the address of every page in English.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verispark.functions.text import STOPWORDS, SUFFIXES, split_sentences, stem_pl, tokenize_pl
 from verispark.operators import embedding, evidence, lexical, vectors
+from verispark.plans.group_chunking import WINDOW_CTES
 from verispark.plans.registry import query
 from verispark.session import cut_lineage, fresh_path
 from verispark.views import table, view
@@ -130,18 +131,27 @@ def _(spark, sf_dir):
     return unit.select("vec_id", (F.col("p") + 1).cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
 
 
-@query("embed_chunks")
+def _measured(df):
+    """Dimension and length of each vector; the hash of Spark's ML has no SQL."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return df.withColumn("dim", F.size("embedding")).withColumn("norm", F.round(norm, 4))
+
+
+_UNIT = f"CAST(64 AS INTEGER) AS dim, CAST(CASE WHEN len({sql_terms('text')}) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS norm"
+
+
+@query("embed_chunks", f"SELECT chunk_id, {_UNIT} FROM chunks", WINDOW_CTES)
 def _(spark, sf_dir):
     from verispark.operators.chunking import build_chunks
 
     chunks = build_chunks(view(spark, sf_dir, "v_articles")).select("chunk_id", "text")
-    return embedding.embed_chunks(chunks).drop("text")
+    return _measured(embedding.embed_chunks(chunks)).select("chunk_id", "dim", "norm")
 
 
-@query("embed_distinct_queries")
+@query("embed_distinct_queries", f"SELECT conv_id, turn, {_UNIT} FROM conversations")
 def _(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return embedding.embed_distinct(turns).drop("text")
+    return _measured(embedding.embed_distinct(turns)).select("conv_id", "turn", "dim", "norm")
 
 
 @query("knn_search", "SELECT query_id, doc_id, distance, CAST(rn AS INTEGER) AS rank FROM knn WHERE rn <= 5", KNN_CTES)
@@ -154,10 +164,29 @@ def _(spark, sf_dir):
     return _knn(spark, sf_dir, strategy="blocks")
 
 
-@query("knn_search_lsh")
+@query("knn_search_lsh", "SELECT count(*) AS n_exact, true AS found_nine_of_ten FROM knn WHERE rn <= 5", KNN_CTES)
 def _(spark, sf_dir):
+    """The neighbours depend on drawn planes, so what is checked is how many of the exact ones are found."""
     v = _vecs(spark, sf_dir)
-    return vectors.knn_search_lsh(v, v, 5, corpus_id="vec_id", query_id="vec_id")
+    found = vectors.knn_search_lsh(v, v, 5, corpus_id="vec_id", query_id="vec_id")
+    row = vectors.recall(found, _knn(spark, sf_dir))
+    return row.select("n_exact", (F.col("recall") >= 0.9).alias("found_nine_of_ten"))
+
+
+_PLAIN = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')"
+
+
+@query(
+    "bm25_search_words",
+    "SELECT query_id, doc_id, score, CAST(rn AS INTEGER) AS rank FROM bm25_ranked WHERE rn <= 5",
+    BM25_CTES.replace(sql_terms("text"), _PLAIN),
+)
+def _(spark, sf_dir):
+    """With another tokenizer: words between blanks, no stems."""
+    found = lexical.bm25_search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), query_id="item_id",
+        tokenize=lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("vector_score", "SELECT query_id, doc_id, round(1.0 / (1.0 + distance), 6) AS score FROM knn WHERE rn <= 5", KNN_CTES)
