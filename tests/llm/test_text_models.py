@@ -17,8 +17,9 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from verispark.llm import decontam, langid, ngram_join, packing, quality, token_counts
 from verispark.llm.queries import QUERIES
-from verispark.llm.tables import release, without_ids
+from verispark.llm.tables import release
 from verispark.llm.wordids import WordIds
+from verispark.operators.ordered import without_ids
 
 from .conftest import RANKS, TOKENIZER
 

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verispark.llm.tables import without_ids
 from verispark.llm.textbytes import Texts, lower_ascii, mix, sequence_hashes, slices, span_hashes, word_spans
+from verispark.operators.ordered import without_ids
 
 WIDTH = 8  # words of a window; a shorter item is one window of its own length
 MIN_LITERALS = 4  # a window with fewer words that are not placeholders says too little

@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verispark.llm.components import connected
-from verispark.llm.tables import store, text_batches, without_ids
+from verispark.llm.tables import store, text_batches
 from verispark.llm.textbytes import Texts, lower_ascii, mix, sequence_hashes, slices, span_hashes, word_spans
+from verispark.operators.ordered import without_ids
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
