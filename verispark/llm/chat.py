@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verispark.llm.tables import store
+
 BUDGET, HISTORY = 2048, 512
 TURN_OVERHEAD = 4
 BLOCK = 256  # turn numbers per block of the two-level prefix sums
@@ -89,6 +91,8 @@ def format_chats(
         .withColumn("_from", F.length(role) + len(OPEN) + len(BODY))
         .withColumn("_len", F.length(text))
     )
+    # Written once: spans, history and windows are all read off the placed turns.
+    placed = store(placed, "turns")
     own = placed.select("conv_id", "_key", "_a", "_b", F.lit(2).alias("_kind"), "_pos", "_turn", "_from", "_len", (F.col("role") == "assistant").alias("_target"))
     windows = placed.groupBy("_key", "_a", "_b").agg(F.min("_start").alias("_s0"), F.min("_pos").alias("_p0"), F.first("conv_id").alias("conv_id"), F.max("_s_text").alias("_s_text"))
     system = escape(F.col("_s_text"))
