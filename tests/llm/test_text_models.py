@@ -218,6 +218,21 @@ def test_decontamination(rows):
     assert find(rows, []) == [] and find(rows, [], QUESTION) == [] and find(rows, [QUESTION]) == []
 
 
+def test_decontamination_word_for_word(rows):
+    """Items of numbers, units and names: too few literal words for a template window."""
+    numbers = "Compute 12 + 34 * 56 - 78 / 9"
+    short = "What is 7x8?"
+    long = "Add 14 kg 27 kg 33 kg 48 kg 51 kg and then 66 kg 72 kg 85 kg 93 kg to find the sum of it all"
+    names = "Then Anna Berg Carl Dahl Emil Falk met Gina Holm Ivan Juhl Kari Lund there"
+    noise = "unrelated words about the sea and the wind in a small town. "
+    items = [numbers, short, long, names]
+    assert find(rows, items, *[noise + item + " " + noise for item in items]) == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0)]
+    # Other numbers in an item of hardly anything else make another text.
+    assert find(rows, [numbers, short], noise + "Compute 98 + 76 * 54 - 32 / 1", noise + "What is 9x4?") == []
+    got = decontam.contaminated(rows("doc_id long, text string", (0, noise + long)), rows("item_id long, text string", (0, long))).collect()
+    assert [(r.coverage, r.changed_slots) for r in got] == [(1.0, 0)]
+
+
 def test_decontamination_of_planted_items(spark, sf, documents):
     items = pd.read_parquet(f"{sf}/benchmark.parquet")
     plain = {i: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for i, t in zip(documents.doc_id, documents.text)}

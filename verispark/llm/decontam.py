@@ -2,9 +2,10 @@
 
 Words become template words: numbers, units and names turn into typed placeholders, all else is lower-cased and
 stripped of punctuation. Windows of template words of the benchmark and of the documents meet in a hash join, so an
-item is found even if its numbers or names were changed. The matched windows of one passage are then checked: a slot
-value that stands twice in the item must have been replaced by one and the same value. What is left must cover a share
-of the item.
+item is found even if its numbers or names were changed. Plain windows of all words in lower case, without types and
+with any number of literal words, meet in the same join: a passage that stands there word for word is found whatever it
+is made of. The matched windows of one passage are then checked: a slot value that stands twice in the item must have
+been replaced by one and the same value, unless a plain window holds it. What is left must cover a share of the item.
 
 A bitmap of the benchmark's window hashes (of fixed size) goes to every task and keeps other windows out of the join;
 the join itself is exact, and works for a benchmark of any size.
@@ -13,6 +14,7 @@ the join itself is exact, and works for a benchmark of any size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -24,12 +26,14 @@ from verispark.llm.textbytes import Texts, lower_ascii, mix, sequence_hashes, sl
 from verispark.operators.ordered import without_ids
 
 WIDTH = 8  # words of a window; a shorter item is one window of its own length
-MIN_LITERALS = 4  # a window with fewer words that are not placeholders says too little
+MIN_LITERALS = 4  # a template window with fewer words that are not placeholders says too little
 MIN_COVERAGE = 0.6
 BITMAP_WORDS = 1 << 17  # 64-bit words of the bitmap: 1 MB
 CLUSTER_GAP = 16  # words by which the alignment may shift within one passage
 
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
+PLAIN, TEMPLATE = 0, 1  # forms of windows
+FORMS = (PLAIN, TEMPLATE)
 
 # Words for units of measure and money.
 UNITS = (
@@ -95,23 +99,34 @@ class Templates:
         self.type = np.select([digits[ends] > digits[starts], unit, capital & ~opens], [NUMBER, UNIT, NAME], LITERAL).astype(np.int8)
         self.template = np.where(self.type == LITERAL, self.value, _TYPE_HASHES[self.type])
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, document and first word of each window that has enough literal words."""
-        hashes, doc, at = sequence_hashes(self.template, self.doc, width)
-        literals = np.concatenate([[0], np.cumsum(self.type == LITERAL)])
-        enough = literals[at + width] - literals[at] >= min(MIN_LITERALS, width)
-        return hashes[enough] ^ np.uint64(width), doc[enough], at[enough]
+    def windows(self, width: int, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, document and first word of each window of a form.
+
+        A template window without a placeholder is the plain window of the same words, so it is left to that form.
+        """
+        if form == PLAIN:
+            hashes, doc, at = sequence_hashes(self.value, self.doc, width)
+        else:
+            hashes, doc, at = sequence_hashes(self.template, self.doc, width)
+            before = np.concatenate([[0], np.cumsum(self.type == LITERAL)])
+            literals = before[at + width] - before[at]
+            kept = (literals >= min(MIN_LITERALS, width)) & (literals < width)
+            hashes, doc, at = hashes[kept], doc[kept], at[kept]
+        return hashes ^ np.uint64(width + 16 * form), doc, at
 
 
 def _rows(values: np.ndarray, at: np.ndarray, width: int, kind: pa.DataType) -> pa.Array:
     return pa.array(list(values[at[:, None] + np.arange(width)]), pa.list_(kind))
 
 
-_WINDOW_FIELDS = "{0} {1}, hash long, {2}_at int, {2}_words int, {2}_types array<byte>, {2}_values array<long>"
+_WINDOW_FIELDS = "{0} {1}, hash long, {2}_form byte, {2}_at int, {2}_words int, {2}_types array<byte>, {2}_values array<long>"
 
 
-def _windows_of(rows: DataFrame, id_name: str, side: str, widths: list[int] | None, bitmap: np.ndarray | None) -> DataFrame:
-    """Windows of (id, text) rows. Without `widths` each text has WIDTH or, if shorter, its own length."""
+def _windows_of(rows: DataFrame, id_name: str, side: str, shapes: list[tuple[int, int]] | None, bitmap: np.ndarray | None) -> DataFrame:
+    """Windows of (id, text) rows, of the widths and forms of `shapes`.
+
+    Without `shapes` each text has all forms of WIDTH or, if shorter, of its own length.
+    """
     schema = _WINDOW_FIELDS.format(id_name, rows.schema[id_name].dataType.simpleString(), side)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +135,9 @@ def _windows_of(rows: DataFrame, id_name: str, side: str, widths: list[int] | No
                 t = Templates(texts)
                 sizes = np.bincount(t.doc, minlength=len(texts))
                 firsts = np.concatenate([[0], np.cumsum(sizes)])
-                for width in widths or range(1, WIDTH + 1):
-                    hashes, doc, at = t.windows(width)
-                    if widths is None:
+                for width, form in shapes or product(range(1, WIDTH + 1), FORMS):
+                    hashes, doc, at = t.windows(width, form)
+                    if shapes is None:
                         mine = (sizes[doc] == width) if width < WIDTH else sizes[doc] >= WIDTH
                     else:
                         slot = hashes % np.uint64(64 * BITMAP_WORDS)
@@ -131,9 +146,9 @@ def _windows_of(rows: DataFrame, id_name: str, side: str, widths: list[int] | No
                         continue
                     hashes, doc, at = hashes[mine], doc[mine], at[mine]
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(pa.array(doc + texts.first)), pa.array(hashes.view(np.int64)), pa.array((at - firsts[doc]).astype(np.int32)),
+                        batch.column(0).take(pa.array(doc + texts.first)), pa.array(hashes.view(np.int64)), pa.array(np.full(len(at), form, np.int8)), pa.array((at - firsts[doc]).astype(np.int32)),
                         pa.array(sizes[doc].astype(np.int32)), _rows(t.type, at, width, pa.int8()), _rows(t.value.view(np.int64), at, width, pa.int64()),
-                    ], [id_name, "hash", f"{side}_at", f"{side}_words", f"{side}_types", f"{side}_values"])
+                    ], [id_name, "hash", f"{side}_form", f"{side}_at", f"{side}_words", f"{side}_types", f"{side}_values"])
 
     return rows.mapInArrow(cut, schema)
 
@@ -146,14 +161,19 @@ def _coverage(matches: pd.DataFrame) -> tuple[float, int, int, int]:
     for _, rows in matches.groupby(passage):
         slots: dict[tuple[int, int], set[int]] = {}
         covered: dict[int, tuple[int, int, int]] = {}
+        plain: set[int] = set()  # words that stand there unchanged
         for r in rows.itertuples():
             for k, (kind, theirs, ours) in enumerate(zip(r.item_types, r.item_values, r.doc_values)):
-                covered.setdefault(r.item_at + k, (kind, theirs, ours))
+                if r.item_form == PLAIN:
+                    plain.add(r.item_at + k)
+                    covered[r.item_at + k] = (kind, theirs, ours)
+                else:
+                    covered.setdefault(r.item_at + k, (kind, theirs, ours))
         for kind, theirs, ours in covered.values():
             if kind != LITERAL:
                 slots.setdefault((kind, theirs), set()).add(ours)
-        # A repeated slot that got several values is no consistent change: none of its words counts.
-        good = [v for v in covered.values() if v[0] == LITERAL or len(slots[v[:2]]) == 1]
+        # A repeated slot that got several values is no consistent change: none of its words counts but those of plain windows.
+        good = [v for at, v in covered.items() if v[0] == LITERAL or at in plain or len(slots[v[:2]]) == 1]
         width = len(rows["item_types"].iloc[0])
         share = len(good) / max(1, int(rows["item_words"].iloc[0]))
         changed = sum(1 for kind, theirs, ours in good if theirs != ours)
@@ -164,30 +184,33 @@ def _coverage(matches: pd.DataFrame) -> tuple[float, int, int, int]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """One row per document and item it holds: doc_id, item_id, coverage, first_word, last_word, changed_slots.
 
-    Documents without any item have no row. Null texts hold nothing; an item without words, or without enough literal
-    words, is never found. Rows with one id count as one document, null ids too. Only the id and text columns are read.
+    Documents without any item have no row. Null texts hold nothing; an item without words is never found,
+    and one without enough literal words only where its words stand unchanged but for their case. Rows with one id count as one document, null ids too. Only the id and text columns are read.
     """
     asked = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string")).filter("text IS NOT NULL")
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text").cast("string")).filter("text IS NOT NULL")
     item_windows = _windows_of(items, "item_id", "item", None, None)
     width = F.size("item_types").alias("width")
     slot = F.pmod(F.col("hash").bitwiseAND(F.lit((1 << 63) - 1)), F.lit(64 * BITMAP_WORDS))  # the size is a power of two
-    # At most BITMAP_WORDS rows for each width, whatever the benchmark's size.
-    bits = item_windows.select(width, F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    words = bits.groupBy("width", "word").agg(F.bit_or("bit").alias("bits")).collect()
+    # At most BITMAP_WORDS rows for each width and form, whatever the benchmark's size.
+    bits = item_windows.select(width, F.col("item_form").alias("form"), F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    words = bits.groupBy("width", "form", "word").agg(F.bit_or("bit").alias("bits")).collect()
     bitmap = np.zeros(BITMAP_WORDS, np.uint64)
     for r in words:
         bitmap[r["word"]] |= np.uint64(r["bits"] & ((1 << 64) - 1))
-    widths = sorted({r["width"] for r in words})
-    doc_windows = _windows_of(asked, "doc_id", "doc", widths or [WIDTH], bitmap)
-    met = doc_windows.join(item_windows, "hash").filter(F.col("doc_types") == F.col("item_types"))
+    shapes = sorted({(r["width"], r["form"]) for r in words})
+    doc_windows = _windows_of(asked, "doc_id", "doc", shapes or [(WIDTH, PLAIN)], bitmap)
+    # Template windows without a change are plain windows too: one row is enough.
+    same_words, same_types = F.col("doc_values") == F.col("item_values"), F.col("doc_types") == F.col("item_types")
+    met = doc_windows.join(item_windows, "hash").filter(F.col("doc_form") == F.col("item_form")).filter(
+        F.when(F.col("item_form") == PLAIN, same_words).otherwise(same_types & ~same_words))
     schema = f"doc_id {asked.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, coverage double, first_word int, last_word int, changed_slots int"
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
         share, first, last, changed = _coverage(group)
         return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1], "item_id": group["item_id"].iloc[:1], "coverage": [share], "first_word": [first], "last_word": [last], "changed_slots": [changed]})
 
-    return met.drop("hash").groupBy("doc_id", "item_id").applyInPandas(check, schema).filter(F.col("coverage") >= min_coverage)
+    return met.drop("hash", "doc_form", "doc_types", "doc_words").groupBy("doc_id", "item_id").applyInPandas(check, schema).filter(F.col("coverage") >= min_coverage)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id") -> DataFrame:
