@@ -233,6 +233,15 @@ def test_decontamination_word_for_word(rows):
     assert [(r.coverage, r.changed_slots) for r in got] == [(1.0, 0)]
 
 
+def test_decontamination_of_other_case(rows):
+    """Copies whose words count as names on one side and as literals on the other."""
+    names = "when Anna met the old Mister Berg near Oslo they saw Carl Dahl leave for Rome with Emil and his friend Gina from Bonn"
+    short = "Where does the river end"
+    noise = "unrelated words about the sea and the wind in a small town "
+    got = find(rows, [names, short], noise + names.lower() + " " + noise, noise + names.upper() + " " + noise, noise + short + " " + noise, noise + short.upper())
+    assert got == [(0, 0, 0), (1, 0, 0), (2, 1, 0), (3, 1, 0)]
+
+
 def test_decontamination_of_planted_items(spark, sf, documents):
     items = pd.read_parquet(f"{sf}/benchmark.parquet")
     plain = {i: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for i, t in zip(documents.doc_id, documents.text)}
