@@ -36,6 +36,21 @@ def test_order_matters(rows):
     assert scan(rows, f"{second}. {first}") == []
 
 
+def test_common_licences(rows):
+    bsd2 = licences.LICENCES["BSD-2-Clause"][0].replace("Redistributions", "\n* Redistributions")
+    third = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    bsd3 = [f"{bsd2}\n3. {third.format(x)}\n" for x in ("the copyright holder", "Some Firm Inc.")]
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    assert scan(rows, *bsd3, f"{bsd2}\n\n{bsd3[0]}", f"{bsd3[1]}\n\n{bsd2}", bsd2 + "\n" + bsd2) == [
+        (0, "BSD-3-Clause", 1), (1, "BSD-3-Clause", 1), (2, "BSD-2-Clause", 1), (2, "BSD-3-Clause", 1), (3, "BSD-2-Clause", 1), (3, "BSD-3-Clause", 1), (4, "BSD-2-Clause", 2)]
+    texts = {
+        "Licensed under the GNU GPL v3": "GPL-3.0", "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", lgpl: "LGPL-2.1", "SPDX-License-Identifier: LGPL-3.0-only": "LGPL-3.0",
+        lgpl.replace("library", "program").replace("Lesser", "Affero").replace("2.1", "3"): "AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public\n License, v. 2.0. If a copy": "MPL-2.0", "SPDX-License-Identifier: CC0-1.0": "CC0-1.0",
+        "This project is licensed under the BSD 3-Clause License.": "BSD-3-Clause", "/* SPDX-License-Identifier: EPL-2.0 */": "EPL-2.0", "Released under the EPL 1.0": "EPL-1.0"}
+    assert scan(rows, *texts) == [(i, x, 1) for i, x in enumerate(texts.values())]
+
+
 CHAT = "conv_id long, turn long, role string, text string"
 
 
