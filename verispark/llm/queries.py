@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispark.llm import chat, decontam, dual_tree, langid, licences, ngram_join, packing, quality, token_counts, url_filter
+from verispark.llm import chat, collocations, decontam, dual_tree, embed_dedup, langid, licences, ngram_join, packing, quality, token_counts, url_filter, whitening
 from verispark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,62 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 least_ AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM sets LEFT JOIN least_ ON doc_id = a
 """
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+cut AS (SELECT lang, doc_id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (
+  SELECT lang, doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM cut CROSS JOIN (VALUES (1), (2), (3), (4)) s(k)),
+totals AS (SELECT lang, sum(len(w)) AS n FROM cut GROUP BY lang),
+counts AS (SELECT lang, k, phrase, count(*) AS f, min(doc_id) AS first_doc FROM runs GROUP BY ALL HAVING count(*) >= 30),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+cuts AS (SELECT lang, phrase, k, f AS a, first_doc, w, unnest(range(1, k)) AS c FROM candidates),
+scored AS (
+  SELECT x.lang, x.phrase, a, x.first_doc, c, h.f AS l, t.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (h.f + t.f) AS BIGINT) AS score
+  FROM cuts x JOIN counts h ON h.lang = x.lang AND h.phrase = array_to_string(x.w[1:x.c], ' ')
+  JOIN counts t ON t.lang = x.lang AND t.phrase = array_to_string(x.w[x.c + 1:x.k], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, f, array_to_string(w[s:s + m - 1], ' ') AS phrase
+  FROM candidates, unnest(range(2, k)) q(m), unnest(range(1, k - m + 2)) p(s) WHERE k > 2),
+around AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY ALL),
+kept AS (SELECT w.* FROM worst w LEFT JOIN around o USING (lang, phrase) WHERE 100 * coalesce(o.f, 0) < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score, first_doc
+FROM kept JOIN totals USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND len(p.v) = len(q.v) AND p.vec_id <> q.vec_id
+  WHERE list_cosine_similarity(p.v, q.v) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_ AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, least(vec_id, coalesce(b, vec_id)) = vec_id AS kept
+FROM embeddings e LEFT JOIN least_ ON least_.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+"""
