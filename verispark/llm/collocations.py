@@ -230,7 +230,7 @@ def _counted(docs: DataFrame, bitmap: np.ndarray, max_words: int) -> DataFrame:
             yield pa.Table.from_arrays([langs.dictionary, pa.array(np.zeros(n_langs, np.int32)), pa.array([""] * n_langs, pa.string()),
                                         pa.array(np.zeros(n_langs, np.int64)), pa.array(totals)], schema=schema)
             number, first = _word_numbers(words)
-            names_of = [words.data[words.starts[i] : words.ends[i]].tobytes() for i in first]
+            text, names_of = words.data.tobytes(), {}
             exact = number + codes[words.doc] * len(first)  # per language
             for n in range(1, max_words + 1):
                 at = words.places(n)
@@ -249,7 +249,10 @@ def _counted(docs: DataFrame, bitmap: np.ndarray, max_words: int) -> DataFrame:
                     continue
                 _, one, f = np.unique(exact[at], return_index=True, return_counts=True)
                 rows = at[one]
-                phrases = [b" ".join([names_of[w] for w in number[i : i + n]]) for i in rows]
+                parts = number[rows[:, None] + np.arange(n)]
+                for w in np.setdiff1d(parts, list(names_of)):
+                    names_of[w] = text[words.starts[first[w]] : words.ends[first[w]]]
+                phrases = [b" ".join(map(names_of.__getitem__, run)) for run in parts.tolist()]
                 yield pa.Table.from_arrays([langs.dictionary.take(pa.array(codes[words.doc[rows]])), pa.array(np.full(len(rows), n, np.int32)),
                                             pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(prints[one].view(np.int64)), pa.array(f)], schema=schema)
 
