@@ -13,7 +13,7 @@ from verispark.llm.textbytes import slices
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute(docs, least, contained=80, top=2000, max_words=4):
+def counted(docs, max_words=4):
     counts, words = {}, Counter()
     for _, text, lang in docs:
         lang = "und" if lang is None else lang
@@ -22,6 +22,11 @@ def brute(docs, least, contained=80, top=2000, max_words=4):
             words[lang] += len(w)
             for n in range(1, max_words + 1):
                 counts.setdefault(lang, Counter()).update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    return counts, words
+
+
+def brute(docs, least, contained=80, top=2000, max_words=4):
+    counts, words = counted(docs, max_words)
     out = set()
     for lang, all_ in counts.items():
         f = {p: c for p, c in all_.items() if c >= least}
@@ -53,7 +58,7 @@ def corpus():
     return [*docs, (500, None, "en"), (501, "", "en"), (None, "to be or not to be", "en"), (3, "to be or not to be", "en"), (502, "rare words here", "xx")]
 
 
-def test_matches_brute_force(spark, rows, monkeypatch):
+def test_matches_brute_force(rows):
     docs = corpus()
     table = rows("doc_id long, text string, lang string", *docs, extra=True)
     got = collocations.collocations(table.repartition(4), least=8)
@@ -69,41 +74,25 @@ def test_pointers_lead_to_the_phrase(rows):
         assert r["first_doc"] == 3 or r["phrase"] in texts[r["first_doc"]]
 
 
-def test_colliding_fingerprints_are_counted_apart(spark, rows, monkeypatch):
-    """With all fingerprints of a length equal, counts by text still hold."""
-    monkeypatch.setattr(collocations.Words, "prints", lambda self, at, n: np.full(len(at), n << 40, np.uint64))
-    docs = pa.array(["a b a b. c d", "a b x"])
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["en", "en"]), docs], ["doc", "lang", "text"])
-    bitmap = np.full(1 << (collocations.BITS - 6), np.uint64((1 << 64) - 1))
-
-    class Docs:
-        class sparkSession:  # noqa: N801
-            class sparkContext:  # noqa: N801
-                broadcast = staticmethod(lambda v: type("B", (), {"value": v}))
-
-        def mapInArrow(self, fn, schema):
-            self.out = list(fn(iter([batch])))
-            return self
-
-        def groupBy(self, *a):
-            return self
-
-        def agg(self, *a):
-            return self.out
-
-    counts = Counter()
-    for b in collocations._counted(Docs(), bitmap, 2):
-        for r in b.to_pylist():
-            counts[r["n"], r["phrase"]] += r["f"]
-    assert counts == {(0, ""): 9, (1, "a"): 3, (1, "b"): 3, (1, "c"): 1, (1, "d"): 1, (1, "x"): 1, (2, "a b"): 3, (2, "b a"): 1, (2, "c d"): 1, (2, "b x"): 1}
-
-
-def test_words_with_one_hash_are_told_apart(monkeypatch):
-    texts = next(slices(pa.array(["aa bb aa cc " + "y" * 100 + "z " + "y" * 101])))
-    monkeypatch.setattr(collocations, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
-    words = collocations.cut_words(texts, np.zeros(1, np.uint64))
-    number, first = collocations._word_numbers(words)
-    assert number[0] == number[2] and len(set(number.tolist())) == 5 == len(first)
+def test_colliding_fingerprints_are_counted_apart(rows):
+    """With eight bits of each fingerprint nearly all phrases share theirs with others; counts by text still hold."""
+    docs = corpus()
+    table = rows("doc_id long, text string, lang string", *docs)
+    for mask in (0xFF << 56, 0xF0000F, 0):
+        got, words = collocations.phrase_counts(table, least=8, mask=mask)
+        want, _ = counted(docs)
+        assert {(r["lang"], r["phrase"]): r["f"] for r in got.collect()} == {(lang, " ".join(p)): c for lang, all_ in want.items() for p, c in all_.items() if c >= 8}
+        assert sum(r["n"] for r in words.collect()) == sum(c for all_ in want.values() for p, c in all_.items() if len(p) == 1)
+
+
+def test_digests_tell_words_apart():
+    """Equal fingerprints of different words never have equal digests: places and bytes count."""
+    words = ["ab", "ba", "aab", "aba", "baa", "b", "a", "bb", "abab", "baba", "y" * 99 + "z", "z" + "y" * 99]
+    texts = next(slices(pa.array([" ".join(words)])))
+    cut = collocations.cut_words(texts, np.zeros(1, np.uint64))
+    assert len(set(collocations.word_digests(cut).tolist())) == len(words)
+    two = collocations.run_digests(cut, collocations.word_digests(cut), cut.places(2), 2)
+    assert len(set(two.tolist())) == len(words) - 1
 
 
 def test_empty_tables_and_exact_scores(rows):

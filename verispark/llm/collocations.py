@@ -8,8 +8,9 @@ language is mixed in, so everything is counted per language.
    to the document of an occurrence. Spark adds them up; what reaches the least count goes into a bitmap of fixed size.
    A phrase is only as frequent as its parts, so pairs are sent if both words are in the bitmap, runs of three and four if
    all their pairs are. A false bit costs rows, never results.
-2. Text. Occurrences whose fingerprint is in the bitmap are counted again by their words as they stand, so two phrases with
-   one fingerprint are counted apart. Only these phrases are ever made into text; what is under the least count goes.
+2. Text. Frequent phrases, and no others, are made into text at the occurrence their pointer leads to. One more pass holds
+   every occurrence of a frequent fingerprint against that text, by a digest of its words that has nothing in common with
+   the fingerprint. If a fingerprint stands for several texts, all its occurrences are counted anew by their words.
 3. Scores, containment and ranks are joins and aggregates over the phrase table.
 """
 
@@ -34,10 +35,11 @@ SCALE = 2_000_000
 TOP = 2000
 UNKNOWN = "und"
 BITS = 27  # of the bitmap's size: 16 MB
-SLICE = 8 << 20  # bytes of text at once
-MERGE_ROWS = 3_000_000  # different fingerprints a task holds before it sends them
+SLICE = 2 << 20  # bytes of text at once
+MERGE_ROWS = 1_500_000  # different fingerprints a task holds before it sends them
 
 _BASE = 0x9E3779B97F4A7C55  # odd: it has an inverse modulo 2^64
+_ALL = (1 << 64) - 1
 _NO_DOC = np.iinfo(np.int64).max  # a pointer to a document without an id
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -57,6 +59,7 @@ class Words:
     sums: np.ndarray
     inverse: np.ndarray
     seeds: np.ndarray  # per document
+    mask: int  # bits of a fingerprint
 
     def places(self, n: int) -> np.ndarray:
         """Words that begin a run of n words within one piece."""
@@ -67,7 +70,7 @@ class Words:
     def prints(self, at: np.ndarray, n: int) -> np.ndarray:
         """Fingerprints of the n words from each of `at`."""
         poly = (self.sums[at + n] - self.sums[at]) * self.inverse[at]
-        return mix(poly + self.seeds[self.doc[at]] + np.uint64(n))
+        return mix(poly + self.seeds[self.doc[at]] + np.uint64(n)) & np.uint64(self.mask)
 
 
 def _geometric(base: int, n: int) -> np.ndarray:
@@ -76,11 +79,11 @@ def _geometric(base: int, n: int) -> np.ndarray:
     return np.cumprod(steps, dtype=np.uint64)
 
 
-def cut_words(texts: Texts, seeds: np.ndarray) -> Words:
+def cut_words(texts: Texts, seeds: np.ndarray, mask: int = _ALL) -> Words:
     data = lower_ascii(texts.data)
     if len(data) == 0:
         none = np.zeros(0, np.int64)
-        return Words(data, none, none, none, none, np.zeros(1, np.uint64), np.zeros(0, np.uint64), seeds)
+        return Words(data, none, none, none, none, np.zeros(1, np.uint64), np.zeros(0, np.uint64), seeds, mask)
     inside = ~_APART[data]
     first = np.zeros(len(data) + 1, bool)  # of a document
     first[texts.offsets] = True
@@ -94,7 +97,7 @@ def cut_words(texts: Texts, seeds: np.ndarray) -> Words:
     power = _geometric(_BASE, len(starts))
     sums = np.zeros(len(starts) + 1, np.uint64)
     np.cumsum(span_hashes(data, starts, ends) * power, out=sums[1:])
-    return Words(data, starts, ends, doc, np.cumsum(new), sums, _geometric(pow(_BASE, -1, 1 << 64), len(starts)), seeds)
+    return Words(data, starts, ends, doc, np.cumsum(new), sums, _geometric(pow(_BASE, -1, 1 << 64), len(starts)), seeds, mask)
 
 
 def _seeds(langs: pa.Array) -> np.ndarray:
@@ -118,8 +121,8 @@ def _merge(prints: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> tuple[np
     return prints[starts], np.add.reduceat(counts[order], starts), np.minimum.reduceat(docs[order], starts)
 
 
-def _has(bitmap: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    at = prints >> np.uint64(64 - BITS)
+def _has(bitmap: np.ndarray, keys: np.ndarray, low: bool = False) -> np.ndarray:
+    at = keys & np.uint64((1 << BITS) - 1) if low else keys >> np.uint64(64 - BITS)
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -137,7 +140,7 @@ def _open_places(words: Words, n: int, bitmap: np.ndarray | None) -> np.ndarray:
     return at
 
 
-def _level(docs: DataFrame, sizes: tuple[int, ...], bitmap: np.ndarray | None, least: int) -> DataFrame:
+def _level(docs: DataFrame, sizes: tuple[int, ...], bitmap: np.ndarray | None, least: int, mask: int) -> DataFrame:
     """print, f, doc: the fingerprints of runs of `sizes` words with at least `least` occurrences."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of fixed size
 
@@ -157,7 +160,7 @@ def _level(docs: DataFrame, sizes: tuple[int, ...], bitmap: np.ndarray | None, l
             seeds, ids = _seeds(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
             for texts in slices(batch.column(2), SLICE):
                 part = slice(texts.first, texts.first + len(texts))
-                words = cut_words(texts, seeds[part])
+                words = cut_words(texts, seeds[part], mask)
                 for n in sizes:
                     at = _open_places(words, n, shared.value)
                     held.append(_merge(words.prints(at, n), np.ones(len(at), np.int64), ids[part][words.doc[at]]))
@@ -175,9 +178,9 @@ def _level(docs: DataFrame, sizes: tuple[int, ...], bitmap: np.ndarray | None, l
     return sent.groupBy("print").agg(F.sum("f").alias("f"), F.min("doc").alias("doc")).filter(F.col("f") >= least)
 
 
-def _bitmap(found: DataFrame) -> np.ndarray:
-    """Bits of the fingerprints' leading digits: 2^BITS of them, whatever the table's size."""
-    at = F.shiftrightunsigned("print", 64 - BITS)
+def _bitmap(found: DataFrame, key: str, low: bool = False) -> np.ndarray:
+    """Bits of the leading (or the low) digits of 64-bit keys: 2^BITS of them, whatever the table's size."""
+    at = F.expr(key).bitwiseAND(F.lit((1 << BITS) - 1)) if low else F.shiftrightunsigned(F.expr(key), 64 - BITS)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
     words = found.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2^BITS / 64 rows
     out = np.zeros(1 << (BITS - 6), np.uint64)
@@ -185,119 +188,163 @@ def _bitmap(found: DataFrame) -> np.ndarray:
     return out
 
 
-def _word_numbers(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """A number per different word, told apart by bytes, and each number's first word."""
-    hashes = span_hashes(words.data, words.starts, words.ends)
-    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+def word_digests(words: Words) -> np.ndarray:
+    """A digest of each word's bytes and their places; not a polynomial."""
+    if len(words.starts) == 0:
+        return np.zeros(0, np.uint64)
     sizes = words.ends - words.starts
-    twin = first[number]
-    same = sizes == sizes[twin]
-    # Byte by byte against the first word of the hash; what is left of very long words in one go each.
-    todo = np.flatnonzero(same & (twin != np.arange(len(twin))))
-    k = 0
-    while len(todo) and k < 64:
-        equal = words.data[words.starts[todo] + k] == words.data[words.starts[twin[todo]] + k]
-        same[todo[~equal]] = False
-        k += 1
-        todo = todo[equal & (sizes[todo] > k)]
-    for i in todo:
-        same[i] = np.array_equal(words.data[words.starts[i] : words.ends[i]], words.data[words.starts[twin[i]] : words.ends[twin[i]]])
-    if not same.all():
-        own: dict[bytes, int] = {}
-        for i in np.flatnonzero(~same):
-            word = words.data[words.starts[i] : words.ends[i]].tobytes()
-            if word not in own:
-                own[word] = len(first)
-                first = np.append(first, i)
-            number[i] = own[word]
-    return number, first
-
-
-def _counted(docs: DataFrame, bitmap: np.ndarray, max_words: int) -> DataFrame:
-    """lang, n, phrase, print, f by text of all runs whose fingerprint is in the bitmap; n = 0 counts all words."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # of fixed size
-    names = ["lang", "n", "phrase", "print", "f"]
-    schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("print", pa.int64()), ("f", pa.int64())])
-
-    def tables(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-        seeds = _seeds(batch.column(1))
-        for texts in slices(batch.column(2), SLICE):
-            langs = batch.column(1).slice(texts.first, len(texts)).dictionary_encode()
-            codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            words = cut_words(texts, seeds[texts.first : texts.first + len(texts)])
-            totals = np.bincount(codes[words.doc], minlength=len(langs.dictionary))
-            n_langs = len(totals)
-            yield pa.Table.from_arrays([langs.dictionary, pa.array(np.zeros(n_langs, np.int32)), pa.array([""] * n_langs, pa.string()),
-                                        pa.array(np.zeros(n_langs, np.int64)), pa.array(totals)], schema=schema)
-            number, first = _word_numbers(words)
-            text, names_of = words.data.tobytes(), {}
-            exact = number + codes[words.doc] * len(first)  # per language
-            for n in range(1, max_words + 1):
-                at = words.places(n)
-                if n > 1:
-                    # The run before, one word shorter, and the next word give the run's number.
-                    at = at[keep[at] & keep[at + 1]]
-                    _, exact_at = np.unique(exact[at] * len(first) + number[at + n - 1], return_inverse=True)
-                    exact = np.zeros(len(words.doc), np.int64)
-                    exact[at] = exact_at
-                prints = words.prints(at, n)
-                hit = _has(shared.value, prints)
-                at, prints = at[hit], prints[hit]
-                keep = np.zeros(len(words.doc) + 1, bool)
-                keep[at] = True
-                if len(at) == 0:
-                    continue
-                _, one, f = np.unique(exact[at], return_index=True, return_counts=True)
-                rows = at[one]
-                parts = number[rows[:, None] + np.arange(n)]
-                for w in np.setdiff1d(parts, list(names_of)):
-                    names_of[w] = text[words.starts[first[w]] : words.ends[first[w]]]
-                phrases = [b" ".join(map(names_of.__getitem__, run)) for run in parts.tolist()]
-                yield pa.Table.from_arrays([langs.dictionary.take(pa.array(codes[words.doc[rows]])), pa.array(np.full(len(rows), n, np.int32)),
-                                            pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(prints[one].view(np.int64)), pa.array(f)], schema=schema)
-
-    def summed(held: list[pa.Table]) -> pa.Table:
-        got = pa.concat_tables(held).combine_chunks().group_by(names[:4], use_threads=False).aggregate([("f", "sum")])
-        return got.select([*names[:4], "f_sum"]).rename_columns(names).cast(schema)
+    at = np.flatnonzero(~_APART[words.data])
+    place = (at - np.repeat(words.starts, sizes)).astype(np.uint64)
+    firsts = np.cumsum(sizes) - sizes
+    return np.add.reduceat(mix(words.data[at].astype(np.uint64) + (place << np.uint64(8)) + np.uint64(1)), firsts)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            for found in tables(batch):
-                held.append(found)
-                if sum(len(t) for t in held) > 400_000:
-                    held = [summed(held)]
-                    if len(held[0]) > 300_000:
-                        yield from held[0].to_batches(max_chunksize=20_000)
-                        held = []
-        if held:
-            yield from summed(held).to_batches(max_chunksize=20_000)
 
-    sent = docs.mapInArrow(count, "lang string, n int, phrase string, print long, f long")
-    return sent.groupBy("lang", "n", "phrase", "print").agg(F.sum("f").alias("f"))
+def run_digests(words: Words, digests: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Of runs of n words and their language, from the words' digests."""
+    out = mix(words.seeds[words.doc[at]] + np.uint64(n))
+    for k in range(n):
+        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + digests[at + k])
+    return out
+
+
+def _spaced(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space after each, and where they begin and end in that."""
+    sizes = words.ends - words.starts
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    out = np.full(int((sizes + 1).sum()), 32, np.uint8)
+    at = np.flatnonzero(~_APART[words.data])
+    out[at + np.repeat(begin - words.starts, sizes)] = words.data[at]
+    return out, begin, begin + sizes
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def _strings(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans of `text` as an array of strings."""
+    sizes = end - begin
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = text[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], sizes)]
+    return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+
+
+def _first_of(prints: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different (fingerprint, digest), and how often it stands there."""
+    if len(prints) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((digests, prints))
+    prints, digests = prints[order], digests[order]
+    starts = np.flatnonzero(np.concatenate([[True], (prints[1:] != prints[:-1]) | (digests[1:] != digests[:-1])]))
+    return order[starts], np.diff(np.concatenate([starts, [len(order)]]))
+
+
+class _Slice:
+    """A slice's words with the runs whose fingerprint is in both bitmaps of the frequent ones."""
+
+    def __init__(self, batch: pa.RecordBatch, texts: Texts, seeds: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], max_words: int, mask: int = _ALL) -> None:
+        part = slice(texts.first, texts.first + len(texts))
+        self.words = cut_words(texts, seeds[part], mask)
+        self.langs = batch.column(1).slice(texts.first, len(texts)).dictionary_encode()
+        self.codes = self.langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ids = batch.column(0).to_numpy(zero_copy_only=False)[part]
+        self.digests, self.spaced = word_digests(self.words), None
+        self.frequent, self.max_words = frequent, max_words
+
+    def runs(self, chained: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """n, places, fingerprints and digests of runs of n words with a frequent fingerprint; chained: whose shorter runs have one too."""
+        keep = np.ones(len(self.words.doc) + 1, bool)
+        for n in range(1, self.max_words + 1):
+            at = self.words.places(n)
+            at = at[keep[at] & keep[at + 1]] if chained and n > 1 else at
+            prints = self.words.prints(at, n)
+            hit = _has(self.frequent[0], prints)
+            hit[hit] = _has(self.frequent[1], prints[hit], low=True)
+            at, prints = at[hit], prints[hit]
+            keep = np.zeros(len(self.words.doc) + 1, bool)
+            keep[at] = True
+            yield n, at, prints, run_digests(self.words, self.digests, at, n)
+
+    def named(self, n: int, at: np.ndarray) -> list[pa.Array]:
+        """Language, n and phrase of the runs at `at`."""
+        if self.spaced is None:
+            self.spaced = _spaced(self.words)
+        text, begin, end = self.spaced
+        return [self.langs.dictionary.take(pa.array(self.codes[self.words.doc[at]])), pa.array(np.full(len(at), n, np.int32)), _strings(text, begin[at], end[at + n - 1])]
+
+
+def _pointed(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], pointers: np.ndarray, max_words: int, mask: int) -> DataFrame:
+    """lang, n, phrase, print, doc, digest, key: text of frequent runs in the documents their pointers name."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, pointers))  # of fixed size
+    names = ["lang", "n", "phrase", "print", "doc", "digest", "key"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds = _seeds(batch.column(1))
+            for texts in slices(batch.column(2), SLICE):
+                cut = _Slice(batch, texts, seeds, shared.value[0], max_words, mask)
+                for n, at, prints, digests in cut.runs(chained=True):
+                    ids = cut.ids[cut.words.doc[at]]
+                    hit = np.flatnonzero(_has(shared.value[1], prints ^ ids.view(np.uint64), low=True))
+                    one, _ = _first_of(prints[hit] ^ mix(ids[hit].view(np.uint64)), digests[hit])
+                    hit = hit[one]
+                    keys = mix(prints[hit] ^ digests[hit])
+                    rows = [prints[hit].view(np.int64), ids[hit], digests[hit].view(np.int64), keys.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*cut.named(n, at[hit]), *map(pa.array, rows)], names)
+
+    return docs.mapInArrow(read, "lang string, n int, phrase string, print long, doc long, digest long, key long")
+
+
+def _unlike(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], texts_of: np.ndarray, max_words: int, mask: int) -> DataFrame:
+    """lang, n, phrase, print, f of runs with a frequent fingerprint and another text than the pointed one; n = 0 counts all words."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, texts_of))  # of fixed size
+    names = ["lang", "n", "phrase", "print", "f"]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, int] = {}
+        for batch in batches:
+            seeds = _seeds(batch.column(1))
+            for texts in slices(batch.column(2), SLICE):
+                cut = _Slice(batch, texts, seeds, shared.value[0], max_words, mask)
+                for lang, n in zip(cut.langs.dictionary.to_pylist(), np.bincount(cut.codes[cut.words.doc], minlength=len(cut.langs.dictionary)).tolist()):
+                    total[lang] = total.get(lang, 0) + n
+                for n, at, prints, digests in cut.runs():
+                    bad = np.flatnonzero(~_has(shared.value[1], mix(prints ^ digests)))
+                    if len(bad):
+                        one, f = _first_of(prints[bad], digests[bad])
+                        yield pa.RecordBatch.from_arrays([*cut.named(n, at[bad[one]]), pa.array(prints[bad[one]].view(np.int64)), pa.array(f)], names)
+        langs = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([0] * len(langs), pa.int32()), pa.array([""] * len(langs), pa.string()),
+                                          pa.array([0] * len(langs), pa.int64()), pa.array([total[x] for x in langs], pa.int64())], names)
+
+    return docs.mapInArrow(check, "lang string, n int, phrase string, print long, f long").groupBy(*names[:4]).agg(F.sum("f").alias("f"))
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, id_col: str = "doc_id", mask: int = _ALL) -> tuple[DataFrame, DataFrame]:
     """Table (lang, n, phrase, f, first_doc) of all phrases of up to `max_words` words with f >= least, and words per language.
 
-    first_doc is the smallest id of a document that holds the phrase (null where none of them has an id).
+    first_doc is the smallest id of a document that holds the phrase; null where none of them has an id, or for phrases
+    that share their fingerprint with another one. `mask` keeps some bits of the fingerprints only, to try that.
     """
     text_batches(docs.sparkSession)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
     read = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_DOC))).alias("doc"), lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found, bitmap = [], None
+    every, bitmap = None, None
     for sizes in [s for s in ((1,), (2,), tuple(range(3, max_words + 1))) if s and max(s) <= max_words]:
-        found.append(store(_level(read, sizes, bitmap, least), "prints"))
-        bitmap = _bitmap(found[-1])
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    every = every.groupBy("print").agg(F.min("doc").alias("doc"))
-    counted = store(_counted(read, _bitmap(every), max_words), "phrases")
-    words = counted.filter("n = 0").select("lang", F.col("f").alias("n"))
-    # A fingerprint of two texts points to the smaller document of both.
-    pointed = counted.filter((F.col("n") > 0) & (F.col("f") >= least)).join(every.select("print", "doc"), "print", "left")
-    return pointed.select("lang", "n", "phrase", "f", F.nullif("doc", F.lit(int(_NO_DOC))).alias("first_doc")), words
+        found = store(_level(read, sizes, bitmap, least, mask), "prints")
+        bitmap = _bitmap(found, "print")
+        every = found if every is None else every.unionByName(found)
+    # Runs of different lengths may have one fingerprint.
+    every = store(every.groupBy("print").agg(F.sum("f").alias("f"), F.min("doc").alias("doc")), "prints")
+    frequent = (_bitmap(every, "print"), _bitmap(every, "print", low=True))
+    texts = _pointed(read, frequent, _bitmap(every, "print ^ doc", low=True), max_words, mask).join(every, ["print", "doc"])
+    texts = store(texts.groupBy("print", "f", "doc").agg(F.min(F.struct("lang", "n", "phrase", "key")).alias("t")).select("print", "f", "doc", "t.*"), "phrases")
+    unlike = store(_unlike(read, frequent, _bitmap(texts, "key"), max_words, mask), "unlike")
+    words = unlike.filter("n = 0").select("lang", F.col("f").alias("n"))
+    shared = store(unlike.filter("n > 0").join(every.select("print"), "print", "left_semi").select("print").distinct(), "shared-prints")
+    own = texts.select("print", "lang", "n", "phrase", "f", F.nullif("doc", F.lit(int(_NO_DOC))).alias("first_doc"))
+    if shared.limit(1).count():
+        no_text = np.zeros(1 << (BITS - 6), np.uint64)
+        again = _unlike(read, (_bitmap(shared, "print"), _bitmap(shared, "print", low=True)), no_text, max_words, mask)
+        again = store(again.filter("n > 0").join(shared, "print", "left_semi").filter(F.col("f") >= least), "recounted")
+        own = own.join(shared, "print", "left_anti").unionByName(again.withColumn("first_doc", F.lit(None).cast("long")))
+    return own.drop("print"), words
 
 
 def _joined(words: Column, first: Column, n: Column) -> Column:
