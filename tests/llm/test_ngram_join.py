@@ -81,6 +81,20 @@ def test_defined_results(spark, rows):
     assert ngram_join.near_duplicates(rows("doc_id long, text string")).count() == 0
 
 
+def test_an_id_with_two_texts_has_the_links_of_both(rows, words):
+    a, b = words(60), words(60)
+
+    def near(text, k):
+        return " ".join([*text[:k], "changed", *text[k + 1 :]])
+
+    plain = [(10, " ".join(a)), (10, " ".join(b)), (20, near(a, 3)), (30, near(b, 50)), (40, near(a, 20)), (50, " ".join(words(60)))]
+    crowd = [(100 + i, near(b, i)) for i in range(40)]  # costly: through leaders and blocks
+    for docs in (plain, plain[::-1], [*plain, *crowd]):
+        for max_cost in (64, 4):
+            got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(rows("doc_id long, text string", *docs), max_cost=max_cost).collect()}
+            assert got == {i: 50 if i == 50 else 10 for i, _ in docs}
+
+
 def test_one_of_each_keeps_columns(spark, rows):
     docs = rows("doc_id long, text string, lang string", (1, "a b c", "x"), (2, "a b c", "y"), (4, "d", "z"), (4, "d", "z"), (None, "a b c", "n"), extra=True)
     kept = ngram_join.one_of_each(docs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from verispark.llm import decontam, langid, ngram_join, packing, quality, token_counts
 from verispark.llm.queries import QUERIES
+from verispark.llm.sampling import class_sample
 from verispark.llm.tables import release
 from verispark.llm.wordids import WordIds
 from verispark.operators.ordered import without_ids
@@ -56,6 +57,25 @@ def test_language_defined_results(rows):
     assert {r.lang_pred for r in langid.language_id(rows(DOCS, *[(i, "abc", "en") for i in range(9)])).collect()} == {"en"}
 
 
+def test_a_hundred_languages_are_all_learned(rows):
+    """Each language has its own words; none is cut, and their families keep the number of machines low."""
+    rng = np.random.default_rng(9)
+    words = {f"x{k:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(100)}
+    docs = [(i, " ".join(rng.choice(words[f"x{i % 100:02d}"], 12)), f"x{i % 100:02d}") for i in range(2400)]
+    got = langid.language_id(rows(DOCS, *docs)).collect()
+    assert len({r.lang_pred for r in got}) == 100
+    assert np.mean([r.lang_pred == f"x{r.doc_id % 100:02d}" for r in got if r.held_out]) > 0.9
+    x = rng.normal(size=(100, langid.BINS)).astype(np.float32)
+    of = langid.families(np.array(sorted(words), object), x)
+    assert len(set(of.values())) == 10 and langid.families(np.array(["en", "xx", "yy"], object), x[:3])["xx"] == "only xx"
+
+
+def test_samples_are_bounded_per_class(rows):
+    table = rows("doc_id long, text string, lang string", *[(5, f"t{i}", "en") for i in range(300)], *[(i, "t", "fr") for i in range(300)], (1, "t", None))
+    got = Counter(r.lang for r in class_sample(table, "doc_id", "lang", 20).collect())
+    assert set(got) <= {"en", "fr"} and got["en"] <= 40 and 5 <= got["fr"] <= 40
+
+
 def test_family_comes_first():
     rng = np.random.default_rng(1)
     langs = np.array(["en", "de", "fr", "es"] * 30, object)
@@ -122,7 +142,7 @@ def test_quality_defined_results(rows):
 
 
 def test_word_ids_equal_the_library():
-    mine, exact = WordIds(TOKENIZER, cache_words=50), Tokenizer.from_file(TOKENIZER)
+    mine, exact = WordIds(TOKENIZER, cache_bytes=10_000), Tokenizer.from_file(TOKENIZER)
     exact.encode_special_tokens = True
     rng = random.Random(3)
     signs = "abcdefghij ABCÉÀßœ 0123456789.,-'_!|#$%²½éΣİ日🙂\n\t́\x1c\x85\xa0​"
@@ -300,6 +320,46 @@ def test_without_ids(rows):
     assert got.filter("doc_id IS NULL").count() == 1
 
 
+CLASH = "lang_pred string, score double, predicted int, _letters boolean, _judged int, _class string, _no int, _place int"
+CLASH_VALUES = ("p", 0.5, 0, False, 1, "c", 2, 3)
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, sf, rows):
+    docs = [(i, ("the and of a house" if i % 2 else "der die das und ich") + f" {i}", ("de", "en")[i % 2]) for i in range(60)]
+    odd = [(100, None, "en"), (101, "", "en"), (102, "12 34", "de"), (None, "the house of", None), (103, "the house", "en"), (103, "the house", "en")]
+    table = spark.createDataFrame([(*d, *CLASH_VALUES) for d in [*docs, *odd]], f"{DOCS}, {CLASH}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, table, sf)
+        assert got.columns == table.columns, name
+        assert {tuple(r)[3:] for r in got.collect()} <= {CLASH_VALUES}, name
+        assert stage(spark, table.limit(0), sf).count() == 0, name
+    left = Counter(r.doc_id for r in corpus_pipeline.language(spark, table, sf).collect())
+    assert left == Counter([*range(60), None, 103, 103])
+
+
+def test_language_stage_decides_by_the_model_and_keeps_all_without_one(spark, sf, rows):
+    docs = [(i, ("the and of a house and the", "der die das und ich")[i % 2] + f" {i}", ("en", "de")[i % 2]) for i in range(300)]
+    far = [(1000, "QZXJ#QZXJ#QZXJ#QZXJ", None)]
+    known = rows(DOCS, *docs)
+    model = langid.train(known.filter("doc_id % 3 <> 1"))
+    least = langid.least_score(model, known.filter("doc_id % 3 = 1"))
+    assert 0 < least < 1 and langid.least_score(model, known.limit(0)) == 0
+    judged = {r.doc_id: r.j.score for r in rows(DOCS, *docs, *far).select("doc_id", langid.judged(F.col("text"), model).alias("j")).collect()}
+    left = {r.doc_id for r in corpus_pipeline.language(spark, rows(DOCS, *docs, *far), sf).collect()}
+    assert left >= {i for i in range(300)} and (1000 in left) == (judged[1000] >= least)
+    none = rows(DOCS, *[(i, f"text {i}", None) for i in range(100)], (200, "12", None))
+    assert corpus_pipeline.language(spark, none, sf).count() == 100
+
+
+def test_words_held_are_bounded_in_bytes_and_go_with_the_task():
+    held = WordIds(TOKENIZER, cache_bytes=20_000)
+    for i in range(2000):
+        held.encode(f"word{i} again")
+        assert sum(4 * len(w) + len(b) for w, b in held.known.items()) <= held.known.held <= 20_000
+    held.known.forget()
+    assert not held.known and held.known.held == 0
+
+
 def test_pipeline(spark, sf, documents):
     docs, at = {}, spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:

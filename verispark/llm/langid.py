@@ -13,19 +13,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from verispark.llm.sampling import class_sample, remainder
 from verispark.llm.tables import text_batches
 from verispark.llm.textbytes import Texts, lower_ascii, slices
 
 BINS = 4096
-TRAIN_ROWS = 2400  # all languages together
+TRAIN_ROWS = 2400  # all languages together, where there are few of them
+LEAST_ROWS = 20  # of each language, however many there are
+OWN_FAMILIES = 8  # languages outside the table that may be a family each; more of them are grouped by likeness
 UNKNOWN = "und"
 
-# Language codes by family; a language outside the table is a family of its own.
+# Language codes by family.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "oc", "la"),
@@ -37,8 +38,27 @@ FAMILIES = {
 }
 
 
-def family(lang: str) -> str:
-    return next((name for name, members in FAMILIES.items() if lang in members), f"only {lang}")
+def families(langs: np.ndarray, x: np.ndarray) -> dict[str, str]:
+    """Family of each language: the table's, or one of its own.
+
+    With more than OWN_FAMILIES others, the others are grouped by the likeness of their mean rows into as many families
+    as a family has members, so that the number of machines grows with the power 1.5 of the languages, not 2.
+    """
+    names = sorted(set(langs))
+    known = {lang: name for name, members in FAMILIES.items() for lang in members}
+    others = [v for v in names if v not in known]
+    out = {v: known.get(v, f"only {v}") for v in names}
+    if len(others) > OWN_FAMILIES:
+        means = np.stack([x[langs == v].mean(axis=0) for v in others]).astype(np.float64)
+        means /= np.maximum(np.sqrt((means * means).sum(axis=1, keepdims=True)), 1e-12)
+        size = int(np.ceil(np.sqrt(len(others))))
+        left = list(range(len(others)))
+        while left:
+            like = means[left] @ means[left[0]]
+            chosen = [left[k] for k in np.argsort(-like, kind="stable")[:size]]
+            out |= {others[k]: f"like {others[chosen[0]]}" for k in chosen}
+            left = [k for k in left if k not in chosen]
+    return out
 
 
 def features(texts: Texts) -> np.ndarray:
@@ -107,9 +127,10 @@ class Hierarchy:
     """Family first, then the language within it."""
 
     def __init__(self, x: np.ndarray, langs: np.ndarray) -> None:
-        families = np.array([family(v) for v in langs])
-        self.top = Votes(x, families)
-        self.within = {f: Votes(x[families == f], langs[families == f]) for f in self.top.names}
+        of = families(langs, x)
+        groups = np.array([of[v] for v in langs])
+        self.top = Votes(x, groups)
+        self.within = {f: Votes(x[groups == f], langs[groups == f]) for f in self.top.names}
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group, sure = self.top.predict(x)
@@ -122,60 +143,73 @@ class Hierarchy:
         return names, score
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Hierarchy | None:
-    """Fit on (doc_id, text, lang); None where no row has a language."""
-    langs = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    n_langs = max(1, langs.select("lang").distinct().limit(64).count())
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts in slices(batch.column(1), max_docs=512):
-                packed = [v.tobytes() for v in features(texts).astype(np.float16)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), pa.array(packed, pa.binary())], ["lang", "vector"])
-
-    sample = class_sample(langs, "doc_id", "lang", max(20, rows // n_langs))
-    got = sample.select("lang", "text").mapInArrow(vectors, "lang string, vector binary").collect()
-    if not got:
-        return None
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for texts in slices(batch.column(1), max_docs=512):
+            packed = [v.tobytes() for v in features(texts).astype(np.float16)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), pa.array(packed, pa.binary())], ["lang", "vector"])
+
+
+def _sampled(labelled: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of features and languages of a bounded sample of labelled texts."""
+    langs = labelled.filter(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    n_langs = max(1, langs.select("lang").distinct().count())
+    sample = class_sample(langs, "doc_id", "lang", max(LEAST_ROWS, rows // n_langs))
+    got = sample.select("lang", "text").mapInArrow(_vectors, "lang string, vector binary").collect()  # at most twice that of each language
     got.sort(key=lambda r: (r["lang"], bytes(r["vector"])))
-    x = np.stack([np.frombuffer(r["vector"], np.float16) for r in got]).astype(np.float32)
-    return Hierarchy(x, np.array([r["lang"] for r in got], object))
+    x = np.stack([np.frombuffer(r["vector"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, BINS), np.float32)
+    return x, np.array([r["lang"] for r in got], object)
+
+
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Hierarchy | None:
+    """Fit on (doc_id, text, lang); None where no row with a letter has a language. Every language is learned."""
+    text_batches(labelled.sparkSession)
+    x, langs = _sampled(labelled, rows)
+    return Hierarchy(x, langs) if len(langs) else None
 
 
-def predict(docs: DataFrame, model: Hierarchy | None, keep_text: bool = False) -> DataFrame:
-    """Adds lang_pred and score to (doc_id, text, ...): `und` with score 0 for a text that is null or has no letter.
+def least_score(model: Hierarchy, held_out: DataFrame, rows: int = TRAIN_ROWS) -> float:
+    """The score under which a text is of none of the languages: half the smallest one of rightly predicted held-out rows.
 
-    The text goes unless `keep_text`; it is then the last column but two.
+    Taken on a bounded sample of (doc_id, text, lang) that the model has not seen; 0 where there is none.
     """
-    text_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c != "text"]
-    marked = docs.select(*names, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"), "text")
-    fields = [docs.schema[c] for c in (*names, *(["text"] if keep_text else []))]
-    schema = StructType(fields).add("lang_pred", "string").add("score", "double")
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            letters = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
-            for texts in slices(batch.column(len(names) + 1), max_docs=512):
+    x, langs = _sampled(held_out, rows)
+    if len(langs) == 0:
+        return 0.0
+    names, score = model.predict(x)
+    right = score[names == langs]
+    return float(right.min() / 2) if len(right) else 0.0
+
+
+def judged(text: Column, model: Hierarchy | None) -> Column:
+    """Struct of lang_pred and score: `und` and 0 for a text that is null or has no letter. Only the text goes to Python."""
+
+    def label(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for letters, column in parts:
+            has = letters.to_numpy(zero_copy_only=False).astype(bool)
+            names, scores = np.full(len(has), UNKNOWN, object), np.zeros(len(has))
+            for texts in slices(column, max_docs=512):
                 part = slice(texts.first, texts.first + len(texts))
-                pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
                 if model is not None:
-                    pred, score = model.predict(features(texts))
-                    pred[~letters[part]], score[~letters[part]] = UNKNOWN, 0.0
-                shown = [*range(len(names)), *([len(names) + 1] if keep_text else [])]
-                kept = [batch.column(k).slice(texts.first, len(texts)) for k in shown]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score)], schema.names)
+                    names[part], scores[part] = model.predict(features(texts))
+            names[~has], scores[~has] = UNKNOWN, 0.0
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
-    return marked.mapInArrow(label, schema)
+    # Not deterministic to the optimizer, so that no step computes it twice.
+    predict = F.arrow_udf(label, "lang_pred string, score double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    return predict(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), text)
 
 
 def language_id(docs: DataFrame, train_docs: DataFrame | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document.
 
     Learns from rows of `train_docs` (default: `docs`) with a language whose crc32(doc_id) mod 3 is not 1, at
-    most about `rows` of them. Prediction reads the text alone. Rows with a null id are predicted and never
-    learned from; repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
+    most about `rows` of them or LEAST_ROWS of each language. Prediction reads the text alone, all of it. Rows with a null
+    id are predicted and never learned from; repeated rows give repeated results; equal votes go to the larger sum of
+    margins and then to the first name; an empty table gives no rows; other columns are ignored.
     """
-    chosen = docs.select(F.col("doc_id"), F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
-    source = (docs if train_docs is None else train_docs).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    return predict(chosen, train(source.filter(remainder("doc_id", 3) != 1), rows))
+    text = F.col("text").cast("string")
+    source = (docs if train_docs is None else train_docs).select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang"))
+    model = train(source.filter(remainder("doc_id", 3) != 1), rows)
+    chosen = docs.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), judged(text, model).alias("judged"))
+    return chosen.select("doc_id", "held_out", "judged.lang_pred", "judged.score")

@@ -99,11 +99,17 @@ def signatures(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     return docs.mapInArrow(sign, "doc long, n long, d1 long, d2 long, prefix array<long>")
 
 
+def set_keys(df: DataFrame) -> list[str]:
+    """Columns that tell sets apart: an id with several different sets has a digest k for each of them."""
+    return [c for c in ("doc", "n", "k") if c in df.columns]
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, n and all shingles of the `wanted` documents (column doc).
+    """The key of each `wanted` set (doc, n and, if it has that, k) and all its shingles.
 
     A bitmap of fixed size keeps most other texts from being cut again; the join with `wanted` is exact.
     """
+    keys = set_keys(wanted)
     slot = F.pmod(F.xxhash64("doc"), F.lit(BITMAP_BITS))
     bits = wanted.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     bitmap = np.zeros(BITMAP_BITS >> 6, np.uint64)
@@ -118,10 +124,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for texts in slices(batch.column(1)):
                 owner, hashes = shingle_sets(texts)
                 n = np.bincount(owner, minlength=len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), pa.array(n, pa.int64()), _lists(owner, hashes, len(texts))], ["doc", "n", "tokens"])
+                k = pa.array(_per_doc(owner, mix(hashes), len(texts)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), pa.array(n, pa.int64()), k, _lists(owner, hashes, len(texts))], ["doc", "n", "k", "tokens"])
 
-    sets = docs.withColumn("slot", slot).mapInArrow(cut, "doc long, n long, tokens array<long>")
-    return sets.join(wanted.select("doc", "n").distinct(), ["doc", "n"], "left_semi").dropDuplicates(["doc"])
+    sets = docs.withColumn("slot", slot).mapInArrow(cut, "doc long, n long, k long, tokens array<long>")
+    if "k" in keys:  # 0 for documents with one set
+        several = wanted.filter("k <> 0").select("doc").distinct().withColumn("several", F.lit(True))
+        sets = sets.join(several, "doc", "left").withColumn("k", F.when(F.col("several"), F.col("k")).otherwise(0))
+    return sets.select(*keys, "tokens").join(wanted.select(*keys).distinct(), keys, "left_semi").dropDuplicates(keys)
 
 
 def _compatible(a: Column, b: Column, similarity: int) -> Column:
@@ -153,10 +163,11 @@ def repeated_prefixes(reps: DataFrame, similarity: int) -> DataFrame:
 
     Documents with too few of them to link with anything are left out.
     """
-    posts = reps.select("doc", "n", F.explode("prefix").alias("token"))
+    keys = set_keys(reps)
+    posts = reps.select(*keys, F.explode("prefix").alias("token"))
     counts = posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     # One document's prefix is one row: bounded by the document.
-    rows = posts.join(counts, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("repeated"))
+    rows = posts.join(counts, "token").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("repeated"))
     return rows.filter(F.size("repeated") >= _least_matches(F.col("n"), similarity))
 
 
@@ -179,9 +190,10 @@ def _direct_pairs(found: DataFrame, similarity: int, max_cost: int) -> DataFrame
 
 def _long_prefixes(sets: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
     """Shingle rows of the rarest m + 1 of each whole set, and the sets cut to their repeated shingles."""
-    posts = sets.select("doc", "n", F.explode("tokens").alias("token"))
+    keys = set_keys(sets)
+    posts = sets.select(*keys, F.explode("tokens").alias("token"))
     counts = posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = posts.join(counts, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    rows = posts.join(counts, "token").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
     rows = store(rows.filter(F.size("r") * 100 >= F.col("n") * similarity), "long-prefixes")
     # The shingles of one document alone come first in the order, so they take up places.
     kept = F.size("r") - F.ceil(F.col("n") * similarity / 100).cast("int") + 1
@@ -288,9 +300,9 @@ def _rest_links(posts: DataFrame, sets: DataFrame, similarity: int, block: int =
     b = docs.join(have_blocks, ["cluster", "size"]).select("cluster", F.col("size").alias("b_size"), F.pmod(F.xxhash64("doc"), "b_blocks").cast("int").alias("b_no"), near.alias("a_size"), "doc", "n", "comp")
     b = b.join(ask_blocks.withColumnRenamed("size", "a_size"), ["cluster", "a_size"]).withColumn("a_no", F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1)))
     keys = ["cluster", "a_size", "a_no", "b_size", "b_no"]
-    tokens = sets.select("doc", "tokens")
-    left = a.select(*keys, "doc", "n", "comp").join(tokens, "doc")
-    right = b.select(*keys, "doc", "n", "comp").join(tokens, "doc")
+    tokens = sets.select("doc", "n", "tokens")
+    left = a.select(*keys, "doc", "n", "comp").join(tokens, ["doc", "n"])
+    right = b.select(*keys, "doc", "n", "comp").join(tokens, ["doc", "n"])
     right = right.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "doc", "n", "comp", "tokens")])
 
     def meet(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
@@ -306,22 +318,28 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, max_cost: int
     """doc_id, n_shingles, component_id of every row: the smallest id a document reaches by links, itself included.
 
     A null or empty text has no shingles and links with nothing; a row with a null id has a null component; rows with
-    one id are one node; an empty table gives no rows; other columns are ignored.
+    one id are one node that has the links of all its texts; an empty table gives no rows; other columns are ignored.
     """
     text_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     signed = store(signatures(texts, similarity), "signatures")
     known = signed.filter("n > 0 AND doc IS NOT NULL")
     copies = known.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "prefix")).alias("rep"))
-    reps = copies.select(F.col("rep.doc").alias("doc"), "n", F.col("rep.prefix").alias("prefix"))
+    reps = copies.select(F.col("rep.doc").alias("doc"), "n", "d1", F.col("rep.prefix").alias("prefix"))
+    several = store(known.groupBy("doc").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi").select("doc", F.lit(True).alias("several")), "several")
+    if several.limit(1).count():
+        reps = reps.join(several, "doc", "left").withColumn("k", F.when(F.col("several"), F.col("d1")).otherwise(0)).drop("several")
+    reps = reps.drop("d1")
     found = repeated_prefixes(reps, similarity)
     kept = F.slice("repeated", 1, (F.size("repeated") - _least_matches(F.col("n"), similarity) + 1).cast("int"))
     cost = F.aggregate("kept", F.lit(0).cast("long"), lambda s, k: s + k["df"] - 1)
     found = store(found.withColumn("kept", kept).withColumn("costly", cost > max_cost), "prefixes")
     direct = store(_direct_pairs(found, similarity, max_cost), "candidates")
     ends = direct.select(F.col("a").alias("doc")).unionByName(direct.select(F.col("b").alias("doc"))).distinct()
-    wanted = found.join(ends.withColumn("in_pair", F.lit(True)), "doc", "left").filter("costly OR in_pair").select("doc", "n", "costly")
-    sets = store(full_sets(texts, wanted).join(wanted.select("doc", "costly").distinct(), "doc"), "sets")
+    wanted = found.join(ends.withColumn("in_pair", F.lit(True)), "doc", "left").filter("costly OR in_pair")
+    keys = set_keys(wanted)
+    wanted = wanted.select(*keys, "costly")
+    sets = store(full_sets(texts, wanted).join(wanted.distinct(), keys), "sets")
     links = [verified(direct, sets, similarity)]
     costly = sets.filter("costly").drop("costly")
     if costly.limit(1).count():

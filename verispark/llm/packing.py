@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int
                 arrays.append(pa.array([np.frombuffer(x, np.uint32).astype(np.int32).tolist() for x in ids_rows], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        encoder.known.forget()  # the worker goes on to other tasks
 
     return docs.mapInArrow(cut, PIECE_COLUMNS + (", ids array<int>" if with_ids else ""))
 

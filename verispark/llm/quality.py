@@ -13,9 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from verispark.llm.sampling import class_sample, remainder
 from verispark.llm.tables import text_batches
@@ -165,35 +164,32 @@ def _excerpts(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def predict(docs: DataFrame, net: ByteNet | None, keep_text: bool = False) -> DataFrame:
-    """Adds score and predicted to (..., text), whose text goes unless `keep_text`; it is then the last column but two."""
-    text_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c != "text"]
-    fields = [docs.schema[c] for c in (*names, *(["text"] if keep_text else []))]
-    schema = StructType(fields).add("score", "double").add("predicted", "integer")
+def judged(text: Column, net: ByteNet | None) -> Column:
+    """Struct of score and predicted. Only the text goes to Python."""
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts in slices(batch.column(len(names))):
-                if net is None:
-                    score = np.full(len(texts), 0.5)
-                else:
-                    score = np.array([net.score(texts.data[a:b]) for a, b in zip(texts.offsets[:-1], texts.offsets[1:])])
-                kept = [batch.column(k).slice(texts.first, len(texts)) for k in range(len(names) + keep_text)]
-                flags = pa.array((score >= THRESHOLD).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(score), flags], schema.names)
+    def label(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in parts:
+            score = np.full(len(column), 0.5)
+            if net is not None:
+                for texts in slices(column):
+                    score[texts.first : texts.first + len(texts)] = [net.score(texts.data[a:b]) for a, b in zip(texts.offsets[:-1], texts.offsets[1:])]
+            yield pa.StructArray.from_arrays([pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["score", "predicted"])
 
-    return docs.select(*names, "text").mapInArrow(label, schema)
+    # Not deterministic to the optimizer, so that no step computes it twice.
+    predict = F.arrow_udf(label, "score double, predicted int", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    return predict(text)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
     """doc_id, held_out, score (near 1: quality 1 is likelier) and predicted of every document.
 
     Learns from rows whose crc32(doc_id) mod 5 is not 0, at most twice `per_class` for each label; the score reads
-    the text alone. A null text counts as empty; without any label all scores are 0.5. Repeated rows give repeated
-    results, an empty table none; other columns are ignored.
+    the text alone, all of it. A null text counts as empty; without any label all scores are 0.5. A score of exactly 0.3 is
+    predicted 1. Repeated rows give repeated results, an empty table none; other columns are ignored.
     """
-    chosen = docs.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
-    source = (docs if train_docs is None else train_docs).select("doc_id", F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    text_batches(docs.sparkSession)
+    source = (docs if train_docs is None else train_docs).select("doc_id", text.alias("text"))
     net = train(source, labels.select("doc_id", "quality").filter(remainder("doc_id", 5) != 0), per_class)
-    return predict(chosen, net)
+    chosen = docs.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), judged(text, net).alias("judged"))
+    return chosen.select("doc_id", "held_out", "judged.score", "judged.predicted")

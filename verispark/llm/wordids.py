@@ -1,7 +1,7 @@
 """Ids of the word vocabulary for whole texts, with one encoding per different word.
 
 The vocabulary lower-cases, drops white space and never joins across it, so a text's ids are the ids of its
-words in a row. A task keeps the ids of the words it has met (bounded) and encodes only new ones. New words of
+words in a row. A task keeps the ids of the words it has met, bounded in bytes, and encodes only new ones. New words of
 Latin letters go through a merge engine fed with the file's own merges, where the mark of a word's end is one
 extra byte; all others go through the `tokenizers` library itself. Tests hold both against that library.
 """
@@ -14,7 +14,8 @@ import unicodedata
 from array import array
 from collections.abc import Callable
 
-CACHE_WORDS = 700_000
+CACHE_BYTES = 32 << 20
+_ENTRY = 190  # bytes of a dictionary's place and two short objects, besides their contents
 
 # The pre-token pattern of the vocabulary file, in the classes of the standard library.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+|_+")
@@ -35,7 +36,7 @@ def _byte_signs() -> dict[str, int]:
 class WordIds:
     """Little-endian unsigned 32-bit ids of texts, as bytes."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -58,7 +59,7 @@ class WordIds:
             ended = whole.endswith(end)
             ranks[bytes(signs[s] for s in whole.removesuffix(end)) + (b"\xff" if ended else b"")] = last
         self.engine = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
-        self.known = _Known(self._new, cache_words)
+        self.known = _Known(self._new, cache_bytes)
         self.marks = {m: array("I", piece_ids).tobytes() for m in ".,;:!?" for piece_ids in [self.engine._encode_single_piece(m.encode() + b"\xff")]}
 
     def _new(self, word: str) -> bytes:
@@ -84,17 +85,23 @@ class WordIds:
 
 
 class _Known(dict):
-    """Ids of the words met so far; emptied when it has grown to the bound."""
+    """Ids of the words met so far; emptied when they have grown to the bound in bytes."""
 
     def __init__(self, new: Callable[[str], bytes], limit: int) -> None:
-        self.new, self.limit = new, limit
+        self.new, self.limit, self.held = new, limit, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > self.limit:
-            self.clear()
-        ids = self[word] = self.new(word) if word else b""
+        ids = self.new(word) if word else b""
+        self.held += 4 * len(word) + len(ids) + _ENTRY
+        if self.held > self.limit:
+            self.forget()
+        self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 _LOADED: dict[str, WordIds] = {}
 
