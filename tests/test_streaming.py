@@ -116,15 +116,34 @@ def test_phases(spark):
 
 
 def test_phase_state_lasts_between_batches(spark, tmp_path):
+    plain = spark.newSession()  # as any user may have it
+    plain.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
     for i in range(0, len(UPDATES), 2):
         spark.createDataFrame(UPDATES[i : i + 2], UP).coalesce(1).write.json(str(tmp_path / "in" / f"{i:02d}"))
-        rows = spark.readStream.schema(UP).json(str(tmp_path / "in" / "*"))
-        pg.follow(pg.stream_phase_segments(rows), str(tmp_path / "out"), str(tmp_path / "check"), "append").awaitTermination()
-    got = {(r.job, r.seq): r.phase_no for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        rows = plain.readStream.schema(UP).json(str(tmp_path / "in" / "*"))
+        pg.stream_phase_segments(rows, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = {(r.job, r.seq): r.phase_no for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()}
+    # One row per job, and not more than two batches of it.
+    assert len(list((tmp_path / "out" / "open").iterdir())) <= 2
     want = pg.phase_segments(spark.createDataFrame(UPDATES, UP), order=("at_s", "seq"))
     assert got == {(r.job, r.seq): r.phase_no for r in want.collect()}
 
 
+def test_one_job_with_all_updates_is_spread(spark, tmp_path):
+    """A job that holds all rows is numbered over many partitions, batch after batch, and a batch run again changes nothing."""
+    ups = [("hot", i, float(i), "ab"[i // 7 % 2], i % 5) for i in range(4000)]
+    for k in range(2):
+        spark.createDataFrame(ups[2000 * k : 2000 * (k + 1)], UP).coalesce(1).write.json(str(tmp_path / "in" / f"{k:02d}"))
+        rows = spark.readStream.schema(UP).json(str(tmp_path / "in" / "*"))
+        pg.stream_phase_segments(rows, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = [r.phase_no for r in spark.read.parquet(str(tmp_path / "out" / "rows")).orderBy("seq").collect()]
+    want, no = [], 0
+    for i, u in enumerate(ups):
+        no += i == 0 or u[3] != ups[i - 1][3] or u[4] == 0
+        want.append(no)
+    assert got == want
+
+
 def test_failures(spark):
     rows = [("c", 1, "t1", "old", "x"), ("c", 2, "t2", "m" * 400, "\n".join(["a", "", *"bcdefg"]))]
     row = pg.failure_digest(spark.createDataFrame(rows, "context string, id long, at string, message string, traceback string")).first()

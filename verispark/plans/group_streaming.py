@@ -122,8 +122,9 @@ def _(spark, sf_dir):
 @query("stream_phase_segments", "SELECT job, seq, phase, done, phase_no FROM seg", PHASE_CTES)
 def _(spark, sf_dir):
     updates = table_stream(spark, sf_dir, "events").selectExpr(*_UPDATE)
-    rows = _run(spark, pg.stream_phase_segments(updates), "append")
-    return rows.select("job", "seq", "phase", "done", "phase_no")
+    base = fresh_path(spark, "phases")
+    pg.stream_phase_segments(updates, base, f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/rows").select("job", "seq", "phase", "done", "phase_no")
 
 
 _TRACE = "concat('first', chr(10), '  ', chr(10), raw_output, chr(10), 'a', chr(10), chr(10), 'b', chr(10), 'c ', CAST(claim_id AS STRING), chr(10), 'd')"

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from verispark.functions.labels import ERROR
-from verispark.operators.ordered import running_sums, with_previous
+from verispark.operators.ordered import join_small, running_sums, with_previous
 
 
 def progress(results: DataFrame, totals: DataFrame) -> DataFrame:
@@ -90,40 +89,35 @@ def phase_rates(segments: DataFrame, keys: Sequence[str] = ("job",)) -> DataFram
         F.round(F.when(done > 0, done / spent).otherwise(0.0), 6).alias("rate"))
 
 
-class PhaseTracker(StatefulProcessor):
-    """Keeps the current phase of a job between batches; emits every update with its phase number."""
-
-    def init(self, handle) -> None:
-        self._now = handle.getValueState("phase", "phase string, phase_no long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        name, no = self._now.get() if self._now.exists() else (None, 0)
-        # The shuffle keeps no order, so a job's updates of one batch are sorted here. The source bounds a batch
-        # (maxFilesPerTrigger of `table_stream`); a job's own updates of one batch must fit into a task.
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at_s", "seq"], kind="stable")
-        starts = (batch["phase"] != batch["phase"].shift(fill_value=name)) | (batch["done"] == 0)
-        numbers = no + starts.cumsum()
-        self._now.update((batch["phase"].iloc[-1], int(numbers.iloc[-1])))
-        yield pd.DataFrame({
-            "job": key[0], "seq": batch["seq"].to_numpy(), "at_s": batch["at_s"].to_numpy(), "phase": batch["phase"].to_numpy(),
-            "done": batch["done"].to_numpy(), "phase_no": numbers.to_numpy()})
-
-    def close(self) -> None:
-        pass
-
-
-PHASE_ROW = T.StructType([
-    T.StructField("job", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("at_s", T.DoubleType()),
-    T.StructField("phase", T.StringType()), T.StructField("done", T.LongType()), T.StructField("phase_no", T.LongType())])
-
-
-def stream_phase_segments(updates: DataFrame) -> DataFrame:
+def stream_phase_segments(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Stream form of `phase_segments` for updates (job, seq, at_s, phase, done) whose batches come in order.
 
-    The session's state store must be RocksDB, as `build_session` sets it.
+    Each batch is numbered like a table, range-sorted, so a job may hold all its rows, and written to `path/rows/batch=n`.
+    `path/open/batch=n` has each job's last phase and number, one row per job; the next batch goes on from there. A batch
+    that is run again replaces its own folders.
     """
-    return updates.select("job", "seq", "at_s", "phase", "done").groupBy("job").transformWithStateInPandas(
-        PhaseTracker(), outputStructType=PHASE_ROW, outputMode="Append", timeMode="None")
+    spark = updates.sparkSession
+    fields = "job string, _phase string, _phase_no long"
+
+    def put(batch: DataFrame, no: int) -> None:
+        before = spark.read.schema(fields).parquet(f"{path}/open/batch={no - 1}") if no else spark.createDataFrame([], fields)
+        seen = with_previous(batch.select("job", "seq", "at_s", "phase", "done"), ["job"], ["at_s", "seq"], ["phase"])
+        first = F.col("prev").isNull()
+        carried = join_small(seen, before, ["job"], "left")
+        last = F.when(first, F.col("_phase")).otherwise(F.col("prev.phase"))
+        starts = last.isNull() | (last != F.col("phase")) | (F.col("done") == 0)
+        marked = carried.withColumn("_start", starts.cast("int")).drop("prev", "_phase")
+        numbered = running_sums(marked, ["job"], ["at_s", "seq"], {"phase_no": F.col("_start")})
+        rows = numbered.withColumn("phase_no", F.col("phase_no") + F.coalesce("_phase_no", F.lit(0))).drop("_start", "_phase_no", "pos")
+        rows.write.parquet(f"{path}/rows/batch={no}", mode="overwrite")
+        written = spark.read.schema(rows.schema).parquet(f"{path}/rows/batch={no}")
+        ends = written.groupBy("job").agg(F.max_by(F.struct("phase", "phase_no"), F.struct("at_s", "seq")).alias("e")).select("job", "e.phase", "e.phase_no")
+        ends.toDF("job", "_phase", "_phase_no").unionByName(before.join(ends.select("job"), "job", "left_anti")).write.parquet(f"{path}/open/batch={no}", mode="overwrite")
+        if no > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/open/batch={no - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    return updates.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def failure_digest(failures: DataFrame) -> DataFrame:

@@ -36,11 +36,11 @@ VIEWS: dict[str, tuple[str, str]] = {
     "v_results": (
         "events",
         """event_id AS id, concat('uam_ga', CAST(user_id % 6 + 1 AS STRING), '__', CASE WHEN event_id % 2 = 0 THEN 'bielik-11b' ELSE 'llama3.1-8b' END) AS agent_name,
-  event_id % 211 AS claim_id, 'am_benchmark' AS benchmark_name,
-  CAST((event_id % 211) % 4 AS STRING) AS original_label,
+  CAST(floor(event_id / 47) AS BIGINT) AS claim_id, 'am_benchmark' AS benchmark_name,
+  CAST(CAST(floor(event_id / 47) AS BIGINT) % 4 AS STRING) AS original_label,
   CASE WHEN event_id % 16 < 10 THEN CAST((event_id + user_id) % 4 AS STRING) WHEN event_id % 16 = 10 THEN 'ERROR' WHEN event_id % 16 = 11 THEN 'ERROR_MAX_STEPS' WHEN event_id % 16 = 12 THEN '1.0' WHEN event_id % 16 = 13 THEN '2.5' WHEN event_id % 16 = 14 THEN 'Output: 2'
     ELSE CASE user_id % 6 WHEN 0 THEN '[''x'', ''y'']' WHEN 1 THEN 'None' WHEN 2 THEN 'N/A' WHEN 3 THEN '-1' WHEN 4 THEN '' ELSE '7' END END AS model_label,
-  CASE WHEN event_id % 16 < 10 AND (event_id + user_id) % 4 = (event_id % 211) % 4 THEN 1 ELSE 0 END AS is_correct,
+  CASE WHEN event_id % 16 < 10 AND (event_id + user_id) % 4 = CAST(floor(event_id / 47) AS BIGINT) % 4 THEN 1 ELSE 0 END AS is_correct,
   180 + event_id % 97 + user_id % 50 AS total_tokens, 180 + event_id % 97 AS prompt_tokens, user_id % 50 AS completion_tokens,
   value / 100 AS time_thought,
   CASE WHEN event_id % 16 = 11 THEN
