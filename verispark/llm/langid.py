@@ -77,37 +77,38 @@ def features(texts: Texts) -> np.ndarray:
     return np.sqrt(counts / total).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 12) -> np.ndarray:
-    """Weights and bias of a linear support vector machine (squared hinge) for labels +1 and -1.
+def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 12) -> np.ndarray:
+    """Weights and bias of a linear support vector machine (squared hinge) for the given rows of `x`, labels +1 and -1.
 
-    Dual coordinate descent; each class weighs as much as the other.
+    Dual coordinate descent; each class weighs as much as the other. `x` is shared by all machines and never copied.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
     diagonal = share / cost  # 1 / (2 C) with C = cost / (2 share)
-    squares = np.einsum("ij,ij->i", x, x, dtype=np.float64) + diagonal
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
+    squares = np.array([np.dot(x[r], x[r]) for r in rows], np.float64) + 1.0 + diagonal  # 1 for the bias
+    alpha, w, bias = np.zeros(len(rows)), np.zeros(x.shape[1]), 0.0
     order = np.random.default_rng(5)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            row = x[i].astype(np.float64)  # the table itself stays narrow
-            gradient = y[i] * (row @ w) - 1 + diagonal[i] * alpha[i]
+        for i in order.permutation(len(rows)):
+            row = x[rows[i]].astype(np.float64)
+            gradient = y[i] * (row @ w + bias) - 1 + diagonal[i] * alpha[i]
             moved = max(alpha[i] - gradient / squares[i], 0.0)
-            w += (moved - alpha[i]) * y[i] * row
+            step = (moved - alpha[i]) * y[i]
+            w += step * row
+            bias += step
             alpha[i] = moved
-    return w.astype(np.float32)
+    return np.append(w, bias).astype(np.float32)
 
 
 class Votes:
     """One machine per pair of classes; the class with most votes wins, ties go to the larger sum of margins."""
 
-    def __init__(self, x: np.ndarray, classes: np.ndarray) -> None:
+    def __init__(self, x: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
         self.names = sorted(set(classes))
         self.pairs = list(combinations(range(len(self.names)), 2))
         self.weights = []
         for a, b in self.pairs:
             at = (classes == self.names[a]) | (classes == self.names[b])
-            self.weights.append(fit_svm(x[at], np.where(classes[at] == self.names[a], 1.0, -1.0)))
+            self.weights.append(fit_svm(x, rows[at], np.where(classes[at] == self.names[a], 1.0, -1.0)))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the winner and its mean probability against each other class."""
@@ -131,8 +132,8 @@ class Hierarchy:
     def __init__(self, x: np.ndarray, langs: np.ndarray) -> None:
         of = families(langs, x)
         groups = np.array([of[v] for v in langs])
-        self.top = Votes(x, groups)
-        self.within = {f: Votes(x[groups == f], langs[groups == f]) for f in self.top.names}
+        self.top = Votes(x, np.arange(len(x)), groups)
+        self.within = {f: Votes(x, np.flatnonzero(groups == f), langs[groups == f]) for f in self.top.names}
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group, sure = self.top.predict(x)
@@ -159,7 +160,9 @@ def _sampled(labelled: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     sample = class_sample(langs, "doc_id", "lang", max(LEAST_ROWS, rows // n_langs))
     got = sample.select("lang", "text").mapInArrow(_vectors, "lang string, vector binary").collect()  # at most twice that of each language
     got.sort(key=lambda r: (r["lang"], bytes(r["vector"])))
-    x = np.stack([np.frombuffer(r["vector"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, BINS), np.float32)
+    x = np.empty((len(got), BINS), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r["vector"], np.float16)
     return x, np.array([r["lang"] for r in got], object)
 
 
