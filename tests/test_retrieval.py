@@ -240,6 +240,45 @@ def test_corpus_is_scanned_once(spark, sf):
     from verispark.operators import lexical
 
     docs, asked = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    plan = lexical._hits(docs, "doc_id", "text", lexical.query_terms(asked, "item_id", "text").select("term").distinct(), True)
+    plan = lx._hits(docs, "doc_id", "text", lx.query_terms(asked, "item_id", "text").select("term").distinct(), True)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("documents.parquet") == 1
+
+
+def test_bounded_search_equals_the_full_one_and_scores_fewer_pairs(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.substring("text", 1, 60).alias("text"))
+    met, first = [], lx._met
+    monkeypatch.setattr(lx, "_met", lambda *a: met.append(first(*a)) or met[0])
+    key = ("query_id", "doc_id", "rank", F.round("score", 6))
+    full = lx.bm25_search(docs, asked, query_id="item_id").select(*key).collect()
+    bounded = lx.bm25_search(docs, asked, query_id="item_id", bounded=True).select(*key).collect()
+    assert sorted(map(tuple, full)) == sorted(map(tuple, bounded))
+    everything = lx.bm25_search(docs, asked, query_id="item_id", k=10**6).count()
+    assert 0 < met[0].count() < everything
+
+
+def test_bounded_search_with_few_texts_ties_and_repeated_words(spark):
+    docs = spark.createDataFrame([(1, "kot pies"), (2, "pies kot"), (3, None), (4, ""), (5, "kot kot dom")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "kot"), (2, "kot kot pies dom"), (3, None), (4, "nieznane")], "query_id int, text string")
+    rows = [
+        sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in lx.bm25_search(docs, asked, k=2, bounded=b).collect())
+        for b in (False, True)
+    ]
+    assert rows[0] == rows[1] and [r[:3] for r in rows[0]][:1] == [(1, 1, 5)]
+    assert lx.bm25_search(docs.limit(0), asked, bounded=True).count() == 0
+
+
+def test_an_index_of_segments_equals_one_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "kot pies dom"), (2, "pies las"), (3, ""), (4, "kot kot rzeka"), (5, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "kot las"), (2, "rzeka pies")], "query_id int, text string")
+    path = str(tmp_path / "index")
+    for ids in ((1, 2), (3, 5), (4,)):
+        lx.append_index(docs.filter(F.col("doc_id").isin(*ids)), "doc_id", "text", path, shards=4)
+    # A segment whose write did not end is not seen.
+    lx.term_postings(docs, "doc_id", "text").withColumn("shard", F.lit(0)).write.parquet(f"{path}/postings/broken")
+    key = ("query_id", "doc_id", "rank", F.round("score", 6))
+    one = lx.bm25_search(docs, asked).select(*key).collect()
+    assert sorted(map(tuple, lx.search_segments(spark, path, asked).select(*key).collect())) == sorted(map(tuple, one))
+    lx.append_index(docs.filter("doc_id = 3"), "doc_id", "text", f"{path}2", shards=4)
+    assert lx.search_segments(spark, f"{path}2", asked).count() == 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +116,54 @@ def write_index(docs: DataFrame, id_col: str, text_col: str, path: str, shards:
     terms.withColumn("shard", _shard(F.col("term"), shards)).write.parquet(f"{path}/terms", mode="overwrite")
 
 
+def append_index(docs: DataFrame, id_col: str, text_col: str, path: str, shards: int = SHARDS) -> str:
+    """Add texts with new ids to an index of segments, and return the segment's name; `search_segments` reads them.
+
+    A segment is never changed. It has its own postings and term counts; the row in `path/sizes`, written last,
+    makes it visible, so a batch that fails halfway is never seen. `shards` is the same for all segments.
+    """
+    name = uuid.uuid4().hex
+    by = ("shard", "term", "doc_id")
+    rows = term_postings(docs, id_col, text_col).withColumn("shard", _shard(F.col("term"), shards))
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("shard").parquet(f"{path}/postings/{name}")
+    idf = term_idf(docs, id_col, text_col).select("term", "df", _shard(F.col("term"), shards).alias("shard"))
+    idf.write.parquet(f"{path}/counts/{name}")
+    size = doc_lengths(docs, id_col, text_col).agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("len"))
+    size.select(F.lit(name).alias("segment"), "n", "len").coalesce(1).write.parquet(f"{path}/sizes", mode="append")
+    return name
+
+
+def search_segments(
+    spark: SparkSession, path: str, queries: DataFrame, *, query_id: str = "query_id", query_text: str = "text",
+    k: int = 5, k1: float = K1, b: float = B,
+) -> DataFrame:
+    """`bm25_search` over all segments of `append_index`, by the statistics of all of them together.
+
+    Corpus size and mean length come from the sizes (one row a segment), document frequencies from the sums of the
+    segments' counts for the queries' terms, so the rows equal those of an index built at once.
+    """
+    sizes = spark.read.parquet(f"{path}/sizes").collect()  # one row a segment
+    full = [s for s in sizes if s.len]
+    n, total = sum(s.n for s in sizes), sum(s.len for s in sizes)
+    wanted = cut_lineage(query_terms(queries, query_id, query_text))
+    small = wanted.count() <= BROADCAST_ROWS
+    counts = spark.read.schema("term string, df bigint, shard int").parquet(*[f"{path}/counts/{s.segment}" for s in full] or [f"{path}/counts/{sizes[0].segment}"])
+    df = F.col("df")
+    stats = counts.groupBy("term", "shard").agg(F.sum("df").alias("df")).select(
+        "term", "shard", F.log((F.lit(n) - df + 0.5) / (df + 0.5) + 1.0).alias("idf"), F.lit(total / n if n else 1.0).alias("avgdl"))
+    scored = cut_lineage(_weighted(wanted, stats, k1))
+    folders = [r["shard"] for r in scored.select("shard").distinct().collect()]
+    terms = scored.select("shard", "term").distinct()
+    parts = []
+    for s in full:
+        part = spark.read.parquet(f"{path}/postings/{s.segment}").filter(F.col("shard").isin(*folders))
+        parts.append(part.select("term", "doc_id", "tf", "doc_len", "shard"))
+    if not parts:
+        return spark.createDataFrame([], f"query_id {wanted.schema['query_id'].dataType.simpleString()}, doc_id string, score double, rank int")
+    hits = reduce(DataFrame.unionByName, parts).join(F.broadcast(terms) if small else terms, ["shard", "term"], "left_semi").repartition("doc_id")
+    return _score(hits, F.broadcast(scored.drop("shard")) if small else scored.drop("shard"), ["term"], k, k1, b)
+
+
 def _shard(term: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
@@ -132,6 +182,77 @@ def _score(hits: DataFrame, scored_terms: DataFrame, on: list[str], k: int, k1:
     return top_k(sums, k, "_by", "doc_id").drop("_by")
 
 
+SLACK = 1e-6  # scores are ranked on SCORE_DIGITS digits: a text this far below a threshold cannot reach it
+
+
+def _impact(k1: float, b: float) -> Column:
+    """What a term adds to a text's score for a weight of 1."""
+    return F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("doc_len") / F.col("avgdl")))
+
+
+def _block() -> Column:
+    """Block of a posting: texts of like length, at most about 250 whatever the corpus."""
+    return F.floor(4 * F.log2(F.col("doc_len") + 1)).cast("int")
+
+
+def _full_scores(pairs: DataFrame, impacts: DataFrame, scored_terms: DataFrame) -> DataFrame:
+    """The whole score of each given (query_id, doc_id)."""
+    asked = pairs.join(scored_terms, "query_id")
+    return asked.join(impacts.select("doc_id", "term", "impact"), ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("weight") * F.col("impact")).alias("score"))
+
+
+def _bounded_score(hits: DataFrame, scored_terms: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """Best k texts per query from hits (doc_id, doc_len, term, tf) and weighted query terms (term, query_id, weight, avgdl).
+
+    Not every text that shares a term is scored. Each block of a term's postings has its largest impact. The texts
+    with a term's k largest impacts are scored first; the k-th best of them is the query's threshold. In a block, the
+    terms whose largest parts together stay below it are not followed: only texts with another term are met, and of
+    those the ones that could still reach the threshold are scored in full. The result is exact.
+    """
+    avgdl = scored_terms.select(F.max("avgdl")).first()[0]
+    impacts = cut_lineage(hits.withColumn("avgdl", F.lit(avgdl)).select(
+        "doc_id", "term", _block().alias("block"), _impact(k1, b).alias("impact")).repartition("doc_id"))
+    weights = scored_terms.select("query_id", "term", "weight")
+    followed, least = _followed(impacts, weights, k)
+    met = _met(impacts, followed, least)
+    sums = _full_scores(met, impacts, weights).withColumn("_by", F.round("score", SCORE_DIGITS))
+    # Sums come in any order; ranking on rounded values keeps equal scores equal.
+    return top_k(sums, k, "_by", "doc_id").drop("_by")
+
+
+def _followed(impacts: DataFrame, weights: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The terms to follow, (term, block, query_id, weight), and (query_id, block, least): what their parts must add up to."""
+    by_impact = W.partitionBy("term").orderBy(F.col("impact").desc(), "doc_id")
+    heads = impacts.withColumn("_no", F.row_number().over(by_impact)).filter(F.col("_no") <= k).select("term", "doc_id")
+    first = _full_scores(weights.select("query_id", "term").join(heads, "term").select("query_id", "doc_id").distinct(), impacts, weights)
+    ranked = W.partitionBy("query_id").orderBy(F.col("score").desc())
+    least = first.withColumn("_no", F.row_number().over(ranked)).filter(F.col("_no") == k).select(
+        "query_id", (F.round("score", SCORE_DIGITS) - SLACK).alias("threshold"))
+    bounds = impacts.groupBy("term", "block").agg(F.max("impact").alias("most"))
+    parts = weights.join(bounds, "term").withColumn("bound", F.col("weight") * F.col("most"))
+    upto = W.partitionBy("query_id", "block").orderBy("bound", "term").rowsBetween(W.unboundedPreceding, 0)
+    # A query with fewer than k texts so far has no threshold: all its terms are followed.
+    placed = cut_lineage(parts.withColumn("upto", F.sum("bound").over(upto)).join(least, "query_id", "left")
+                         .withColumn("threshold", F.coalesce("threshold", F.lit(0.0))))
+    below = F.col("upto") < F.col("threshold")
+    rest = placed.groupBy("query_id", "block").agg(
+        (F.first("threshold") - F.coalesce(F.max(F.when(below, F.col("upto"))), F.lit(0.0)) - SLACK).alias("least"))
+    return placed.filter(~below).select("term", "block", "query_id", "weight"), rest
+
+
+def _met(impacts: DataFrame, followed: DataFrame, least: DataFrame) -> DataFrame:
+    """(query_id, doc_id) whose followed terms leave a chance to reach the threshold.
+
+    `impacts` lie by text, so the sums need no shuffle when the followed terms are few enough to be sent to every task.
+    """
+    if followed.count() <= BROADCAST_ROWS:
+        followed, least = F.broadcast(followed), F.broadcast(least)
+    sums = impacts.join(followed, ["term", "block"]).groupBy("query_id", "doc_id", "block").agg(
+        F.sum(F.col("weight") * F.col("impact")).alias("part"))
+    return sums.join(least, ["query_id", "block"]).filter(F.col("part") >= F.col("least")).select("query_id", "doc_id")
+
+
 def _weighted(wanted: DataFrame, stats: DataFrame, k1: float) -> DataFrame:
     """One row per (term, query) with everything that does not depend on the text."""
     return wanted.join(stats, "term").select(
@@ -170,9 +291,12 @@ def bm25_search(
     k1: float = K1,
     b: float = B,
     tokenize: Tokenizer | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """(query_id, doc_id, score, rank): best k texts per query, ties by doc_id.
 
+    `bounded` gives the same rows from fewer scored pairs (see `_bounded_score`) for more jobs and shuffles.
+
     The texts are read and cut once. Words that no query has are counted per text before the shuffle, so only words of
     the queries and one count per text leave the scan. They are written once; corpus size, lengths and document
     frequencies come from that small table. `tokenize` gives the terms of a text in place of Polish words.
@@ -187,6 +311,8 @@ def bm25_search(
         "term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"),
         F.lit((corpus.len or 0) / corpus.n if corpus.n else 1.0).alias("avgdl"))
     scored = _weighted(wanted, stats, k1)
+    if bounded:
+        return _bounded_score(hits, cut_lineage(scored), k, k1, b)
     # Dealt by text once more, so the sums per (query, text), of which there are far more, need no shuffle.
     return _score(hits.repartition("doc_id"), F.broadcast(scored) if small else scored, ["term"], k, k1, b)
 

@@ -94,6 +94,27 @@ def _(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+_BM25_SQL = "SELECT query_id, doc_id, round(raw, 6) AS score, CAST(rn AS INTEGER) AS rank FROM bm25_ranked WHERE rn <= 5"
+
+
+@query("bm25_bounded", _BM25_SQL, BM25_CTES)
+def _(spark, sf_dir):
+    """Score bounds: most texts that share a term with a query are never scored."""
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = lexical.bm25_search(docs, asked, query_id="item_id", bounded=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("append_index", _BM25_SQL, BM25_CTES)
+def _(spark, sf_dir):
+    """Three batches are added one after the other; the search equals that of one index of all texts."""
+    path, docs = fresh_path(spark, "segments"), table(spark, sf_dir, "documents")
+    for batch in range(3):
+        lexical.append_index(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == batch), "doc_id", "text", path, shards=16)
+    found = lexical.search_segments(spark, path, table(spark, sf_dir, "benchmark"), query_id="item_id")
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "index_stats",
     """SELECT (SELECT count(*) FROM d_tok) AS corpus_size, (SELECT count(*) FROM d_idf) AS unique_terms,
