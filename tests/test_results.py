@@ -97,6 +97,8 @@ def test_insert_ignores_known_keys(spark):
     batch = frame(spark, result(2, claim=1), result(3, claim=2, at="2026-01-02"), result(4, claim=2, at="2026-01-01"))
     got = rs.insert_results(target, batch, ["created_at", "id"])
     assert sorted(r.id for r in got.collect()) == [1, 4]
+    assert [r.id for r in rs.new_results(target, batch, ["created_at", "id"]).collect()] == [4]
+    assert rs.new_results(got, batch, ["created_at", "id"]).count() == 0
     assert sorted(r.id for r in rs.insert_results(got, batch, ["created_at", "id"]).collect()) == [1, 4]
 
 

@@ -111,14 +111,22 @@ def pending_claims(
     return wanted.join(done, [*SCOPE, "id"], "left_anti")
 
 
-def insert_results(target: DataFrame, incoming: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    """Append rows whose key is new; of several with one key the first in `order` stays."""
+def new_results(target: DataFrame, incoming: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The rows to append: those whose key the target lacks; of several with one key the first in `order`.
+
+    Only the target's key columns are read.
+    """
     typed = incoming.withColumn("is_correct", F.col("is_correct").cast("boolean").cast("int"))
     for c in ("total_tokens", "prompt_tokens", "completion_tokens"):
         typed = typed.withColumn(c, F.col(c).cast("bigint"))
     typed = typed.withColumn("time_thought", F.col("time_thought").cast("double"))
     fresh = keep_first(align_result_schema(typed), KEY, order)
-    return union_results([target, fresh.join(target.select(*KEY), KEY, "left_anti")])
+    return fresh.join(target.select(*KEY), KEY, "left_anti")
+
+
+def insert_results(target: DataFrame, incoming: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The target with its `new_results` appended."""
+    return union_results([target, new_results(target, incoming, order)])
 
 
 def merge_results(target: DataFrame, sources: Sequence[DataFrame], order: Sequence[Column | str]) -> DataFrame:

@@ -115,6 +115,19 @@ def _(spark, sf_dir):
     return out.select("id", "agent_name", "claim_id", "model_name", "model_label", "is_correct", "total_tokens")
 
 
+@query(
+    "new_results",
+    f"""SELECT id, agent_name, claim_id, model_name, model_label, is_correct, total_tokens FROM (SELECT *, {_FIRST} FROM v_results WHERE event_type <> 'view') b
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.agent_name = b.agent_name AND s.claim_id = b.claim_id AND s.benchmark_name = b.benchmark_name AND s.model_name = b.model_name)""",
+    STORE_CTES,
+)
+def _(spark, sf_dir):
+    """What an insert would append, without the stored rows."""
+    incoming = results(spark, sf_dir).filter("event_type <> 'view'")
+    out = rs.new_results(_stored(spark, sf_dir), incoming, _ORD)
+    return out.select("id", "agent_name", "claim_id", "model_name", "model_label", "is_correct", "total_tokens")
+
+
 _SRC = "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END"
 MERGE_CTES = (
     STORE_CTES
