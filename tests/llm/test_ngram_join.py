@@ -106,3 +106,23 @@ def test_connected(rows):
     edges = rows("a long, b long", *[(i + 1, i) for i in range(40)], (100, 101), (101, 102), (50, 50))
     got = {r["doc"]: r["comp"] for r in connected(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
+
+
+def test_connected_goes_on_from_earlier_classes(rows):
+    rng = random.Random(9)
+    parts = [[(rng.randrange(200), rng.randrange(200)) for _ in range(n)] for n in (60, 40, 1, 80)]
+    parts.insert(2, parts[0][:20])  # edges inside of known classes
+    parts.insert(3, [])
+    classes, seen = None, []
+    for part in parts:
+        classes = connected(rows("a long, b long", *part), classes)
+        seen += [e for e in part if e[0] != e[1]]
+        want = {v: v for e in seen for v in e}
+        while True:
+            step = dict(want)
+            for a, b in seen:
+                step[a] = step[b] = min(step[a], step[b])
+            if step == want:
+                break
+            want = step
+        assert sorted(map(tuple, classes.select("doc", "comp").collect())) == sorted(want.items())

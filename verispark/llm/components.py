@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from verispark.llm.tables import store
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(doc, comp): the smallest node each node of `edges` (a, b) can reach.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so long chains shrink to
-    a logarithm of their length. Labels are written to the shared folder after each round.
+    With `classes`, an earlier result, it is the result for the edges of that call and these together: its classes
+    are single nodes then, so edges inside of them cost no round. Each round takes the smallest label among neighbours and
+    then the label of that label, so long chains shrink to a logarithm of their length. Labels are written to the shared
+    folder after each round.
     """
+    if classes is not None:
+        for side in ("a", "b"):
+            at = classes.select(F.col("doc").alias(side), F.col("comp").alias("_comp"))
+            edges = edges.select("a", "b").join(at, side, "left").withColumn(side, F.coalesce("_comp", side))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = store(both, "edges")
+    if classes is not None and not both.limit(1).count():
+        return classes
     labels = store(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "doc"), "labels")
     while True:
         near = both.join(labels.select(F.col("doc").alias("b"), F.col("comp").alias("_c")), "b").groupBy("a").agg(F.min("_c").alias("_near"))
@@ -25,4 +33,9 @@ def connected(edges: DataFrame) -> DataFrame:
         changed = new.filter("comp <> _old").limit(1).count()
         labels = new.select("doc", "comp")
         if not changed:
-            return labels
+            break
+    if classes is None:
+        return labels
+    moved = classes.join(labels.select(F.col("doc").alias("comp"), F.col("comp").alias("_comp")), "comp", "left")
+    added = labels.join(classes.select("doc"), "doc", "left_anti")
+    return store(moved.select("doc", F.coalesce("_comp", "comp").alias("comp")).unionByName(added), "labels")

@@ -340,17 +340,15 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, max_cost: int
     keys = set_keys(wanted)
     wanted = wanted.select(*keys, "costly")
     sets = store(full_sets(texts, wanted).join(wanted.distinct(), keys), "sets")
-    links = [verified(direct, sets, similarity)]
+    links, classes = [verified(direct, sets, similarity)], None
     costly = sets.filter("costly").drop("costly")
     if costly.limit(1).count():
         posts, cut = _long_prefixes(costly, similarity)
         posts = store(posts, "posts")
-        classes, inner = None, None
         for turn in range(LEADER_ROUNDS):
             more = store(verified(_leader_pairs(_with_classes(posts, classes), turn, similarity), cut, similarity), "links")
-            inner = more if inner is None else inner.unionByName(more)
-            classes = connected(inner)
-        links += [inner, _rest_links(store(_with_classes(posts, classes), "posts"), cut, similarity)]
+            classes = connected(more, classes)
+        links.append(_rest_links(store(_with_classes(posts, classes), "posts"), cut, similarity))
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
@@ -358,7 +356,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, max_cost: int
     same = known.select("doc", "d1", "d2", "n").join(copies.select("d1", "d2", "n", F.col("rep.doc").alias("rep")), ["d1", "d2", "n"])
     twice = same.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z")
     extra = same.join(twice.select("doc"), "doc").select(F.col("doc").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    classes = connected(edges.unionByName(extra))
+    classes = connected(edges.unionByName(extra), classes)
     own = same.groupBy("doc").agg(F.min("rep").alias("rep")).join(classes.withColumnRenamed("doc", "rep"), "rep", "left")
     own = own.select(F.col("doc").alias("_doc"), F.coalesce("comp", "rep").alias("_comp"))
     out = signed.select("doc", "n").join(own, F.col("doc") == F.col("_doc"), "left")
