@@ -282,3 +282,16 @@ def test_an_index_of_segments_equals_one_index(spark, tmp_path):
     assert sorted(map(tuple, lx.search_segments(spark, path, asked).select(*key).collect())) == sorted(map(tuple, one))
     lx.append_index(docs.filter("doc_id = 3"), "doc_id", "text", f"{path}2", shards=4)
     assert lx.search_segments(spark, f"{path}2", asked).count() == 0
+
+
+def test_approximate_search_gives_k_rows_whatever_the_buckets(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(300)]
+    corpus = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame(rows[:40] + [(999, [-90.0] * 8)], "query_id long, embedding array<double>")
+    # So many planes that most buckets hold one row.
+    got = vc.knn_search_lsh(corpus, asked, 5, tables=1, bits=14, probes=0).toPandas()
+    assert (got.groupby("query_id").size() == 5).all() and got.query_id.nunique() == 41
+    assert not got.duplicated(["query_id", "doc_id"]).any()
+    assert vc.knn_search_lsh(corpus.limit(3), asked, 5).count() == 3 * 41
+    assert vc.knn_search_lsh(corpus.limit(0), asked, 5).count() == 0

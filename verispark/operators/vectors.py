@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verispark.operators.lexical import top_k
+from verispark.operators.ordered import join_small
+from verispark.session import cut_lineage
 
 DIST_DIGITS = 6
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -101,11 +103,13 @@ def _cells_of(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
     return corpus.mapInPandas(assign, schema)
 
 
-def _block_join(corpus: DataFrame, queries: DataFrame, sizes: dict[int, int], n_queries: int, k: int) -> DataFrame:
+def _block_join(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int) -> DataFrame:
     """Top k per query and block. Rows carry `cell`; big cells and many queries are split evenly."""
-    splits = {c: max(1, -(-n // BLOCK_ROWS)) for c, n in sizes.items()}
+    big = corpus.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_n")).filter("_n > 1")
     groups = max(1, -(-n_queries // BLOCK_ROWS))
-    n_split = F.try_element_at(F.create_map(*[F.lit(x) for kv in splits.items() for x in kv]), "cell")
+    big = cut_lineage(big)
+    corpus, queries = join_small(corpus, big, ["cell"], "left"), join_small(queries, big, ["cell"], "left")
+    n_split = F.col("_n")
 
     def part(col: str, n: Column) -> Column:
         return F.pmod(F.xxhash64(col), n).cast("int")
@@ -155,7 +159,7 @@ def _pivot_join(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int) -
             rows, cols = np.nonzero(near <= bound[:, None] + 2e-6)
             yield b.iloc[rows].assign(cell=cells[cols].astype("int32"))
 
-    return _block_join(placed, queries.mapInPandas(candidates, schema), dict(zip(cells.tolist(), n.tolist())), n_queries, k)
+    return _block_join(placed, queries.mapInPandas(candidates, schema), n_queries, k)
 
 
 def _named(df: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
@@ -199,38 +203,47 @@ def knn_search_lsh(
     bits: int | None = None,
     seed: int = 7,
     bucket_rows: int = 128,
+    probes: int = 2,
 ) -> DataFrame:
-    """Approximate neighbours: only rows that share a random-projection bucket in some table meet.
+    """Approximate neighbours: a query meets the rows of its random-projection bucket in each table and of `probes` buckets
+    beside it, those behind the planes nearest to the query.
 
     Without `bits` there are enough of them for about `bucket_rows` rows in a bucket, whatever the corpus' size.
-    A query may get fewer than k rows; `recall` measures what is found.
+    Queries that meet fewer than k rows that way are searched exactly, so each gets k rows (all, if the corpus has
+    fewer); `recall` measures what is found.
     """
     c, q = _named(corpus, corpus_id, vec, "doc_id"), _named(queries, query_id, vec, "query_id")
     head = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     if head.n == 0:
         return top_k(c.sparkSession.createDataFrame([], _out_schema(q, c)), k, "distance", "doc_id", ascending=True)
+    n_corpus = c.count()
     if bits is None:
-        bits = max(1, min(20, (max(1, c.count()) // bucket_rows).bit_length()))
+        bits = max(1, min(20, (max(1, n_corpus) // bucket_rows).bit_length()))
     planes = np.random.default_rng(seed).standard_normal((tables * bits, head.d))
 
-    def buckets(df: DataFrame) -> DataFrame:
+    def buckets(df: DataFrame, more: int) -> DataFrame:
         schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
 
         def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b) == 0:
                     continue
-                side = (_matrix(b["vec"]) @ planes.T > 0).reshape(len(b), tables, bits)
-                code = (side * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
-                yield b.loc[b.index.repeat(tables)].assign(cell=code.reshape(-1).astype("int32"))
+                gaps = (_matrix(b["vec"]) @ planes.T).reshape(len(b), tables, bits)
+                code = ((gaps > 0) * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
+                near = np.argsort(np.abs(gaps), axis=2, kind="stable")[:, :, :more]
+                codes = np.concatenate([code[:, :, None], code[:, :, None] ^ (1 << near)], axis=2).reshape(len(b), -1)
+                yield b.loc[b.index.repeat(codes.shape[1])].assign(cell=codes.reshape(-1).astype("int32"))
 
         return df.mapInPandas(hashed, schema)
 
-    placed = buckets(c)
-    # At most tables * 2^bits rows.
-    sizes = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}
-    met = _block_join(placed, buckets(q), sizes, head.n, k)
-    return top_k(met.distinct(), k, "distance", "doc_id", ascending=True)
+    met = _block_join(buckets(c, 0), buckets(q, probes), head.n, k)
+    found = cut_lineage(top_k(met.distinct(), k, "distance", "doc_id", ascending=True))
+    full = found.groupBy("query_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min(k, n_corpus)).select("query_id")
+    rest = cut_lineage(q.join(full, "query_id", "left_anti"))
+    if not rest.limit(1).count():
+        return found
+    exact = knn_search(c, rest, k, corpus_id="doc_id", query_id="query_id", vec="vec")
+    return found.join(full, "query_id", "left_semi").unionByName(exact.select(*found.columns))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
