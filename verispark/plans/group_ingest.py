@@ -322,8 +322,14 @@ def _(spark, sf_dir):
     return _listing(spark, sf_dir).select("page_id", "pos", "url", "title")
 
 
-# Entities of the pages back to their signs, `&` last.
-_UNESCAPED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+# Character references of the pages back to their signs, `&` last. HTML reads these without the semicolon too, as in a title that
+# was cut inside one; a number cut to a control sign stands for nothing.
+_NUMBER_END = "(?:;|([^0-9A-Fa-f;])|$)"
+_REFERENCES = (("&lt;?", "'<'"), ("&gt;?", "'>'"), ("&quot;?", "chr(34)"), (f"&#x27{_NUMBER_END}", r"chr(39) || '\1'"),
+               (f"&#x2{_NUMBER_END}", r"'\1'"), ("&amp;?", "'&'"))
+_UNESCAPED = "{}"
+for _reference, _sign in _REFERENCES:
+    _UNESCAPED = f"regexp_replace({_UNESCAPED}, '{_reference}', {_sign}, 'g')"
 _TITLE = "trim(" + _UNESCAPED.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + ")"
 _MENU = _UNESCAPED.format("array_to_string(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>', 0), '<a href=\"[^\"]*\">([^<]*)</a>', 1), ', ')")
 
