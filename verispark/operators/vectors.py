@@ -24,6 +24,8 @@ DIST_DIGITS = 6
 BROADCAST_BYTES = 64 * 1024 * 1024
 PIVOTS = 64
 BLOCK_ROWS = 8192
+FIT_QUERIES = 256  # whose exact neighbours fit the approximate search
+PROBE_COST = 500  # moving a query to one more bucket, in comparisons of vectors
 _QUERY_SLICE = 256
 
 
@@ -31,6 +33,13 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of bounded size, so that what a piece becomes stays small whatever Arrow's batches are."""
+    for b in batches:
+        for s in range(0, len(b), max(1, rows)):
+            yield b.iloc[s : s + max(1, rows)]
+
+
 def _best_of(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows.sort_values(["query_id", "distance", "doc_id"], kind="stable").groupby("query_id", sort=False).head(k)
 
@@ -191,6 +200,69 @@ def knn_search(
     return top_k(found, k, "distance", "doc_id", ascending=True)
 
 
+def _flips(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every way to change one or two of `bits` signs: as rows of 0 and 1, and as numbers."""
+    masks = np.array([[int(j in (a, b)) for j in range(bits)] for a in range(bits) for b in range(a, bits)], np.float64)
+    return masks, (masks @ (1 << np.arange(bits))).astype(np.int64)
+
+
+def _codes(vectors: np.ndarray, planes: np.ndarray, tables: int, bits: int, probes: int) -> np.ndarray:
+    """(row, table, 1 + probes) bucket numbers: the row's own bucket, then those behind the planes nearest to it."""
+    gaps = (vectors @ planes.T).reshape(len(vectors), tables, bits)
+    own = ((gaps > 0) * (1 << np.arange(bits))).sum(axis=2)[:, :, None]
+    if not probes:
+        return own
+    masks, numbers = _flips(bits)
+    nearest = np.argsort(gaps**2 @ masks.T, axis=2, kind="stable")[:, :, :probes]
+    return np.concatenate([own, own ^ numbers[nearest]], axis=2)
+
+
+def _planes(seed: int, tables: int, bits: int, dim: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((tables * bits, dim))
+
+
+def _probes_needed(asked: np.ndarray, near: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """Per pair of a query and its neighbour: the probes a table at least needs until one meets the neighbour (inf: never)."""
+    out = []
+    for s in range(0, len(asked), _QUERY_SLICE):
+        met = _codes(asked[s : s + _QUERY_SLICE], planes, tables, bits, len(_flips(bits)[1])) == _codes(near[s : s + _QUERY_SLICE], planes, tables, bits, 0)
+        out.append(np.where(met.any(axis=2), met.argmax(axis=2), np.inf).min(axis=1))
+    return np.concatenate(out)
+
+
+def _fitted(
+    corpus: DataFrame, queries: DataFrame, n_corpus: int, k: int, dim: int, tables: int, bits: int | None, probes: int | None,
+    seed: int, bucket_rows: int, least_recall: float,
+) -> tuple[int, int] | None:
+    """The cheapest bits and probes that find enough neighbours of FIT_QUERIES queries, chosen by a hash of the id; None where
+    the exact search costs no more.
+
+    The neighbours of these queries are found exactly, over the whole corpus. They must be met to the middle between
+    `least_recall` and 1, so that all queries together stay above it.
+    """
+    chosen = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(FIT_QUERIES).toPandas()
+    few = corpus.sparkSession.createDataFrame(chosen, queries.schema)
+    pairs = cut_lineage(top_k(_scan_join(corpus, few, k), k, "distance", "doc_id", ascending=True))
+    met = corpus.join(F.broadcast(pairs.select("query_id", "doc_id")), "doc_id").select("query_id", "vec").toPandas()  # FIT_QUERIES * k rows
+    if not len(met):
+        return None
+    of = dict(zip(chosen["query_id"], chosen["vec"]))
+    asked, near = _matrix(met["query_id"].map(of)), _matrix(met["vec"])
+    share = (1 + least_recall) / 2
+    most = max(1, min(20, (max(1, n_corpus) // bucket_rows).bit_length()))
+    best, least = None, float(n_corpus + PIVOTS * PROBE_COST)
+    for b in [bits] if bits is not None else range(most, 0, -1):
+        needed = np.sort(_probes_needed(asked, near, _planes(seed, tables, b, dim), tables, b))
+        p = needed[max(0, int(np.ceil(share * len(needed))) - 1)]
+        if np.isinf(p) or (probes is not None and p > probes):
+            continue
+        p = int(p) if probes is None else probes
+        cost = tables * (1 + p) * (n_corpus / 2**b + PROBE_COST)
+        if cost < least:
+            best, least = (b, p), cost
+    return best
+
+
 def knn_search_lsh(
     corpus: DataFrame,
     queries: DataFrame,
@@ -203,36 +275,37 @@ def knn_search_lsh(
     bits: int | None = None,
     seed: int = 7,
     bucket_rows: int = 128,
-    probes: int = 2,
+    probes: int | None = None,
+    least_recall: float = 0.9,
 ) -> DataFrame:
     """Approximate neighbours: a query meets the rows of its random-projection bucket in each table and of `probes` buckets
     beside it, those behind the planes nearest to the query.
 
-    Without `bits` there are enough of them for about `bucket_rows` rows in a bucket, whatever the corpus' size.
-    Queries that meet fewer than k rows that way are searched exactly, so each gets k rows (all, if the corpus has
-    fewer); `recall` measures what is found.
+    Bits and probes that are not given are fitted: the neighbours of a bounded set of queries are found exactly, and the
+    cheapest numbers that meet enough of them are taken (`_fitted`), at most as many bits as leave about `bucket_rows` rows
+    in a bucket. Every row is in the tables. Where vectors are so alike or so scattered that this costs as much as
+    the exact search, the exact search is made. Queries that meet fewer than k rows are searched exactly, so each gets k rows
+    (all, if the corpus has fewer); `recall` measures what is found.
     """
     c, q = _named(corpus, corpus_id, vec, "doc_id"), _named(queries, query_id, vec, "query_id")
     head = q.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     if head.n == 0:
         return top_k(c.sparkSession.createDataFrame([], _out_schema(q, c)), k, "distance", "doc_id", ascending=True)
     n_corpus = c.count()
-    if bits is None:
-        bits = max(1, min(20, (max(1, n_corpus) // bucket_rows).bit_length()))
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, head.d))
+    if bits is None or probes is None:
+        fitted = _fitted(c, q, n_corpus, k, head.d, tables, bits, probes, seed, bucket_rows, least_recall)
+        if fitted is None:
+            return knn_search(c, q, k, corpus_id="doc_id", query_id="query_id", vec="vec")
+        bits, probes = fitted
+    planes = _planes(seed, tables, bits, head.d)
 
     def buckets(df: DataFrame, more: int) -> DataFrame:
         schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
 
         def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b) == 0:
-                    continue
-                gaps = (_matrix(b["vec"]) @ planes.T).reshape(len(b), tables, bits)
-                code = ((gaps > 0) * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
-                near = np.argsort(np.abs(gaps), axis=2, kind="stable")[:, :, :more]
-                codes = np.concatenate([code[:, :, None], code[:, :, None] ^ (1 << near)], axis=2).reshape(len(b), -1)
-                yield b.loc[b.index.repeat(codes.shape[1])].assign(cell=codes.reshape(-1).astype("int32"))
+            for part in _slices(batches, BLOCK_ROWS // (tables * (1 + more))):
+                codes = (_codes(_matrix(part["vec"]), planes, tables, bits, more) + (np.arange(tables) << bits)[:, None]).reshape(len(part), -1)
+                yield part.loc[part.index.repeat(codes.shape[1])].assign(cell=codes.reshape(-1).astype("int32"))
 
         return df.mapInPandas(hashed, schema)
 
