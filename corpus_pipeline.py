@@ -28,7 +28,7 @@ def _filtered(docs: DataFrame, judged: Column, condition: Callable[[Column], Col
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no text or no letter in it, or a score below that of all held-out texts.
 
-    The model learns from rows with crc32(doc_id) mod 3 <> 1, the bound comes from the others (`langid.least_score`).
+    The model learns from rows with crc32(doc_id) mod 3 <> 1, the bound comes from all others (`langid.least_score`).
     Where no row has a language, all documents with a letter stay. Repeated rows and null ids are judged each for
     itself; an empty table gives none; all columns stay, whatever their names.
     """

@@ -22,7 +22,6 @@ from verispark.llm.textbytes import Texts, lower_ascii, slices
 
 BINS = 4096
 TRAIN_ROWS = 2400  # all languages together, where there are few of them
-BOUND_ROWS = 600  # held-out rows, all languages together, for the score's bound
 LEAST_ROWS = 20  # of each language, however many there are
 OWN_FAMILIES = 8  # languages outside the table that may be a family each; more of them are grouped by likeness
 UNKNOWN = "und"
@@ -173,17 +172,16 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Hierarchy | None:
     return Hierarchy(x, langs) if len(langs) else None
 
 
-def least_score(model: Hierarchy, held_out: DataFrame, rows: int = BOUND_ROWS) -> float:
+def least_score(model: Hierarchy, held_out: DataFrame) -> float:
     """The score under which a text is of none of the languages: half the smallest one of rightly predicted held-out rows.
 
-    Taken on a bounded sample of (doc_id, text, lang) that the model has not seen; 0 where there is none.
+    Taken over all rows of (doc_id, text, lang), which the model has not seen; 0 where no row counts.
     """
-    x, langs = _sampled(held_out, rows)
-    if len(langs) == 0:
-        return 0.0
-    names, score = model.predict(x)
-    right = score[names == langs]
-    return float(right.min() / 2) if len(right) else 0.0
+    text_batches(held_out.sparkSession)
+    known = held_out.filter(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    scored = known.select("lang", judged(F.col("text"), model).alias("judged"))
+    least = scored.filter(F.col("judged.lang_pred") == F.col("lang")).agg(F.min("judged.score")).first()[0]
+    return 0.0 if least is None else least / 2
 
 
 def judged(text: Column, model: Hierarchy | None) -> Column:
