@@ -21,12 +21,14 @@ from verispark.operators.ordered import join_small
 from verispark.session import cut_lineage
 
 DIST_DIGITS = 6
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 8 * 1024 * 1024  # each Python worker holds the queries and several tables of this size
 PIVOTS = 64
 BLOCK_ROWS = 8192
 FIT_QUERIES = 256  # whose exact neighbours fit the approximate search
 PROBE_COST = 500  # moving a query to one more bucket, in comparisons of vectors
 _QUERY_SLICE = 256
+_SLICE_ROWS = 4096  # handed back by a Python worker at once
+_STEP_CELLS = 1 << 19  # numbers in one table of an inner step
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -53,17 +55,22 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     parts = []
     c_sq = np.einsum("ij,ij->i", c, c)
     kk = min(k, len(c_ids))
-    for s in range(0, len(q_ids), _QUERY_SLICE):
-        qs = q[s : s + _QUERY_SLICE]
+    step = max(1, min(_QUERY_SLICE, _STEP_CELLS // len(c_ids)))
+    pairs = max(1, _STEP_CELLS // c.shape[1])
+    for s in range(0, len(q_ids), step):
+        qs = q[s : s + step]
         q_sq = np.einsum("ij,ij->i", qs, qs)
         near = np.sqrt(np.maximum(q_sq[:, None] + c_sq[None, :] - 2.0 * qs @ c.T, 0.0))
         slack = 2e-6 + 2.0 * np.sqrt(1e-14 * (q_sq.max() + c_sq.max()))
         limit = np.partition(near, kk - 1, axis=1)[:, kk - 1] + slack
         at_q, at_c = np.nonzero(near <= limit[:, None])
-        gap = qs[at_q] - c[at_c]
-        dist = np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), DIST_DIGITS)
-        parts.append(pd.DataFrame({"query_id": q_ids[s : s + _QUERY_SLICE][at_q], "doc_id": c_ids[at_c], "distance": dist}))
-    return _best_of(pd.concat(parts, ignore_index=True), k)
+        dist = np.empty(len(at_q))
+        # Copies of a row are all within the limit, so there may be far more pairs than k a query.
+        for p in range(0, len(at_q), pairs):
+            gap = qs[at_q[p : p + pairs]] - c[at_c[p : p + pairs]]
+            dist[p : p + pairs] = np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), DIST_DIGITS)
+        parts.append(_best_of(pd.DataFrame({"query_id": q_ids[s : s + step][at_q], "doc_id": c_ids[at_c], "distance": dist}), k))
+    return pd.concat(parts, ignore_index=True)
 
 
 def _out_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
@@ -81,9 +88,7 @@ def _scan_join(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = shared.value
         best = None
-        for b in batches:
-            if len(b) == 0:
-                continue
+        for b in _slices(batches, BLOCK_ROWS):
             got = _nearest(q_ids, q, b["doc_id"].to_numpy(), _matrix(b["vec"]), k)
             best = got if best is None else _best_of(pd.concat([best, got], ignore_index=True), k)
         if best is not None:
@@ -95,8 +100,9 @@ def _scan_join(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def _pivot_gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances to the pivots; row by row the same whatever the batch, as cells depend on them."""
     out = np.empty((len(vectors), len(pivots)))
-    for s in range(0, len(vectors), 256):
-        out[s : s + 256] = np.sqrt(((vectors[s : s + 256, None, :] - pivots[None]) ** 2).sum(axis=2))
+    step = max(1, _STEP_CELLS // pivots.size)
+    for s in range(0, len(vectors), step):
+        out[s : s + step] = np.sqrt(((vectors[s : s + step, None, :] - pivots[None]) ** 2).sum(axis=2))
     return out
 
 
@@ -104,10 +110,10 @@ def _cells_of(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
     schema = T.StructType([*corpus.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            gaps = _pivot_gaps(_matrix(b["vec"]), pivots) if len(b) else np.empty((0, len(pivots)))
-            cell = gaps.argmin(axis=1) if len(b) else np.empty(0, dtype=int)
-            yield b.assign(cell=cell.astype("int32"), gap=gaps[np.arange(len(b)), cell] if len(b) else [])
+        for b in _slices(batches, _SLICE_ROWS):
+            gaps = _pivot_gaps(_matrix(b["vec"]), pivots)
+            cell = gaps.argmin(axis=1)
+            yield b.assign(cell=cell.astype("int32"), gap=gaps[np.arange(len(b)), cell])
 
     return corpus.mapInPandas(assign, schema)
 
@@ -153,9 +159,8 @@ def _pivot_join(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int) -
     schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b) == 0:
-                continue
+        # A query may visit all cells, and each visit carries its vector.
+        for b in _slices(batches, _SLICE_ROWS // len(cells)):
             gaps = _pivot_gaps(_matrix(b["vec"]), pivots)[:, cells]
             far = gaps + hi[None, :]
             order = far.argsort(axis=1, kind="stable")
@@ -303,7 +308,7 @@ def knn_search_lsh(
         schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
 
         def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in _slices(batches, BLOCK_ROWS // (tables * (1 + more))):
+            for part in _slices(batches, _SLICE_ROWS // (tables * (1 + more))):
                 codes = (_codes(_matrix(part["vec"]), planes, tables, bits, more) + (np.arange(tables) << bits)[:, None]).reshape(len(part), -1)
                 yield part.loc[part.index.repeat(codes.shape[1])].assign(cell=codes.reshape(-1).astype("int32"))
 
