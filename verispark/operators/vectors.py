@@ -21,7 +21,7 @@ from verispark.operators.ordered import join_small
 from verispark.session import cut_lineage
 
 DIST_DIGITS = 6
-BROADCAST_BYTES = 8 * 1024 * 1024  # each Python worker holds the queries and several tables of this size
+BROADCAST_BYTES = 32 * 1024 * 1024  # each Python worker holds the queries and a few tables of this size
 PIVOTS = 64
 BLOCK_ROWS = 8192
 FIT_QUERIES = 256  # whose exact neighbours fit the approximate search
