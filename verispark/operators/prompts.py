@@ -5,6 +5,7 @@ Sub-claims, reasoners and debate turns of a claim are few; each result is one te
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -71,26 +72,41 @@ def fill(template: str, **parts: Column) -> Column:
     return F.concat(*pieces)
 
 
-def build_evidence_prompt(subclaims: DataFrame, questions: DataFrame, variant: str = "reasoner") -> DataFrame:
-    """(claim_id, prompt) from (claim_id, pos, sub_claim, context) and (claim_id, question)."""
-    if variant not in TEMPLATES:
-        raise ValueError(f"unknown variant {variant!r}; known: {sorted(TEMPLATES)}")
-    t = TEMPLATES[variant]
-    sub, ctx = F.col("sub_claim"), F.coalesce("context", F.lit(""))
-    head = fill(t.heading, i=F.col("pos") + 1, s=sub)
-    filled = F.concat(head, fill(t.context, c=ctx))
-    bare = F.lit(None).cast("string") if t.without is None else F.concat(head, F.lit(t.without))
-    block = F.when(ctx != "", filled).otherwise(bare)
-    packed = F.array_sort(F.collect_list(F.struct("pos", block.alias("block"), sub.alias("sub"))))
-    rows = subclaims.groupBy("claim_id").agg(packed.alias("parts")).join(questions, "claim_id")
-    blocks = F.array_join(F.array_compact(F.transform("parts", lambda p: p["block"])), t.glue)
+def _prompt(t: Template) -> Column:
+    """The prompt of a row with `question` and the ordered `parts` (pos, sub, ctx) of a claim."""
+
+    def block(p: Column) -> Column:
+        head = fill(t.heading, i=p["pos"] + 1, s=p["sub"])
+        bare = F.lit(None).cast("string") if t.without is None else F.concat(head, F.lit(t.without))
+        return F.when(p["ctx"] != "", F.concat(head, fill(t.context, c=p["ctx"]))).otherwise(bare)
+
+    blocks = F.array_join(F.array_compact(F.transform("parts", block)), t.glue)
     if t.without is None:
         blocks = F.when(blocks == "", F.lit(NO_EVIDENCE)).otherwise(blocks)
     quoted = F.transform("parts", lambda p: F.to_json(F.struct(p["sub"].alias("v"))))
     # JSON list with a blank after each comma.
     listed = F.concat(F.lit("["), F.array_join(F.transform(
         quoted, lambda j: F.substring(j, F.lit(6), F.length(j) - 6)), ", "), F.lit("]"))
-    return rows.select("claim_id", fill(t.body, q=F.col("question"), b=blocks, l=listed).alias("prompt"))
+    return fill(t.body, q=F.col("question"), b=blocks, l=listed)
+
+
+def build_evidence_prompts(subclaims: DataFrame, questions: DataFrame, variants: Sequence[str] = tuple(TEMPLATES)) -> DataFrame:
+    """(variant, claim_id, prompt) from (claim_id, pos, sub_claim, context) and (claim_id, question).
+
+    A claim's parts are brought together once for all variants.
+    """
+    for v in variants:
+        if v not in TEMPLATES:
+            raise ValueError(f"unknown variant {v!r}; known: {sorted(TEMPLATES)}")
+    part = F.struct("pos", F.col("sub_claim").alias("sub"), F.coalesce("context", F.lit("")).alias("ctx"))
+    rows = subclaims.groupBy("claim_id").agg(F.array_sort(F.collect_list(part)).alias("parts")).join(questions, "claim_id")
+    made = F.array(*[F.struct(F.lit(v).alias("variant"), _prompt(TEMPLATES[v]).alias("prompt")) for v in variants])
+    return rows.select("claim_id", F.explode(made).alias("made")).select("made.variant", "claim_id", "made.prompt")
+
+
+def build_evidence_prompt(subclaims: DataFrame, questions: DataFrame, variant: str = "reasoner") -> DataFrame:
+    """(claim_id, prompt) of one variant."""
+    return build_evidence_prompts(subclaims, questions, [variant]).drop("variant")
 
 
 def consolidator_prompt(votes: DataFrame, questions: DataFrame) -> DataFrame:

@@ -281,14 +281,7 @@ def _sql_prompt(variant: str) -> str:
 
 @query("build_evidence_prompt", " UNION ALL ".join(_sql_prompt(v) for v in pr.TEMPLATES), f"subs AS ({_SUBS}),")
 def _(spark, sf_dir):
-    subs, questions = _subs(spark, sf_dir), _questions(spark, sf_dir)
-    parts = [
-        pr.build_evidence_prompt(subs, questions, v).select(F.lit(v).alias("variant"), "claim_id", "prompt") for v in pr.TEMPLATES
-    ]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    return total
+    return pr.build_evidence_prompts(_subs(spark, sf_dir), _questions(spark, sf_dir))
 
 
 @query(
