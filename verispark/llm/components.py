@@ -20,8 +20,9 @@ def connected(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
         for side in ("a", "b"):
             at = classes.select(F.col("doc").alias(side), F.col("comp").alias("_comp"))
             edges = edges.select("a", "b").join(at, side, "left").withColumn(side, F.coalesce("_comp", side))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = store(both, "edges")
+    # Turned round row by row: a union with itself would put the edges' plan twice into one query.
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = store(edges.select(ways).select("e.a", "e.b").filter("a <> b").distinct(), "edges")
     if classes is not None and not both.limit(1).count():
         return classes
     labels = store(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "doc"), "labels")

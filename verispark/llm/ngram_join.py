@@ -288,12 +288,13 @@ def _rest_links(posts: DataFrame, sets: DataFrame, similarity: int, block: int =
     # A partner of a set with c repeated shingles has at most c * (100 + s) / s - n shingles, and no fewer than the least of its cluster.
     least = docs.groupBy("cluster").agg(F.min("n").alias("least_n"))
     room = F.col("c") * (100 + similarity) >= (F.col("n") + F.greatest(F.col("least_n"), F.ceil(F.col("n") * similarity / 100))) * similarity
-    asking = docs.filter("outside = 1").join(least, "cluster").filter(room).drop("least_n")
+    # Written, as each side below reads it again: the driver keeps the whole plan of a query, with one more copy for each use.
+    asking = store(docs.filter("outside = 1").join(least, "cluster").filter(room).drop("least_n"), "asking")
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("cluster", "size").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
 
-    ask_blocks, have_blocks = blocks(asking, "a_blocks"), blocks(docs, "b_blocks")
+    ask_blocks, have_blocks = store(blocks(asking, "a_blocks"), "blocks"), store(blocks(docs, "b_blocks"), "blocks")
     near = F.explode(F.sequence(F.col("size") - 3, F.col("size") + 3))
     a = asking.join(ask_blocks, ["cluster", "size"]).select("cluster", F.col("size").alias("a_size"), F.pmod(F.xxhash64("doc"), "a_blocks").cast("int").alias("a_no"), near.alias("b_size"), "doc", "n", "comp")
     a = a.join(have_blocks.withColumnRenamed("size", "b_size"), ["cluster", "b_size"]).withColumn("b_no", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
@@ -356,7 +357,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, max_cost: int
     same = known.select("doc", "d1", "d2", "n").join(copies.select("d1", "d2", "n", F.col("rep.doc").alias("rep")), ["d1", "d2", "n"])
     twice = same.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z")
     extra = same.join(twice.select("doc"), "doc").select(F.col("doc").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    classes = connected(edges.unionByName(extra), classes)
+    classes = connected(store(edges, "links").unionByName(extra), classes)
     own = same.groupBy("doc").agg(F.min("rep").alias("rep")).join(classes.withColumnRenamed("doc", "rep"), "rep", "left")
     own = own.select(F.col("doc").alias("_doc"), F.coalesce("comp", "rep").alias("_comp"))
     out = signed.select("doc", "n").join(own, F.col("doc") == F.col("_doc"), "left")
