@@ -132,7 +132,10 @@ def build_chunks(
     window that only repeats the end of the one before it. `splitter` cuts a paragraph into sentences
     (an array), `counter` counts a sentence's tokens, for limits of another model.
     """
-    paras = split_paragraphs(articles)
+    # One id part per section: a title goes to Python there, and no chunk has to wait for it.
+    sections = parse_sections(articles).withColumn("slug", section_slug(F.col("section_title")))
+    paras = sections.select("page_id", "title", "section_index", "section_title", "slug",
+                            F.posexplode(paragraphs_of(F.col("body"))).alias("paragraph_index", "paragraph"))
     cut = compute_once(paras, "sentences", splitter(F.col("paragraph"))).drop("paragraph")
     sized = compute_once(cut, "counts", F.transform("sentences", lambda s: counter(s).cast("int")))
     sized = compute_once(sized, "sizes", window_sizes(F.col("counts"), max_sent, max_tokens))
@@ -154,12 +157,8 @@ def build_chunks(
         )
 
     # The text is put together before the rows are split, so no row carries the whole paragraph.
-    rows = (
-        compute_once(started, "wins", F.transform("starts", window))
-        .select("page_id", "title", "section_index", "section_title", "paragraph_index",
-                F.posexplode("wins").alias("chunk_index", "w"))
-        .withColumn("slug", section_slug(F.col("section_title")))
-    )
+    rows = compute_once(started, "wins", F.transform("starts", window)).select(
+        "page_id", "title", "section_index", "section_title", "slug", "paragraph_index", F.posexplode("wins").alias("chunk_index", "w"))
     return rows.select(
         F.concat_ws("_", F.col("page_id").cast("string"), "slug", F.col("paragraph_index").cast("string"),
                     F.col("chunk_index").cast("string")).alias("chunk_id"),
