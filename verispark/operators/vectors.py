@@ -1,14 +1,16 @@
 """Nearest-neighbour search for a table of query vectors.
 
 Few queries (their size is checked): they go to every task, the corpus is read once and not
-shuffled, and each task hands on k rows per query. Many queries: corpus and queries meet in
-blocks of bounded size, found by the distance to a set of pivots; cells that the triangle
-inequality rules out are never visited, so the result stays exact.
+shuffled, and each task hands on k rows per query. Many queries: corpus and queries are written
+once in blocks of bounded size, by the distance to a set of pivots, and blocks meet where they lie;
+cells that the triangle inequality rules out are never visited, so the result stays exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,13 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verispark.operators.lexical import top_k
-from verispark.operators.ordered import join_small
 from verispark.session import cut_lineage
 
 DIST_DIGITS = 6
 BROADCAST_BYTES = 32 * 1024 * 1024  # each Python worker holds the queries and a few tables of this size
 PIVOTS = 64
 BLOCK_ROWS = 8192
+PART_ROWS = 1 << 16  # vectors of a partition that a task holds while the blocks of another pass
 FIT_QUERIES = 256  # whose exact neighbours fit the approximate search
 PROBE_COST = 500  # moving a query to one more bucket, in comparisons of vectors
 _QUERY_SLICE = 256
@@ -46,31 +48,66 @@ def _best_of(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows.sort_values(["query_id", "distance", "doc_id"], kind="stable").groupby("query_id", sort=False).head(k)
 
 
-def _nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    """k nearest rows of a block per query, ties by id.
+def _nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, worst: np.ndarray | None = None) -> pd.DataFrame:
+    """k nearest rows of a block per query, ties by id; only those not farther than `worst`, where it is given and finite.
 
     The matrix product finds candidates with a margin for its rounding; their distances are then
     computed from the differences.
     """
     parts = []
     c_sq = np.einsum("ij,ij->i", c, c)
+    turned = -2.0 * c.T
     kk = min(k, len(c_ids))
     step = max(1, min(_QUERY_SLICE, _STEP_CELLS // len(c_ids)))
     pairs = max(1, _STEP_CELLS // c.shape[1])
     for s in range(0, len(q_ids), step):
         qs = q[s : s + step]
         q_sq = np.einsum("ij,ij->i", qs, qs)
-        near = np.sqrt(np.maximum(q_sq[:, None] + c_sq[None, :] - 2.0 * qs @ c.T, 0.0))
+        near = qs @ turned  # squared distance, less q_sq
+        near += c_sq
+        limit = np.full(len(qs), np.inf) if worst is None else worst[s : s + step].copy()
+        fresh = np.isinf(limit)
+        if fresh.any():
+            kth = np.partition(near[fresh], kk - 1, axis=1)[:, kk - 1]
+            limit[fresh] = np.sqrt(np.maximum(kth + q_sq[fresh], 0.0))
         slack = 2e-6 + 2.0 * np.sqrt(1e-14 * (q_sq.max() + c_sq.max()))
-        limit = np.partition(near, kk - 1, axis=1)[:, kk - 1] + slack
-        at_q, at_c = np.nonzero(near <= limit[:, None])
+        at_q, at_c = np.divmod(np.flatnonzero(near <= ((limit + slack) ** 2 - q_sq)[:, None]), len(c_ids))  # nonzero takes ten times as long
         dist = np.empty(len(at_q))
         # Copies of a row are all within the limit, so there may be far more pairs than k a query.
         for p in range(0, len(at_q), pairs):
             gap = qs[at_q[p : p + pairs]] - c[at_c[p : p + pairs]]
             dist[p : p + pairs] = np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), DIST_DIGITS)
-        parts.append(_best_of(pd.DataFrame({"query_id": q_ids[s : s + step][at_q], "doc_id": c_ids[at_c], "distance": dist}), k))
-    return pd.concat(parts, ignore_index=True)
+        got = pd.DataFrame({"query_id": q_ids[s : s + step][at_q], "doc_id": c_ids[at_c], "distance": dist})
+        parts.append(_best_of(got, k) if len(got) > 2 * k * len(qs) else got)
+    return _best_of(pd.concat(parts, ignore_index=True), k)
+
+
+class _Running:
+    """The k nearest rows of some queries among the blocks met so far; queries are named by their place."""
+
+    def __init__(self, q: np.ndarray, k: int) -> None:
+        self.q, self.k = q, k
+        self.worst = np.full(len(q), np.inf)  # of k rows that are known
+        self.rows: pd.DataFrame | None = None
+        self.more: list[pd.DataFrame] = []
+
+    def meet(self, c_ids: np.ndarray, c: np.ndarray, asking: np.ndarray) -> None:
+        self.more.append(_nearest(asking, self.q[asking], c_ids, c, self.k, self.worst[asking]))
+        if sum(map(len, self.more)) > self.k * len(self.q) // 4:
+            self._settle()
+
+    def _settle(self) -> None:
+        parts = [x for x in [self.rows, *self.more] if x is not None and len(x)]
+        if parts:
+            self.rows, self.more = _best_of(pd.concat(parts, ignore_index=True), self.k), []
+            place = self.rows["query_id"].to_numpy()
+            last = np.flatnonzero(np.diff(place, append=-1))
+            full = last[np.diff(last, prepend=-1) == self.k]
+            self.worst[place[full]] = self.rows["distance"].to_numpy()[full]
+
+    def best(self, q_ids: np.ndarray) -> pd.DataFrame | None:
+        self._settle()
+        return None if self.rows is None else self.rows.assign(query_id=q_ids[self.rows["query_id"].to_numpy()])
 
 
 def _out_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
@@ -87,10 +124,10 @@ def _scan_join(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = shared.value
-        best = None
+        running = _Running(q, k)
         for b in _slices(batches, BLOCK_ROWS):
-            got = _nearest(q_ids, q, b["doc_id"].to_numpy(), _matrix(b["vec"]), k)
-            best = got if best is None else _best_of(pd.concat([best, got], ignore_index=True), k)
+            running.meet(b["doc_id"].to_numpy(), _matrix(b["vec"]), np.arange(len(q)))
+        best = running.best(q_ids)
         if best is not None:
             yield best
 
@@ -118,35 +155,69 @@ def _cells_of(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
     return corpus.mapInPandas(assign, schema)
 
 
-def _block_join(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int) -> DataFrame:
-    """Top k per query and block. Rows carry `cell`; big cells and many queries are split evenly."""
-    big = corpus.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_n")).filter("_n > 1")
-    groups = max(1, -(-n_queries // BLOCK_ROWS))
-    big = cut_lineage(big)
-    corpus, queries = join_small(corpus, big, ["cell"], "left"), join_small(queries, big, ["cell"], "left")
-    n_split = F.col("_n")
+def _blocks(rows: DataFrame, id_col: str, n_rows: int) -> DataFrame:
+    """One row per block of rows of one cell: ids and vectors, and the cells that its queries `visit`, if there is such a column.
 
-    def part(col: str, n: Column) -> Column:
-        return F.pmod(F.xxhash64(col), n).cast("int")
+    Ranges of (cell, id) keep the cells of a partition together and split big ones, so partitions are even whatever the
+    cells' sizes. The blocks are written, as each partition of one side meets each of the other.
+    """
+    spark = rows.sparkSession
+    parts = max(-(-n_rows // PART_ROWS), math.isqrt(3 * spark.sparkContext.defaultParallelism))
+    visiting = "visit" in rows.columns
+    schema = T.StructType([
+        T.StructField("cell", T.IntegerType()),
+        T.StructField("ids", T.ArrayType(rows.schema[id_col].dataType)),
+        T.StructField("vecs", rows.schema["vec"].dataType),
+        *([T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("visits", T.ArrayType(T.IntegerType())),
+           T.StructField("n_visits", T.ArrayType(T.IntegerType()))] if visiting else []),
+    ])
 
-    left = queries.withColumn("_g", part("query_id", F.lit(groups))).withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.coalesce(n_split, F.lit(1)) - 1)))
-    right = corpus.withColumn("_s", part("doc_id", F.coalesce(n_split, F.lit(1)))).withColumn(
-        "_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    keys = ["cell", "_s", "_g"]
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _slices(batches, BLOCK_ROWS):
+            cells = [(cell, part) for cell, part in b.groupby("cell")]
+            block = {
+                "cell": [cell for cell, _ in cells],
+                "ids": [part[id_col].to_numpy() for _, part in cells],
+                "vecs": [np.concatenate(list(part["vec"])) for _, part in cells],
+            }
+            if visiting:
+                visits = [np.concatenate(list(part["visit"])) for _, part in cells]
+                lengths = [part["visit"].map(len).to_numpy("int32") for _, part in cells]
+                block |= {"cells": [np.unique(v) for v in visits], "visits": visits, "n_visits": lengths}
+            yield pd.DataFrame(block)
+
+    dealt = rows.repartitionByRange(parts, "cell", F.xxhash64(id_col)).sortWithinPartitions("cell")
+    return cut_lineage(dealt.mapInPandas(packed, schema).withColumn("block", F.monotonically_increasing_id()))
+
+
+def _meet(corpus: DataFrame, queries: DataFrame, n_corpus: int, n_queries: int, k: int) -> DataFrame:
+    """Top k per query and partition of the corpus. Corpus rows carry their `cell`; queries the cells they `visit`, and a `cell` by
+    which those with like visits are together.
+
+    The blocks meet where they lie, partition by partition: no vector is shuffled or copied for the sake of a visit, so
+    the disk needed grows with the rows, not with the visits.
+    """
     schema = _out_schema(queries, corpus)
-    names = schema.fieldNames()
-
-    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame(columns=names)
-        return _nearest(q["query_id"].to_numpy(), _matrix(q["vec"]), c["doc_id"].to_numpy(), _matrix(c["vec"]), k)
-
-    return (
-        left.select("query_id", "vec", *keys).groupBy(*keys)
-        .cogroup(right.select("doc_id", "vec", *keys).groupBy(*keys))
-        .applyInPandas(meet, schema)
-    )
+    have = _blocks(corpus, "doc_id", n_corpus).select("cell", F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"))
+    asking = _blocks(queries, "query_id", n_queries).drop("cell")
+    pairs = asking.join(have.hint("shuffle_replicate_nl"), F.array_contains("cells", F.col("cell"))).drop("cells")
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, ids, running = None, None, None
+        for b in batches:
+            for at in b.itertuples(index=False):
+                if at.block != block:
+                    if running is not None:
+                        yield running.best(ids)
+                    block, ids = at.block, np.asarray(at.ids)
+                    running = _Running(np.asarray(at.vecs, dtype=np.float64).reshape(len(ids), -1), k)
+                    visits, of = np.asarray(at.visits), np.repeat(np.arange(len(ids)), at.n_visits)
+                c_ids = np.asarray(at.c_ids)
+                running.meet(c_ids, np.asarray(at.c_vecs, dtype=np.float64).reshape(len(c_ids), -1), of[visits == at.cell])
+        if running is not None:
+            yield running.best(ids)
+
+    return pairs.mapInPandas(nearest, schema)
 
 
 def _pivot_join(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int) -> DataFrame:
@@ -156,11 +227,10 @@ def _pivot_join(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int) -
     # At most one row per pivot.
     stats = placed.groupBy("cell").agg(F.min("gap").alias("lo"), F.max("gap").alias("hi"), F.count("*").alias("n")).toPandas()
     cells, lo, hi, n = (stats[c].to_numpy() for c in ("cell", "lo", "hi", "n"))
-    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
+    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("visit", T.ArrayType(T.IntegerType()))])
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # A query may visit all cells, and each visit carries its vector.
-        for b in _slices(batches, _SLICE_ROWS // len(cells)):
+        for b in _slices(batches, _SLICE_ROWS):
             gaps = _pivot_gaps(_matrix(b["vec"]), pivots)[:, cells]
             far = gaps + hi[None, :]
             order = far.argsort(axis=1, kind="stable")
@@ -170,10 +240,10 @@ def _pivot_join(corpus: DataFrame, queries: DataFrame, n_queries: int, k: int) -
             bound = np.where(enough.any(axis=1), bound, np.inf)
             near = np.maximum(np.maximum(gaps - hi[None, :], lo[None, :] - gaps), 0.0)
             # The margin covers rounding of distances to DIST_DIGITS.
-            rows, cols = np.nonzero(near <= bound[:, None] + 2e-6)
-            yield b.iloc[rows].assign(cell=cells[cols].astype("int32"))
+            open_cells = near <= bound[:, None] + 2e-6
+            yield b.assign(cell=cells[gaps.argmin(axis=1)].astype("int32"), visit=[cells[row].astype("int32") for row in open_cells])
 
-    return _block_join(placed, queries.mapInPandas(candidates, schema), n_queries, k)
+    return _meet(placed, queries.mapInPandas(candidates, schema), int(n.sum()), n_queries, k)
 
 
 def _named(df: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
@@ -304,18 +374,26 @@ def knn_search_lsh(
         bits, probes = fitted
     planes = _planes(seed, tables, bits, head.d)
 
-    def buckets(df: DataFrame, more: int) -> DataFrame:
-        schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
+    def buckets(df: DataFrame, table: int, visiting: bool) -> DataFrame:
+        fields = [*df.schema.fields, T.StructField("cell", T.IntegerType())]
+        if visiting:
+            fields.append(T.StructField("visit", T.ArrayType(T.IntegerType())))
 
         def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in _slices(batches, _SLICE_ROWS // (tables * (1 + more))):
-                codes = (_codes(_matrix(part["vec"]), planes, tables, bits, more) + (np.arange(tables) << bits)[:, None]).reshape(len(part), -1)
-                yield part.loc[part.index.repeat(codes.shape[1])].assign(cell=codes.reshape(-1).astype("int32"))
-
-        return df.mapInPandas(hashed, schema)
-
-    met = _block_join(buckets(c, 0), buckets(q, probes), head.n, k)
-    found = cut_lineage(top_k(met.distinct(), k, "distance", "doc_id", ascending=True))
+            for part in _slices(batches, _SLICE_ROWS):
+                codes = _codes(_matrix(part["vec"]), planes[table * bits : (table + 1) * bits], 1, bits, probes if visiting else 0)[:, 0].astype("int32")
+                part = part.assign(cell=codes[:, 0])
+                yield part.assign(visit=list(codes)) if visiting else part
+
+        return df.mapInPandas(hashed, T.StructType(fields))
+
+    # One table at a time: only its copy of the rows is on disk, and k rows per query of those before.
+    met = [
+        cut_lineage(top_k(_meet(buckets(c, t, False), buckets(q, t, True), n_corpus, head.n, k), k, "distance", "doc_id", ascending=True))
+        for t in range(tables)
+    ]
+    both = reduce(DataFrame.unionByName, met).groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance"))
+    found = cut_lineage(top_k(both, k, "distance", "doc_id", ascending=True))
     full = found.groupBy("query_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min(k, n_corpus)).select("query_id")
     rest = cut_lineage(q.join(full, "query_id", "left_anti"))
     if not rest.limit(1).count():
